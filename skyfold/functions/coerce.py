@@ -1,67 +1,59 @@
-"""Coercion of JSON text to the declared kinds."""
+"""Coercion of JSON text to the declared kinds, as SQL expressions over a column given by its SQL name."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Spark's own cast also takes hexadecimal floats and a d/f suffix, which the catalogue format does not have.
-DECIMAL_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf(inity)?)\s*$"
-
-SQL_TYPES = {
-    "str": "string",
-    "json": "string",
-    "int": "bigint",
-    "float": "double",
-    "float_nan": "double",
-    "time": "double",
-    "bool": "boolean",
-}
+DECIMAL_TEXT = r"r'(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf(inity)?)\s*$'"
+INFINITY = "double('infinity')"
 
 
-def to_float(text: Column) -> Column:
-    return F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
+def to_float(text: str) -> str:
+    return f"CASE WHEN {text} RLIKE {DECIMAL_TEXT} THEN try_cast({text} AS DOUBLE) END"
 
 
-def to_int(text: Column) -> Column:
-    return text.try_cast("bigint")
+def to_int(text: str) -> str:
+    return f"try_cast({text} AS BIGINT)"
 
 
-def to_bool(text: Column) -> Column:
+def to_bool(text: str) -> str:
     """``true``/``false`` by value, numbers by being non-zero, other text by being non-empty.
 
     Deviation: the text "false" is false here, while plain truthiness would call it true.
     """
-    return F.coalesce(text.try_cast("boolean"), to_float(text) != 0, F.length(text) > 0)
+    return f"coalesce(try_cast({text} AS BOOLEAN), try_cast({text} AS DOUBLE) <> 0, length({text}) > 0)"
 
 
-def to_time(text: Column) -> Column:
+def to_time(text: str) -> str:
     """A number, or the mean of the first two entries of a list."""
-    ends = F.from_json(text, "ARRAY<STRING>")
-    midpoint = (to_float(F.get(ends, F.lit(0))) + to_float(F.get(ends, F.lit(1)))) / 2
-    return F.when(text.startswith("["), midpoint).otherwise(to_float(text))
+    ends = [f"get(from_json({text}, 'ARRAY<STRING>'), {i})" for i in (0, 1)]
+    return (
+        f"CASE WHEN startswith({text}, '[') THEN ({to_float(ends[0])} + {to_float(ends[1])}) / 2 "
+        f"ELSE {to_float(text)} END"
+    )
 
 
 COERCIONS = {"int": to_int, "float": to_float, "float_nan": to_float, "time": to_time, "bool": to_bool}
 
 
-def coerce(text: Column, kind: str) -> Column:
+def coerce(text: str, kind: str) -> str:
     """Typed value of ``text``; error fields default to NaN, other missing values stay null."""
     value = COERCIONS[kind](text) if kind in COERCIONS else text
-    return F.coalesce(value, F.lit(float("nan"))) if kind == "float_nan" else value
+    return f"coalesce({value}, double('nan'))" if kind == "float_nan" else value
 
 
-def uncoercible(text: Column, kind: str) -> Column | None:
-    """True where text is present but is no value of its kind; None for kinds that take any text."""
-    if kind in ("str", "json", "bool"):
-        return None
-    return text.isNotNull() & COERCIONS[kind](text).isNull()
+def uncoercible(text: str, kind: str) -> str | None:
+    """True where ``text`` is present but is no value of its kind; None for kinds that take any text."""
+    if kind in ("float", "float_nan"):
+        return f"{text} NOT RLIKE {DECIMAL_TEXT}"
+    if kind in ("int", "time"):
+        return f"({text} IS NOT NULL AND {COERCIONS[kind](text)} IS NULL)"
+    return None
 
 
-def is_finite(number: Column) -> Column:
-    """False for null, NaN and the infinities."""
-    return F.coalesce(F.abs(number) < float("inf"), F.lit(False))
+def is_finite(number: str) -> str:
+    """Not true for null, NaN and the infinities."""
+    return f"abs({number}) < {INFINITY}"
 
 
-def finite_or_null(number: Column) -> Column:
-    return F.when(F.abs(number) < float("inf"), number)
+def finite_or_null(number: str) -> str:
+    return f"CASE WHEN {is_finite(number)} THEN {number} END"

@@ -1,29 +1,27 @@
-"""Flux, magnitude and band-name expressions."""
+"""Flux, magnitude and band-name expressions in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from skyfold.dims import BANDS
+from skyfold.functions.sqltext import literals
 
 
-def zeropoint_or_default(zeropoint: Column) -> Column:
-    return F.coalesce(zeropoint, F.lit(1.0))
+def zeropoint_or_default(zeropoint: str) -> str:
+    return f"coalesce({zeropoint}, 1D)"
 
 
-def flux_from_magnitude(magnitude: Column, zeropoint: Column) -> Column:
-    return zeropoint * F.pow(F.lit(10.0), magnitude * -0.4)
+def flux_from_magnitude(magnitude: str, zeropoint: str) -> str:
+    return f"{zeropoint} * pow(10D, {magnitude} * -0.4D)"
 
 
-def magnitude_from_flux(flux: Column, zeropoint: Column) -> Column:
+def magnitude_from_flux(flux: str, zeropoint: str) -> str:
     """Null where the flux has no logarithm."""
-    return F.log10(F.try_divide(flux, zeropoint)) * -2.5
+    return f"log10(try_divide({flux}, {zeropoint})) * -2.5D"
 
 
-def normalise_band(band: Column) -> Column:
-    return F.replace(band, F.lit("'"), F.lit("_pr"))
+def normalise_band(band: str) -> str:
+    return f"replace({band}, '\\'', '_pr')"
 
 
-def is_supported_band(band: Column) -> Column:
-    return band.isin(*BANDS)
+def is_supported_band(band: str) -> str:
+    return f"{band} IN ({literals(BANDS)})"

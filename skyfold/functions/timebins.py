@@ -1,20 +1,17 @@
-"""Time-bin expressions on a numeric (MJD) axis."""
+"""Time-bin expressions on a numeric (MJD) axis, in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def bin_id(time: Column, width: float) -> Column:
+def bin_id(time: str, width: float) -> str:
     """Index of the bin ``[k * width, (k + 1) * width)`` holding ``time``.
 
     Going through the remainder keeps the index exact for widths such as 0.1, where ``floor(time / width)``
     is off by one for some values. Null where the time is not finite or the index exceeds BIGINT.
     """
-    width = F.lit(float(width))
-    return F.round((time - F.pmod(time, width)) / width).try_cast("bigint")
+    width = f"{float(width)!r}D"
+    return f"try_cast(round(({time} - pmod({time}, {width})) / {width}) AS BIGINT)"
 
 
-def bin_centre(index: Column, width: float) -> Column:
-    return index.cast("double") * float(width) + float(width) / 2
+def bin_centre(index: str, width: float) -> str:
+    return f"double({index}) * {float(width)!r}D + {float(width) / 2!r}D"

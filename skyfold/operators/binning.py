@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.functions.coerce import finite_or_null, is_finite
@@ -37,7 +37,7 @@ WEIGHTED = "weighted"
 
 def assign_bins(light_curves: DataFrame, bin_width: float = BIN_WIDTH) -> DataFrame:
     """Add ``bin_id``; drop observations without a finite time."""
-    return light_curves.withColumn("bin_id", bin_id(F.col("time"), bin_width)).where(F.col("bin_id").isNotNull())
+    return light_curves.selectExpr("*", f"{bin_id('time', bin_width)} AS bin_id").where("bin_id IS NOT NULL")
 
 
 def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Sequence[str] = NAME) -> DataFrame:
@@ -47,64 +47,71 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
     null unless the method is ``weighted``.
     """
     key = [*by, "band", "bin_id"]
-    flux, error, is_limit = F.col("flux"), F.col("e_flux"), F.col("is_limit")
     points = (
         assign_bins(light_curves, bin_width)
-        .where(is_finite(flux))
-        .select(
+        .where(is_finite("flux"))
+        .selectExpr(
             *key,
             "pos",
             "flux",
-            finite_or_null(error).alias("e_flux"),
-            F.coalesce("upperlimit", F.lit(False)).alias("is_limit"),
+            f"{finite_or_null('e_flux')} AS e_flux",
+            "coalesce(upperlimit, false) AS is_limit",
+        )
+        .selectExpr("*", "NOT is_limit AND e_flux IS NOT NULL AS has_error")
+        .selectExpr(
+            "*",
+            "CASE WHEN has_error THEN try_divide(1D, e_flux * e_flux) END AS weight",
+            "CASE WHEN has_error THEN int(floor(log(4D, abs(e_flux)))) END AS error_decade",
+            "CASE WHEN is_limit THEN flux END AS limit_flux",
         )
-        .withColumn("has_error", ~is_limit & error.isNotNull())
-        .withColumn("weight", F.when(F.col("has_error"), F.try_divide(F.lit(1.0), error * error)))
-        .withColumn("error_decade", F.when(F.col("has_error"), F.floor(F.log(4.0, F.abs(error))).cast("int")))
-        .withColumn("limit_flux", F.when(is_limit, flux))
     )
-    weight = F.col("weight")
     groups = points.groupBy(*key, "is_limit", "has_error", "error_decade", "limit_flux").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("flux").alias("flux_sum"),
-        F.min_by("e_flux", "pos").alias("first_error"),
-        F.sum("weight").alias("weight"),
-        F.regr_sxy("flux", "weight").alias("s_w_f"),
-        F.regr_sxy("flux", weight * flux).alias("s_wf_f"),
-    )
-    group_mean = F.col("flux_sum") / F.col("n") + F.try_divide(F.col("s_w_f"), weight)
-    group_scatter = F.greatest(F.col("s_wf_f") - F.col("mean") * F.col("s_w_f"), F.lit(0.0))
-    weighted = groups.withColumn("mean", group_mean).withColumn("scatter", group_scatter)
-
-    has_error, n = F.col("has_error"), F.col("n")
-    bins = weighted.groupBy(*key).agg(
-        F.sum("n").alias("n_obs"),
-        F.sum(F.when(is_limit, 0).otherwise(n)).alias("n_detections"),
-        F.sum(F.when(has_error, n).otherwise(0)).alias("n_errors"),
-        F.sum(F.when(has_error & weight.isNull(), n).otherwise(0)).alias("n_zero_errors"),
-        F.min("limit_flux").alias("limit_flux"),
-        F.min_by("first_error", "limit_flux").alias("limit_error"),
-        F.sum(F.when(~is_limit, F.col("flux_sum"))).alias("detection_sum"),
-        F.max(F.when(has_error, F.col("flux_sum"))).alias("single_flux"),
-        F.max(F.when(has_error, F.col("first_error"))).alias("single_error"),
-        F.sort_array(F.collect_list(F.when(weight.isNotNull(), F.struct("weight", "mean", "scatter")))).alias("groups"),
+        F.expr("count(*) AS n"),
+        F.expr("sum(flux) AS flux_sum"),
+        F.expr("min_by(e_flux, pos) AS first_error"),
+        F.expr("sum(weight) AS weight"),
+        F.expr("regr_sxy(flux, weight) AS s_w_f"),
+        F.expr("regr_sxy(flux, weight * flux) AS s_wf_f"),
     )
-    n_errors = F.col("n_errors")
-    method = (
-        F.when(F.col("n_detections") == 0, UPPER_LIMIT)
-        .when(n_errors == 0, PLAIN_MEAN)
-        .when(n_errors == 1, SINGLE)
-        .otherwise(WEIGHTED)
+    merged = (
+        groups.selectExpr("*", "flux_sum / n + try_divide(s_w_f, weight) AS mean")
+        .selectExpr("*", "greatest(s_wf_f - mean * s_w_f, 0D) AS scatter")
+        .groupBy(*key)
+        .agg(
+            F.expr("sum(n) AS n_obs"),
+            F.expr("sum(CASE WHEN is_limit THEN 0 ELSE n END) AS n_detections"),
+            F.expr("sum(CASE WHEN has_error THEN n ELSE 0 END) AS n_errors"),
+            F.expr("sum(CASE WHEN has_error AND weight IS NULL THEN n ELSE 0 END) AS n_zero_errors"),
+            F.expr("min(limit_flux) AS limit_flux"),
+            F.expr("min_by(first_error, limit_flux) AS limit_error"),
+            F.expr("sum(CASE WHEN NOT is_limit THEN flux_sum END) AS detection_sum"),
+            F.expr("max(CASE WHEN has_error THEN flux_sum END) AS single_flux"),
+            F.expr("max(CASE WHEN has_error THEN first_error END) AS single_error"),
+            F.expr(
+                "sort_array(collect_list(CASE WHEN weight IS NOT NULL THEN struct(weight, mean, scatter) END)) AS groups"
+            ),
+        )
     )
-    is_weighted = (F.col("method") == WEIGHTED) & (F.col("n_zero_errors") == 0)
-    variance = F.try_divide(_total_scatter(), F.col("total_weight")) / (n_errors - 1)
     return (
-        bins.withColumn("method", method)
-        .withColumn("total_weight", F.when(is_weighted, _total(lambda g: g["weight"])))
-        .withColumn(
-            "weighted_mean", F.try_divide(_total(lambda g: g["weight"] * g["mean"]), F.col("total_weight"))
+        merged.selectExpr(
+            "*",
+            f"""CASE WHEN n_detections = 0 THEN '{UPPER_LIMIT}'
+                     WHEN n_errors = 0 THEN '{PLAIN_MEAN}'
+                     WHEN n_errors = 1 THEN '{SINGLE}'
+                     ELSE '{WEIGHTED}' END AS method""",
+        )
+        .selectExpr(
+            "*", f"CASE WHEN method = '{WEIGHTED}' AND n_zero_errors = 0 THEN {_total('g.weight')} END AS total_weight"
         )
-        .select(
+        .selectExpr("*", f"try_divide({_total('g.weight * g.mean')}, total_weight) AS weighted_mean")
+        .selectExpr(
+            "*",
+            # Scatter around the overall mean: that within the groups plus that between them.
+            f"""CASE WHEN total_weight IS NOT NULL THEN
+                {_total("g.scatter + g.weight * (g.mean - weighted_mean) * (g.mean - weighted_mean)")}
+                END AS total_scatter""",
+        )
+        .selectExpr(
             *key,
             "n_obs",
             "n_detections",
@@ -112,52 +119,40 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
             "method",
             "limit_flux",
             "limit_error",
-            F.try_divide(F.col("detection_sum"), F.col("n_detections")).alias("plain_mean"),
+            "try_divide(detection_sum, n_detections) AS plain_mean",
             "single_flux",
             "single_error",
             "weighted_mean",
-            F.when(is_weighted, F.sqrt(variance)).alias("sigma"),
-            F.try_divide(F.lit(1.0), F.sqrt("total_weight")).alias("typical_error"),
+            "sqrt(try_divide(total_scatter, total_weight) / (n_errors - 1)) AS sigma",
+            "try_divide(1D, sqrt(total_weight)) AS typical_error",
         )
     )
 
 
 def binned_light_curve(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Sequence[str] = NAME) -> DataFrame:
     """Binned flux and error: the lowest upper limit, the plain mean, the only value, or the weighted mean."""
-    method, sigma, typical = F.col("method"), F.col("sigma"), F.col("typical_error")
-    combined = F.when(typical > sigma, (sigma + typical) * 0.5).otherwise(sigma)
-    flux = (
-        F.when(method == UPPER_LIMIT, F.col("limit_flux"))
-        .when(method == PLAIN_MEAN, F.col("plain_mean"))
-        .when(method == SINGLE, F.col("single_flux"))
-        .otherwise(F.col("weighted_mean"))
-    )
-    e_flux = (
-        F.when(method == UPPER_LIMIT, F.col("limit_error"))
-        .when(method == SINGLE, F.col("single_error"))
-        .when(method == WEIGHTED, combined)
-    )
-    return bin_statistics(light_curves, bin_width, by).select(
-        *by,
-        "band",
-        "bin_id",
-        bin_centre(F.col("bin_id"), bin_width).alias("time"),
-        F.lit(float(bin_width) / 2).alias("e_time"),
-        finite_or_null(flux).alias("flux"),
-        finite_or_null(e_flux).alias("e_flux"),
-        (method == UPPER_LIMIT).alias("upperlimit"),
-        "n_obs",
-        "method",
+    flux = f"""CASE method WHEN '{UPPER_LIMIT}' THEN limit_flux WHEN '{PLAIN_MEAN}' THEN plain_mean
+                           WHEN '{SINGLE}' THEN single_flux ELSE weighted_mean END"""
+    e_flux = f"""CASE method WHEN '{UPPER_LIMIT}' THEN limit_error WHEN '{SINGLE}' THEN single_error
+                             WHEN '{WEIGHTED}' THEN
+                    CASE WHEN typical_error > sigma THEN (sigma + typical_error) / 2 ELSE sigma END END"""
+    return (
+        bin_statistics(light_curves, bin_width, by)
+        .selectExpr(*by, "band", "bin_id", "n_obs", "method", f"{flux} AS flux", f"{e_flux} AS e_flux")
+        .selectExpr(
+            *by,
+            "band",
+            "bin_id",
+            f"{bin_centre('bin_id', bin_width)} AS time",
+            f"{float(bin_width) / 2!r}D AS e_time",
+            f"{finite_or_null('flux')} AS flux",
+            f"{finite_or_null('e_flux')} AS e_flux",
+            f"method = '{UPPER_LIMIT}' AS upperlimit",
+            "n_obs",
+            "method",
+        )
     )
 
 
-def _total(term) -> Column:
-    return F.aggregate("groups", F.lit(0.0), lambda total, group: total + term(group))
-
-
-def _total_scatter() -> Column:
-    """Scatter around the overall mean: that within the groups plus that between them."""
-    mean = F.col("weighted_mean")
-    return _total(
-        lambda g: g["scatter"] + g["weight"] * (g["mean"] - mean) * (g["mean"] - mean)
-    )
+def _total(term: str) -> str:
+    return f"aggregate(groups, 0D, (total, g) -> total + {term})"

@@ -15,6 +15,7 @@ from skyfold.functions.photometry import (
     normalise_band,
     zeropoint_or_default,
 )
+from skyfold.functions.sqltext import literals
 
 NAME = ("name",)
 
@@ -24,26 +25,26 @@ ARRAY_SPAN = 1_000_000
 
 def derive_flux_and_magnitude(observations: DataFrame) -> DataFrame:
     """Fill the missing one of flux and magnitude from the other; a missing zeropoint counts as 1."""
-    flux, magnitude, zeropoint = F.col("flux"), F.col("magnitude"), F.col("zeropoint")
-    return observations.withColumn("zeropoint", zeropoint_or_default(zeropoint)).withColumns({
-        "flux": F.coalesce(flux, flux_from_magnitude(magnitude, zeropoint)),
-        "magnitude": F.coalesce(magnitude, magnitude_from_flux(flux, zeropoint)),
-    })
+    derived = {
+        "flux": f"coalesce(flux, {flux_from_magnitude('magnitude', 'zeropoint')})",
+        "magnitude": f"coalesce(magnitude, {magnitude_from_flux('flux', 'zeropoint')})",
+    }
+    return observations.withColumn("zeropoint", F.expr(zeropoint_or_default("zeropoint"))).withColumns(
+        {name: F.expr(value) for name, value in derived.items()}
+    )
 
 
 def valid_observations(observations: DataFrame) -> DataFrame:
-    return observations.where(
-        F.col("time").isNotNull() & F.col("flux").isNotNull() & F.col("band_raw").isNotNull()
-    )
+    return observations.where("time IS NOT NULL AND flux IS NOT NULL AND band_raw IS NOT NULL")
 
 
 def normalise_bands(observations: DataFrame) -> DataFrame:
     """Add ``band``: the raw band name with every prime spelled out."""
-    return observations.withColumn("band", normalise_band(F.col("band_raw")))
+    return observations.selectExpr("*", f"{normalise_band('band_raw')} AS band")
 
 
 def supported_bands(observations: DataFrame) -> DataFrame:
-    return observations.where(is_supported_band(F.col("band")))
+    return observations.where(is_supported_band("band"))
 
 
 def light_curves(observations: DataFrame, by: Sequence[str] = NAME) -> DataFrame:
@@ -81,13 +82,11 @@ def select_bands(
     are found against the per-band counts, whose keys are unique: a band holding most of all observations
     never meets in one task.
     """
-    position = F.array_position(F.array(*[F.lit(band) for band in bands]), F.col("band")).cast("int") - 1
-    filled = light_curves.where(F.col("band").isin(*bands)).withColumn("band_pos", position)
-    requested = candidates.select(
-        *by, F.posexplode(F.array(*[F.lit(band) for band in bands])).alias("band_pos", "band")
-    )
-    present = light_curves.where(F.col("band").isin(*bands)).transform(band_counts, by)
-    empty = requested.join(present, [*by, "band"], "left_anti")
+    wanted = f"array({literals(bands)})"
+    chosen = light_curves.where(f"array_contains({wanted}, band)")
+    filled = chosen.selectExpr("*", f"int(array_position({wanted}, band)) - 1 AS band_pos")
+    requested = candidates.selectExpr(*by, f"posexplode({wanted}) AS (band_pos, band)")
+    empty = requested.join(band_counts(chosen, by), [*by, "band"], "left_anti")
     return filled.unionByName(empty, allowMissingColumns=True)
 
 
@@ -99,13 +98,11 @@ def band_arrays(light_curves: DataFrame, span: int = ARRAY_SPAN, by: Sequence[st
     """
     attributes = ("time", "e_time", "flux", "e_flux", "upperlimit")
     gathered = (
-        light_curves.withColumn("part", F.floor(F.col("pos") / F.lit(span)).cast("bigint"))
+        light_curves.selectExpr("*", f"bigint(floor(pos / {span})) AS part")
         .groupBy(*by, "band", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", *attributes))).alias("points"))
-    )
-    return gathered.select(
-        *by, "band", "part", *[F.col(f"points.{attribute}").alias(attribute) for attribute in attributes]
+        .agg(F.expr(f"array_sort(collect_list(struct(pos, {', '.join(attributes)}))) AS points"))
     )
+    return gathered.selectExpr(*by, "band", "part", *[f"points.{name} AS {name}" for name in attributes])
 
 
 def band_matrix(arrays: DataFrame, by: Sequence[str] = NAME) -> DataFrame:

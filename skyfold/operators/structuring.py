@@ -7,14 +7,11 @@ integral text (``5``, not ``5.0``).
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from skyfold import schemas
 from skyfold.functions.coerce import uncoercible
+from skyfold.functions.sqltext import identifier, literals
 
 REJECTED_SCHEMA = "schema"
 REJECTED_INVALID = "invalid"
@@ -27,96 +24,84 @@ def structure_objects(texts: DataFrame) -> DataFrame:
     file stem). A malformed document keeps its row with a ``reason`` and a ``detail`` and has no payload,
     so that unnesting it yields nothing. Narrow: no shuffle.
     """
-    unwrapped = texts.withColumn("envelope", F.from_json("value", "MAP<STRING, STRING>")).select(
-        *[c for c in texts.columns if c != "value"],
-        F.col("envelope").isNotNull().alias("is_object"),
-        F.try_element_at("envelope", F.col("file_stem")).alias("payload"),
+    kept = [identifier(column) for column in texts.columns if column != "value"]
+    unwrapped = texts.selectExpr(*kept, "from_json(value, 'MAP<STRING, STRING>') AS envelope").selectExpr(
+        *kept, "envelope IS NOT NULL AS is_object", "try_element_at(envelope, file_stem) AS payload"
     )
-    parsed = unwrapped.withColumn("fields", F.from_json("payload", "MAP<STRING, STRING>"))
-    checked = parsed.withColumn("detail", _first_problem(F.col("fields")))
-    reason = F.when(~F.col("is_object"), REJECTED_INVALID).when(
-        F.col("payload").isNull(), REJECTED_SCHEMA
-    ).when(F.col("detail").isNotNull(), REJECTED_INVALID)
-    detail = F.when(~F.col("is_object"), "not a JSON object").when(
-        F.col("payload").isNull(), "no entry named like the file"
-    ).otherwise(F.col("detail"))
-    kept = [c for c in texts.columns if c != "value"]
-    return checked.select(
+    parsed = unwrapped.selectExpr("*", "from_json(payload, 'MAP<STRING, STRING>') AS fields")
+    checked = parsed.selectExpr("*", f"{_first_problem()} AS detail")
+    # Emitting the outcome through a generator keeps later filters on it from being pushed down, where the
+    # parsed document would be spelled out, and parsed, once per reference.
+    return checked.selectExpr(
         *kept,
-        _field("name").alias("name"),
-        _field("schema").alias("schema"),
-        _field("photometry").isNotNull().alias("has_photometry"),
-        F.when(F.col("detail").isNull(), F.col("payload")).alias("payload"),
-        reason.alias("reason"),
-        detail.alias("detail"),
+        f"""inline(array(named_struct(
+            'name', {_field("name")},
+            'schema', {_field("schema")},
+            'has_photometry', {_field("photometry")} IS NOT NULL,
+            'payload', CASE WHEN detail IS NULL THEN payload END,
+            'reason', CASE WHEN is_object AND payload IS NULL THEN '{REJECTED_SCHEMA}'
+                           WHEN NOT is_object OR detail IS NOT NULL THEN '{REJECTED_INVALID}' END,
+            'detail', CASE WHEN NOT is_object THEN 'not a JSON object'
+                           WHEN payload IS NULL THEN 'no entry named like the file' ELSE detail END)))""",
     )
 
 
 def candidates(objects: DataFrame) -> DataFrame:
     """The well-formed objects."""
-    return objects.where(F.col("reason").isNull()).drop("reason", "detail")
+    return objects.where("reason IS NULL").drop("reason", "detail")
 
 
 def rejects(objects: DataFrame) -> DataFrame:
     """The skipped files: ``schema`` (no entry for the file) or ``invalid`` (malformed content)."""
-    kept = [c for c in objects.columns if c not in ("name", "schema", "has_photometry", "payload")]
-    return objects.where(F.col("reason").isNotNull()).select(*kept)
+    return objects.where("reason IS NOT NULL").drop("name", "schema", "has_photometry", "payload")
 
 
-def _field(name: str) -> Column:
-    return F.try_element_at(F.col("fields"), F.lit(name))
+def _field(name: str) -> str:
+    return f"try_element_at(fields, '{name}')"
 
 
-def _first_problem(fields: Column) -> Column:
+def _first_problem() -> str:
     """Description of the first violated rule, null for a well-formed object."""
-    problems = [F.when(fields.isNull(), "not an object")]
+    problems = ["CASE WHEN fields IS NULL THEN 'not an object' END"]
     problems += [
-        F.when(_field(name).isNull(), f"{name}: missing") for name in (*schemas.REQUIRED_TEXTS, "sources")
+        f"CASE WHEN {_field(name)} IS NULL THEN '{name}: missing' END"
+        for name in (*schemas.REQUIRED_TEXTS, "sources")
     ]
     # A list that is present must be a list; only photometry may be null.
-    null_lists = F.map_keys(
-        F.map_filter(fields, lambda name, text: name.isin(*set(schemas.LISTS) - {"photometry"}) & text.isNull())
-    )
-    problems.append(F.concat(F.get(null_lists, F.lit(0)), F.lit(": null")))
-    for name, declared in (
-        ("sources", schemas.SOURCE_FIELDS),
-        ("photometry", schemas.PHOTOMETRY_FIELDS),
-        ("spectra", schemas.SPECTRA_FIELDS),
+    never_null = literals(name for name in schemas.LISTS if name != "photometry")
+    problems.append(_first_key(f"text IS NULL AND name IN ({never_null})", "null"))
+    for name, declared, required in (
+        ("sources", schemas.SOURCE_FIELDS, "alias"),
+        ("photometry", schemas.PHOTOMETRY_FIELDS, "source"),
+        ("spectra", schemas.SPECTRA_FIELDS, "source"),
     ):
-        required = "alias" if name == "sources" else "source"
-        malformed = _malformed_list(_field(name), declared, required)
-        problems.append(F.when(_field(name).isNotNull() & malformed, f"{name}: malformed"))
-    quantities = F.map_filter(
-        fields, lambda name, text: name.isin(*schemas.QUANTITIES) & text.isNotNull() & _malformed_quantity(name, text)
-    )
-    problems.append(F.concat(F.get(F.map_keys(quantities), F.lit(0)), F.lit(": malformed")))
-    return F.coalesce(*problems)
-
-
-def _malformed_list(text: Column, declared: dict[str, str], required: str) -> Column:
-    items = F.from_json(text, schemas.text_struct_array(declared))
-    return items.isNull() | F.exists(items, lambda item: _malformed_item(item, declared, required))
+        malformed = _malformed_list(_field(name), declared, _malformed_item(declared, required))
+        problems.append(f"CASE WHEN {_field(name)} IS NOT NULL AND ({malformed}) THEN '{name}: malformed' END")
+    malformed = _malformed_list("text", schemas.DATUM_FIELDS, _malformed_datum())
+    quantity = f"name IN ({literals(schemas.QUANTITIES)})"
+    problems.append(_first_key(f"text IS NOT NULL AND {quantity} AND ({malformed})", "malformed"))
+    return f"coalesce({', '.join(problems)})"
 
 
-def _malformed_item(item: Column, declared: dict[str, str], required: str) -> Column:
-    checks = [uncoercible(item[name], kind) for name, kind in declared.items()]
-    return reduce(or_, [check for check in checks if check is not None], item[required].isNull())
+def _first_key(condition: str, problem: str) -> str:
+    return f"concat(get(map_keys(map_filter(fields, (name, text) -> {condition})), 0), ': {problem}')"
 
 
-def _malformed_quantity(name: Column, text: Column) -> Column:
-    items = F.from_json(text, schemas.text_struct_array(schemas.DATUM_FIELDS))
+def _malformed_list(text: str, declared: dict[str, str], malformed_item: str) -> str:
+    items = f"from_json({text}, '{schemas.text_struct_array(declared)}')"
+    return f"{items} IS NULL OR exists({items}, item -> {malformed_item})"
 
-    def malformed(item: Column) -> Column:
-        value = name.isin(*schemas.FLOAT_QUANTITIES) & uncoercible(item["value"], "float")
-        return (
-            _malformed_item(item, schemas.DATUM_FIELDS, "source") | value | _malformed_correlation(item["correlation"])
-        )
 
-    return items.isNull() | F.exists(items, malformed)
+def _malformed_item(declared: dict[str, str], required: str) -> str:
+    checks = [uncoercible(f"item.{identifier(name)}", kind) for name, kind in declared.items()]
+    return " OR ".join([f"item.{required} IS NULL", *[check for check in checks if check is not None]])
 
 
-def _malformed_correlation(text: Column) -> Column:
-    correlation = F.from_json(text, schemas.text_struct(schemas.CORRELATION_FIELDS))
-    return text.isNotNull() & (
-        ~text.startswith("{") | correlation["quantity"].isNull() | correlation["value"].isNull()
+def _malformed_datum() -> str:
+    correlation = f"from_json(item.correlation, '{schemas.text_struct(schemas.CORRELATION_FIELDS)}')"
+    return (
+        f"{_malformed_item(schemas.DATUM_FIELDS, 'source')} "
+        f"OR (name IN ({literals(schemas.FLOAT_QUANTITIES)}) AND {uncoercible('item.value', 'float')}) "
+        f"OR (item.correlation IS NOT NULL AND (NOT startswith(item.correlation, '{{') "
+        f"OR {correlation}.quantity IS NULL OR {correlation}.value IS NULL))"
     )

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from skyfold import schemas
-from skyfold.functions.coerce import SQL_TYPES, coerce, to_float
+from skyfold.functions.coerce import coerce, to_float
+from skyfold.functions.sqltext import identifier, literals
 
 OBJECT = ("file_stem", "name")
 
@@ -22,37 +22,45 @@ LIGHT_CURVE_FIELDS = ("time", "e_time", "magnitude", "flux", "e_flux", "zeropoin
 
 def sources(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
     items = _items(candidates, by, "sources", schemas.SOURCE_FIELDS)
-    typed = _typed("item", schemas.SOURCE_FIELDS, renamed={"name": "source_name"})
-    return items.select(*by, "pos", *typed)
+    return items.selectExpr(*by, "pos", *_typed(schemas.SOURCE_FIELDS, {"name": "source_name"}))
 
 
 def quantities(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
     """One row per datum of the quantity lists; float-valued quantities also fill ``value_num``."""
-    texts = F.from_json("payload", schemas.text_struct(schemas.QUANTITIES))
-    lists = candidates.select(*by, texts.alias("texts")).select(
-        *by,
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(name).alias("quantity"), F.col("texts")[name].alias("text"))
-                for name in schemas.QUANTITIES
-            ])
-        ).alias("entry"),
-    )
-    items = lists.select(
-        *by,
-        F.col("entry.quantity").alias("quantity"),
-        F.posexplode(F.from_json("entry.text", schemas.text_struct_array(schemas.DATUM_FIELDS))).alias("pos", "item"),
+    entries = ", ".join(f"named_struct('quantity', '{name}', 'text', texts.{name})" for name in schemas.QUANTITIES)
+    items = (
+        candidates.selectExpr(*by, f"from_json(payload, '{schemas.text_struct(schemas.QUANTITIES)}') AS texts")
+        .selectExpr(*by, f"inline(array({entries}))")
+        .selectExpr(
+            *by,
+            "quantity",
+            f"posexplode(from_json(text, '{schemas.text_struct_array(schemas.DATUM_FIELDS)}')) AS (pos, item)",
+        )
     )
     plain = {name: kind for name, kind in schemas.DATUM_FIELDS.items() if name not in ("value", "correlation")}
-    value = F.col("item.value")
-    return items.select(
+    floats = literals(schemas.FLOAT_QUANTITIES)
+    return items.selectExpr(
+        *by,
+        "quantity",
+        "pos",
+        "item.value AS value_str",
+        f"CASE WHEN quantity IN ({floats}) THEN {to_float('item.value')} END AS value_num",
+        *_typed(plain),
+        f"from_json(item.correlation, '{schemas.text_struct(schemas.CORRELATION_FIELDS)}') AS correlation",
+    ).selectExpr(
         *by,
         "quantity",
         "pos",
-        value.alias("value_str"),
-        F.when(F.col("quantity").isin(*schemas.FLOAT_QUANTITIES), to_float(value)).alias("value_num"),
-        *_typed("item", plain),
-        _correlation(F.col("item.correlation")).alias("correlation"),
+        "value_str",
+        "value_num",
+        *plain,
+        # The value of a correlation stays text, with a numeric reading beside it.
+        f"""CASE WHEN correlation IS NOT NULL THEN named_struct(
+            'quantity', correlation.quantity,
+            'value', correlation.value,
+            'value_num', {to_float("correlation.value")},
+            'kind', correlation.kind,
+            'derived', {coerce("correlation.derived", "bool")}) END AS correlation""",
     )
 
 
@@ -64,72 +72,49 @@ def observations(
     """One row per photometric observation; only the given ``fields`` are parsed."""
     declared = {name: schemas.PHOTOMETRY_FIELDS[name] for name in fields}
     items = _items(candidates, by, "photometry", declared)
-    typed = {name: coerce(F.col(f"item.{name}"), kind) for name, kind in declared.items()}
-    if "upperlimit" in typed:
-        typed["upperlimit"] = F.coalesce(typed["upperlimit"], F.lit(False))
-    return items.select(
-        *by,
-        "pos",
-        *[value.alias("band_raw" if name == "band" else name) for name, value in typed.items()],
-    )
+    typed = _typed(declared, {"band": "band_raw"}, {"upperlimit": "false"})
+    return items.selectExpr(*by, "pos", *typed)
 
 
 def spectra(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
     """One row per spectrum with its data matrix as nested arrays of text."""
     items = _items(candidates, by, "spectra", schemas.SPECTRA_FIELDS)
     plain = {name: kind for name, kind in schemas.SPECTRA_FIELDS.items() if kind != "json"}
-    suggestion = F.from_json("item.exclude", schemas.text_struct(schemas.SUGGESTION_FIELDS))
-    return items.select(
+    suggestion = f"from_json(item.exclude, '{schemas.text_struct(schemas.SUGGESTION_FIELDS)}')"
+    return items.selectExpr(
         *by,
         "pos",
-        *_typed("item", plain),
-        F.from_json("item.data", "ARRAY<ARRAY<STRING>>").alias("data"),
-        F.when(
-            F.col("item.exclude").isNotNull(),
-            F.struct(
-                to_float(suggestion["above"]).alias("above"),
-                to_float(suggestion["below"]).alias("below"),
-                F.from_json(suggestion["range"], "ARRAY<STRING>").alias("range"),
-            ),
-        ).alias("exclude"),
+        *_typed(plain),
+        "from_json(item.data, 'ARRAY<ARRAY<STRING>>') AS data",
+        f"""CASE WHEN item.exclude IS NOT NULL THEN named_struct(
+            'above', {to_float(f"{suggestion}.above")},
+            'below', {to_float(f"{suggestion}.below")},
+            'range', from_json({suggestion}.range, 'ARRAY<STRING>')) END AS exclude""",
     )
 
 
 def spectrum_points(spectra: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
     """The data matrices in numeric long form, one row per matrix row."""
-    rows = spectra.select(*by, "pos", F.posexplode("data").alias("point_pos", "cells"))
-    return rows.select(
-        *by,
-        "pos",
-        "point_pos",
-        *[
-            to_float(F.get("cells", F.lit(i))).alias(name)
-            for i, name in enumerate(("wavelength", "flux", "e_flux"))
-        ],
+    columns = [
+        f"{to_float(f'get(cells, {i})')} AS {name}" for i, name in enumerate(("wavelength", "flux", "e_flux"))
+    ]
+    return spectra.selectExpr(*by, "pos", "posexplode(data) AS (point_pos, cells)").selectExpr(
+        *by, "pos", "point_pos", *columns
     )
 
 
 def _items(candidates: DataFrame, by: Sequence[str], name: str, fields: Iterable[str]) -> DataFrame:
-    parsed = F.from_json("payload", f"STRUCT<`{name}`: {schemas.text_struct_array(fields)}>")
-    return candidates.select(*by, F.posexplode(parsed[name]).alias("pos", "item"))
+    parsed = f"from_json(payload, 'STRUCT<{identifier(name)}: {schemas.text_struct_array(fields)}>').{name}"
+    return candidates.selectExpr(*by, f"posexplode({parsed}) AS (pos, item)")
 
 
-def _typed(parent: str, fields: dict[str, str], renamed: dict[str, str] | None = None) -> list[Column]:
+def _typed(
+    fields: dict[str, str], renamed: dict[str, str] | None = None, defaults: dict[str, str] | None = None
+) -> list[str]:
+    def value(name: str, kind: str) -> str:
+        typed = coerce(f"item.{identifier(name)}", kind)
+        return f"coalesce({typed}, {defaults[name]})" if name in (defaults or {}) else typed
+
     return [
-        coerce(F.col(f"{parent}.{name}"), kind).alias((renamed or {}).get(name, name)) for name, kind in fields.items()
+        f"{value(name, kind)} AS {identifier((renamed or {}).get(name, name))}" for name, kind in fields.items()
     ]
-
-
-def _correlation(text: Column) -> Column:
-    """Structured correlation; its value stays text, with a numeric reading beside it."""
-    parsed = F.from_json(text, schemas.text_struct(schemas.CORRELATION_FIELDS))
-    return F.when(
-        text.isNotNull(),
-        F.struct(
-            parsed["quantity"].alias("quantity"),
-            parsed["value"].alias("value"),
-            to_float(parsed["value"]).alias("value_num"),
-            parsed["kind"].alias("kind"),
-            coerce(parsed["derived"], "bool").cast(SQL_TYPES["bool"]).alias("derived"),
-        ),
-    )

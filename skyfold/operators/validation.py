@@ -9,10 +9,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.dims import BANDS, BANDSETS
+from skyfold.functions.sqltext import identifier, literal
 from skyfold.operators.binning import BIN_WIDTH, assign_bins
 
 NAME = ("name",)
@@ -62,31 +63,29 @@ def bandset_results(
     """
     by = list(tables.by)
     slots = {band: i for i, band in enumerate(BANDS)}
-    per_band = band_statistics(tables.light_curves, bin_width, by)
-    per_candidate = per_band.groupBy(*by).agg(*[
-        F.max(F.when(F.col("band") == band, F.col(measure))).alias(f"{measure}_{i}")
+    per_candidate = band_statistics(tables.light_curves, bin_width, by).groupBy(*by).agg(*[
+        F.expr(f"coalesce(max(CASE WHEN band = {literal(band)} THEN {measure} END), 0) AS {measure}_{i}")
         for band, i in slots.items()
         for measure in ("n_bins", "n_obs")
     ])
-    joined = tables.candidates.select(*by, "has_photometry").join(per_candidate, by, "left")
 
-    def count(measure: str, band: str) -> Column:
-        return F.coalesce(F.col(f"{measure}_{slots[band]}"), F.lit(0).cast("bigint"))
-
-    def result(bandset: str, members: tuple[str, ...]) -> Column:
-        message = F.coalesce(*[
-            F.when(
-                count("n_bins", band) < min_observations,
-                F.format_string(TOO_FEW, F.lit(band), count("n_obs", band), F.lit(min_observations)),
-            )
+    def result(bandset: str, members: Sequence[str]) -> str:
+        failures = [
+            f"CASE WHEN coalesce(n_bins_{slots[band]}, 0) < {min_observations} THEN "
+            f"format_string({literal(TOO_FEW)}, {literal(band)}, coalesce(n_obs_{slots[band]}, 0), {min_observations}) END"
             for band in members
-        ])
-        return F.struct(F.lit(bandset).alias("bandset"), message.isNull().alias("is_valid"), message.alias("message"))
-
-    results = [result(bandset, members) for bandset, members in bandsets.items()]
-    empty = F.array().cast("ARRAY<STRUCT<bandset: STRING, is_valid: BOOLEAN, message: STRING>>")
-    return joined.select(
-        *by, "has_photometry", F.when(F.col("has_photometry"), F.array(*results) if results else empty).alias("bandsets")
+        ]
+        return f"struct({literal(bandset)} AS bandset, coalesce({', '.join(failures)}) AS message)"
+
+    results = ", ".join(result(bandset, members) for bandset, members in bandsets.items())
+    outcome = f"transform(array({results}), r -> struct(r.bandset, r.message IS NULL AS is_valid, r.message))"
+    empty = "cast(array() AS ARRAY<STRUCT<bandset: STRING, is_valid: BOOLEAN, message: STRING>>)"
+    return (
+        tables.candidates.select(*by, "has_photometry")
+        .join(per_candidate, by, "left")
+        .selectExpr(
+            *by, "has_photometry", f"CASE WHEN has_photometry THEN {outcome if bandsets else empty} END AS bandsets"
+        )
     )
 
 
@@ -105,19 +104,14 @@ def minimum_observations(
 
     def validate(tables: Tables) -> DataFrame:
         results = bandset_results(tables, requested, min_observations, bin_width)
-        failed = F.filter("bandsets", lambda r: ~r["is_valid"])
-        is_valid = F.col("has_photometry") & F.exists("bandsets", lambda r: r["is_valid"])
-        message = F.when(~F.col("has_photometry"), NO_PHOTOMETRY).when(
-            ~is_valid, F.array_join(F.transform(failed, lambda r: r["message"]), "\n")
-        )
-        return results.select(
+        return results.selectExpr(
             *tables.by,
-            is_valid.alias("is_valid"),
-            message.alias("message"),
-            F.when(
-                F.col("has_photometry"),
-                F.transform(F.filter("bandsets", lambda r: r["is_valid"]), lambda r: r["bandset"]),
-            ).alias("available_bandsets"),
+            "has_photometry AND exists(bandsets, r -> r.is_valid) AS is_valid",
+            f"""CASE WHEN NOT has_photometry THEN {literal(NO_PHOTOMETRY)}
+                     WHEN NOT exists(bandsets, r -> r.is_valid) THEN
+                         array_join(transform(filter(bandsets, r -> NOT r.is_valid), r -> r.message), '\\n')
+                END AS message""",
+            "transform(filter(bandsets, r -> r.is_valid), r -> r.bandset) AS available_bandsets",
         )
 
     return Check(MINIMUM_OBSERVATIONS, validate)
@@ -127,8 +121,13 @@ def bandset_flags(
     results: DataFrame, bandsets: Sequence[str] = tuple(BANDSETS), by: Sequence[str] = NAME
 ) -> DataFrame:
     """One boolean per band set from the ``available_bandsets`` of a check."""
-    available = F.coalesce(F.col("available_bandsets"), F.array().cast("ARRAY<STRING>"))
-    return results.select(*by, *[F.array_contains(available, bandset).alias(bandset) for bandset in bandsets])
+    return results.selectExpr(
+        *by,
+        *[
+            f"coalesce(array_contains(available_bandsets, {literal(bandset)}), false) AS {identifier(bandset)}"
+            for bandset in bandsets
+        ],
+    )
 
 
 def check_results(tables: Tables, checks: Sequence[Check], fail_fast: bool = False) -> DataFrame:
@@ -180,14 +179,17 @@ def report(results: DataFrame, only_errors: bool = True, by: Sequence[str] = NAM
 
     Grouped rows hold one entry per check. With ``only_errors`` candidates without a failure are left out.
     """
-    line = F.format_string(CHECK_FAILED, F.col("check_name"), F.coalesce("message", F.lit("None")))
-    failures = F.sort_array(F.collect_list(F.when(~F.col("is_valid"), F.struct("check_pos", line.alias("line")))))
-    gathered = results.groupBy(*by).agg(failures.alias("failures"))
+    line = f"format_string({literal(CHECK_FAILED)}, check_name, coalesce(message, 'None'))"
+    gathered = results.groupBy(*by).agg(
+        F.expr(
+            f"sort_array(collect_list(CASE WHEN NOT is_valid THEN struct(check_pos, {line} AS line) END)) AS failures"
+        )
+    )
     if only_errors:
-        gathered = gathered.where(F.size("failures") > 0)
-    body = F.when(F.size("failures") > 0, F.col("failures.line")).otherwise(F.array(F.lit(PASSED)))
-    heading = F.array(F.format_string(SUBJECT, F.col(by[-1])))
-    return gathered.select(*by, F.posexplode(F.concat(heading, body)).alias("line_pos", "line"))
+        gathered = gathered.where("size(failures) > 0")
+    heading = f"array(format_string({literal(SUBJECT)}, {identifier(by[-1])}))"
+    body = f"CASE WHEN size(failures) > 0 THEN failures.line ELSE array({literal(PASSED)}) END"
+    return gathered.selectExpr(*by, f"posexplode(concat({heading}, {body})) AS (line_pos, line)")
 
 
 def valid_ratio(validity: DataFrame, nominal_size: int | None = None) -> DataFrame:

@@ -143,7 +143,7 @@ OBJECTS = (
     EVENTS
     + """,
 rows AS (
-  SELECT *, user_id || '.' || event_id // 100000 AS stem, user_id % 13 AS defect,
+  SELECT *, user_id || '.' || event_id // 100000 AS stem, user_id % 29 AS defect,
          row_number() OVER (PARTITION BY user_id, event_id // 100000 ORDER BY event_id) - 1 AS p,
          CASE WHEN event_id % 10 = 0 THEN ((mjd - 0.5::DOUBLE) + (mjd + 0.5::DOUBLE)) / 2 ELSE mjd END AS t
   FROM ev),
@@ -320,11 +320,11 @@ SELECT i // 100 AS batch_id, count(*) AS n_objects FROM ranked GROUP BY i // 100
     "catalog_stream_objects": f"""WITH {OBJECTS}
 SELECT stem AS file_stem, defect NOT IN (1, 2, 5) AS has_photometry, reason FROM checked""",
     "catalog_summary": f"""WITH {OBJECTS},
-counted AS (SELECT count(*) FILTER (reason IS NULL) AS n_loaded, count(reason) AS n_rejected FROM checked)
-SELECT 'OSC-2018-June' AS catalog, 'datasets/osc2018_june' AS path, CAST(45162 AS BIGINT) AS nr_datapoints,
-       n_loaded, n_rejected FROM counted
-UNION ALL
-SELECT 'OSC-2022', 'datasets/osc2022', CAST(108921 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)""",
+dim(catalog, path, nr_datapoints, parity) AS (
+  VALUES ('OSC-2018-June', 'datasets/osc2018_june', CAST(45162 AS BIGINT), 0),
+         ('OSC-2022', 'datasets/osc2022', CAST(108921 AS BIGINT), 1))
+SELECT catalog, path, nr_datapoints, count(stem) FILTER (reason IS NULL) AS n_loaded, count(reason) AS n_rejected
+FROM dim LEFT JOIN checked ON length(stem) % 2 = parity GROUP BY catalog, path, nr_datapoints""",
     "catalog_ingest": CATALOG_OBSERVATIONS,
     "catalog_candidates": f"""WITH {OBJECTS}
 SELECT stem AS file_stem, stem AS name, 'v1.0' AS schema, TRUE AS has_photometry FROM checked WHERE reason IS NULL""",

@@ -35,7 +35,7 @@ def register(query: Query) -> Query:
 
 
 def rounded(column: str, places: int = 6) -> Column:
-    return F.round(finite_or_null(F.col(column)), places).alias(column)
+    return F.expr(f"round({finite_or_null(column)}, {places}) AS {column}")
 
 
 # --- Photometry derivations and filters ---------------------------------------------------------------
@@ -156,7 +156,7 @@ def band_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def bin_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     binned = fixtures.event_light_curves(spark, sf_dir).transform(binning.assign_bins)
-    return binned.select("name", "band", "pos", "bin_id", bin_centre(F.col("bin_id"), 3.0).alias("bin_centre"))
+    return binned.selectExpr("name", "band", "pos", "bin_id", f"{bin_centre('bin_id', 3.0)} AS bin_centre")
 
 
 def _event_bins(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
@@ -423,7 +423,9 @@ def catalog_stream_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = _objects(spark, sf_dir).withColumn("catalog", F.lit(dims.CATALOGS[0][0]))
+    first, second = (entry[0] for entry in dims.CATALOGS)
+    origin = F.when(F.length("file_stem") % 2 == 0, first).otherwise(second)
+    objects = _objects(spark, sf_dir).withColumn("catalog", origin)
     return results.catalog_summary(dims.catalogs(spark), objects).select(
         "catalog", "path", "nr_datapoints", "n_loaded", "n_rejected"
     )
