@@ -10,7 +10,8 @@ def bin_id(time: str, width: float) -> str:
     is off by one for some values. Null where the time is not finite or the index exceeds BIGINT.
     """
     width = f"{float(width)!r}D"
-    return f"try_cast(round(({time} - pmod({time}, {width})) / {width}) AS BIGINT)"
+    truncated = f"try_cast(rint(({time} - {time} % {width}) / {width}) AS BIGINT)"
+    return f"{truncated} - CASE WHEN {time} % {width} < 0 THEN 1 ELSE 0 END"
 
 
 def bin_centre(index: str, width: float) -> str:

@@ -34,6 +34,9 @@ PLAIN_MEAN = "plain mean"
 SINGLE = "single"
 WEIGHTED = "weighted"
 
+# Stands for the error decade of an error of zero, which has no logarithm.
+ZERO_ERROR = -9999
+
 
 def assign_bins(light_curves: DataFrame, bin_width: float = BIN_WIDTH) -> DataFrame:
     """Add ``bin_id``; drop observations without a finite time."""
@@ -57,15 +60,18 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
             f"{finite_or_null('e_flux')} AS e_flux",
             "coalesce(upperlimit, false) AS is_limit",
         )
-        .selectExpr("*", "NOT is_limit AND e_flux IS NOT NULL AS has_error")
         .selectExpr(
-            "*",
-            "CASE WHEN has_error THEN try_divide(1D, e_flux * e_flux) END AS weight",
-            "CASE WHEN has_error THEN int(floor(log(4D, abs(e_flux)))) END AS error_decade",
+            *key,
+            "pos",
+            "flux",
+            "e_flux",
+            "CASE WHEN NOT is_limit THEN try_divide(1D, e_flux * e_flux) END AS weight",
+            f"""CASE WHEN NOT is_limit AND e_flux IS NOT NULL THEN
+                coalesce(int(floor(log(4D, abs(e_flux)))), {ZERO_ERROR}) END AS error_decade""",
             "CASE WHEN is_limit THEN flux END AS limit_flux",
         )
     )
-    groups = points.groupBy(*key, "is_limit", "has_error", "error_decade", "limit_flux").agg(
+    groups = points.groupBy(*key, "error_decade", "limit_flux").agg(
         F.expr("count(*) AS n"),
         F.expr("sum(flux) AS flux_sum"),
         F.expr("min_by(e_flux, pos) AS first_error"),
@@ -79,14 +85,14 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
         .groupBy(*key)
         .agg(
             F.expr("sum(n) AS n_obs"),
-            F.expr("sum(CASE WHEN is_limit THEN 0 ELSE n END) AS n_detections"),
-            F.expr("sum(CASE WHEN has_error THEN n ELSE 0 END) AS n_errors"),
-            F.expr("sum(CASE WHEN has_error AND weight IS NULL THEN n ELSE 0 END) AS n_zero_errors"),
+            F.expr("sum(CASE WHEN limit_flux IS NULL THEN n ELSE 0 END) AS n_detections"),
+            F.expr("sum(CASE WHEN error_decade IS NOT NULL THEN n ELSE 0 END) AS n_errors"),
+            F.expr("sum(CASE WHEN error_decade IS NOT NULL AND weight IS NULL THEN n ELSE 0 END) AS n_zero_errors"),
             F.expr("min(limit_flux) AS limit_flux"),
             F.expr("min_by(first_error, limit_flux) AS limit_error"),
-            F.expr("sum(CASE WHEN NOT is_limit THEN flux_sum END) AS detection_sum"),
-            F.expr("max(CASE WHEN has_error THEN flux_sum END) AS single_flux"),
-            F.expr("max(CASE WHEN has_error THEN first_error END) AS single_error"),
+            F.expr("sum(CASE WHEN limit_flux IS NULL THEN flux_sum END) AS detection_sum"),
+            F.expr("max(CASE WHEN error_decade IS NOT NULL THEN flux_sum END) AS single_flux"),
+            F.expr("max(CASE WHEN error_decade IS NOT NULL THEN first_error END) AS single_error"),
             F.expr(
                 "sort_array(collect_list(CASE WHEN weight IS NOT NULL THEN struct(weight, mean, scatter) END)) AS groups"
             ),
