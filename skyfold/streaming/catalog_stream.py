@@ -16,7 +16,9 @@ def ingest_stream(spark: SparkSession, path: str, objects_path: str, checkpoint:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.transform(structure_objects).write.mode("overwrite").parquet(f"{objects_path}/batch_id={batch_id}")
+        # Spark reads a micro-batch's files repeatedly when one of them has a name like "[HP99] 456", taken for
+        # a path pattern; a folder has each name once.
+        batch.dropDuplicates(["file_stem"]).transform(structure_objects).write.mode("overwrite").parquet(f"{objects_path}/batch_id={batch_id}")
 
     query = (
         stream_texts(spark, path, batch_size)
