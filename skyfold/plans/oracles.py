@@ -17,7 +17,8 @@ obs AS (
          k % 5 = 0 AS upperlimit
   FROM ev),
 lc AS (SELECT * FROM obs WHERE band NOT IN ('V', 'clear')),
-cand AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS name, user_id % 17 <> 0 AS has_photometry FROM events)"""
+cand AS (
+  SELECT CAST(c_custkey - 1 AS VARCHAR) AS name, (c_custkey - 1) % 17 <> 0 AS has_photometry FROM customer)"""
 
 MAGNITUDES = """
 raw AS (
