@@ -1,15 +1,15 @@
 """Error-weighted binning of light curves in time.
 
-Two hash aggregations, both combined on the map side, so that a bin holding most of all observations costs
-one partial row per task and never meets as raw rows:
+No task ever sees the raw rows of a bin, so a bin may hold most of all observations:
 
 1. within a bin, observations are grouped by the decade (base 4) of their error, so that weights in one
    group differ by at most a factor of 16. The weighted scatter then follows from two mergeable sums,
    ``sum(w (f - m)^2) = S(w f, f) - m S(w, f)`` with ``S`` the centred sum of products, without the
    cancellation that plain sums of squares suffer. Upper limits are grouped by their flux, which makes the
-   first one among equals well defined;
-2. the groups of a bin are merged around the overall mean. Their number is bounded by the exponent range of
-   a double (about 1,050), not by the data.
+   first one among equals well defined. A hash aggregation, combined on the map side;
+2. the overall weighted mean is put beside the groups by a window. Its partitions hold one row per decade,
+   about 1,050 at most (the exponent range of a double) whatever the data, or a single upper limit;
+3. the groups of a bin are merged around that mean: again a hash aggregation, combined on the map side.
 
 Deviations: where only upper limits have errors the plain mean of the detections is used (the weighted mean
 would be one of nothing); an error of exactly zero among several gives null flux and null error; ``upperlimit``
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions.coerce import finite_or_null, is_finite
@@ -79,60 +79,55 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
         F.expr("regr_sxy(flux, weight) AS s_w_f"),
         F.expr("regr_sxy(flux, weight * flux) AS s_wf_f"),
     )
-    merged = (
+    bin_groups = Window.partitionBy(*key, "limit_flux")
+    centred = (
         groups.selectExpr("*", "flux_sum / n + try_divide(s_w_f, weight) AS mean")
-        .selectExpr("*", "greatest(s_wf_f - mean * s_w_f, 0D) AS scatter")
-        .groupBy(*key)
-        .agg(
-            F.expr("sum(n) AS n_obs"),
-            F.expr("sum(CASE WHEN limit_flux IS NULL THEN n ELSE 0 END) AS n_detections"),
-            F.expr("sum(CASE WHEN error_decade IS NOT NULL THEN n ELSE 0 END) AS n_errors"),
-            F.expr("sum(CASE WHEN error_decade IS NOT NULL AND weight IS NULL THEN n ELSE 0 END) AS n_zero_errors"),
-            F.expr("min(limit_flux) AS limit_flux"),
-            F.expr("min_by(first_error, limit_flux) AS limit_error"),
-            F.expr("sum(CASE WHEN limit_flux IS NULL THEN flux_sum END) AS detection_sum"),
-            F.expr("max(CASE WHEN error_decade IS NOT NULL THEN flux_sum END) AS single_flux"),
-            F.expr("max(CASE WHEN error_decade IS NOT NULL THEN first_error END) AS single_error"),
-            F.expr(
-                "sort_array(collect_list(CASE WHEN weight IS NOT NULL THEN struct(weight, mean, scatter) END)) AS groups"
-            ),
-        )
-    )
-    return (
-        merged.selectExpr(
-            "*",
-            f"""CASE WHEN n_detections = 0 THEN '{UPPER_LIMIT}'
-                     WHEN n_errors = 0 THEN '{PLAIN_MEAN}'
-                     WHEN n_errors = 1 THEN '{SINGLE}'
-                     ELSE '{WEIGHTED}' END AS method""",
-        )
-        .selectExpr(
-            "*", f"CASE WHEN method = '{WEIGHTED}' AND n_zero_errors = 0 THEN {_total('g.weight')} END AS total_weight"
-        )
-        .selectExpr("*", f"try_divide({_total('g.weight * g.mean')}, total_weight) AS weighted_mean")
+        .withColumn("total_weight", F.expr("sum(weight)").over(bin_groups))
+        .withColumn("weighted_sum", F.expr("sum(weight * mean)").over(bin_groups))
+        .selectExpr("*", "try_divide(weighted_sum, total_weight) AS weighted_mean")
         .selectExpr(
             "*",
-            # Scatter around the overall mean: that within the groups plus that between them.
-            f"""CASE WHEN total_weight IS NOT NULL THEN
-                {_total("g.scatter + g.weight * (g.mean - weighted_mean) * (g.mean - weighted_mean)")}
-                END AS total_scatter""",
-        )
-        .selectExpr(
-            *key,
-            "n_obs",
-            "n_detections",
-            "n_errors",
-            "method",
-            "limit_flux",
-            "limit_error",
-            "try_divide(detection_sum, n_detections) AS plain_mean",
-            "single_flux",
-            "single_error",
-            "weighted_mean",
-            "sqrt(try_divide(total_scatter, total_weight) / (n_errors - 1)) AS sigma",
-            "try_divide(1D, sqrt(total_weight)) AS typical_error",
+            # Scatter around the overall mean: that within the group plus that of the group itself.
+            """greatest(s_wf_f - mean * s_w_f, 0D) + weight * (mean - weighted_mean) * (mean - weighted_mean)
+               AS scatter""",
         )
     )
+    merged = centred.groupBy(*key).agg(
+        F.expr("sum(n) AS n_obs"),
+        F.expr("sum(CASE WHEN limit_flux IS NULL THEN n ELSE 0 END) AS n_detections"),
+        F.expr("sum(CASE WHEN error_decade IS NOT NULL THEN n ELSE 0 END) AS n_errors"),
+        F.expr("sum(CASE WHEN weight IS NOT NULL THEN n ELSE 0 END) AS n_weights"),
+        F.expr("min(limit_flux) AS limit_flux"),
+        F.expr("min_by(first_error, limit_flux) AS limit_error"),
+        F.expr("sum(CASE WHEN limit_flux IS NULL THEN flux_sum END) AS detection_sum"),
+        F.expr("max(CASE WHEN error_decade IS NOT NULL THEN flux_sum END) AS single_flux"),
+        F.expr("max(CASE WHEN error_decade IS NOT NULL THEN first_error END) AS single_error"),
+        F.expr("max(weighted_mean) AS weighted_mean"),
+        F.expr("max(total_weight) AS total_weight"),
+        F.expr("sum(scatter) AS scatter"),
+    )
+    weighted = f"method = '{WEIGHTED}' AND n_weights = n_errors"
+    return merged.selectExpr(
+        "*",
+        f"""CASE WHEN n_detections = 0 THEN '{UPPER_LIMIT}'
+                 WHEN n_errors = 0 THEN '{PLAIN_MEAN}'
+                 WHEN n_errors = 1 THEN '{SINGLE}'
+                 ELSE '{WEIGHTED}' END AS method""",
+    ).selectExpr(
+        *key,
+        "n_obs",
+        "n_detections",
+        "n_errors",
+        "method",
+        "limit_flux",
+        "limit_error",
+        "try_divide(detection_sum, n_detections) AS plain_mean",
+        "single_flux",
+        "single_error",
+        f"CASE WHEN {weighted} THEN weighted_mean END AS weighted_mean",
+        f"CASE WHEN {weighted} THEN sqrt(try_divide(scatter, total_weight) / (n_errors - 1)) END AS sigma",
+        f"CASE WHEN {weighted} THEN try_divide(1D, sqrt(total_weight)) END AS typical_error",
+    )
 
 
 def binned_light_curve(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Sequence[str] = NAME) -> DataFrame:
@@ -159,6 +154,3 @@ def binned_light_curve(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by
         )
     )
 
-
-def _total(term: str) -> str:
-    return f"aggregate(groups, 0D, (total, g) -> total + {term})"

@@ -137,12 +137,12 @@ def test_hot_bin_is_combined_before_the_shuffle(spark):
         "1.0D AS time",
         "10D + (id % 17) / 100D AS flux",
         "0.1D + (id % 5) / 100D AS e_flux",
-        "false AS upperlimit",
+        "id < 0 AS upperlimit",
     )
     bins = binned_light_curve(rows)
     plan = plan_of(bins)
-    assert "Window" not in plan and "SortAggregate" not in plan and "Python" not in plan
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and "Python" not in plan
+    assert plan.count("Exchange hashpartitioning") == 3
     hot = bins.where(F.col("name") == "hot").first()
     ids = np.array([i for i in range(400_000) if i % 100])
     flux, error = 10 + (ids % 17) / 100, 0.1 + (ids % 5) / 100
@@ -153,3 +153,13 @@ def test_hot_bin_is_combined_before_the_shuffle(spark):
     assert hot.flux == pytest.approx(mean, rel=1e-12)
     assert hot.e_flux == pytest.approx((sigma + typical) / 2 if typical > sigma else sigma, rel=1e-9)
     assert hot.n_obs == len(ids)
+
+
+def test_hot_bin_of_upper_limits(spark):
+    """Distinct upper limits of one bin are spread over the tasks and reduced to one row per task."""
+    rows = spark.range(0, 200_000, 1, 8).selectExpr(
+        "'hot' AS name", "'B' AS band", "id AS pos", "1.0D AS time", "double(200000 - id % 100000) AS flux",
+        "double(id) AS e_flux", "true AS upperlimit",
+    )
+    row = binned_light_curve(rows).first()
+    assert (row.flux, row.e_flux, row.upperlimit, row.n_obs) == (100_001.0, 99_999.0, True, 200_000)
