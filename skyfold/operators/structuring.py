@@ -1,7 +1,7 @@
 """From file text to catalogue objects: envelope, coercion checks and rejects.
 
-Deviations forced by Spark's JSON reader: text after the root object is ignored instead of rejected, and
-a required text that is JSON null counts as missing. A number written for an integer field must be
+Deviations forced by Spark's JSON reader: text after the root object is ignored instead of rejected if it
+ends with a brace, and a required text that is JSON null counts as missing. A number written for an integer field must be
 integral text (``5``, not ``5.0``).
 """
 
@@ -25,9 +25,12 @@ def structure_objects(texts: DataFrame) -> DataFrame:
     so that unnesting it yields nothing. Narrow: no shuffle.
     """
     kept = [identifier(column) for column in texts.columns if column != "value"]
-    unwrapped = texts.selectExpr(*kept, "from_json(value, 'MAP<STRING, STRING>') AS envelope").selectExpr(
-        *kept, "envelope IS NOT NULL AS is_object", "try_element_at(envelope, file_stem) AS payload"
-    )
+    unwrapped = texts.selectExpr(
+        *kept,
+        # Spark's reader stops at the end of the root object, hence the look at the last character.
+        """CASE WHEN endswith(rtrim(' \\t\\r\\n', value), '}') THEN
+           from_json(value, 'MAP<STRING, STRING>', map('allowSingleQuotes', 'false')) END AS envelope""",
+    ).selectExpr(*kept, "envelope IS NOT NULL AS is_object", "try_element_at(envelope, file_stem) AS payload")
     parsed = unwrapped.selectExpr("*", "from_json(payload, 'MAP<STRING, STRING>') AS fields")
     checked = parsed.selectExpr("*", f"{_first_problem()} AS detail")
     # Emitting the outcome through a generator keeps later filters on it from being pushed down, where the

@@ -6,6 +6,8 @@ import os
 
 import pytest
 from conftest import plan_of
+from hypothesis import HealthCheck, Phase, given, settings
+from hypothesis import strategies as st
 
 from skyfold.operators import unnest
 from skyfold.operators.light_curves import derive_flux_and_magnitude, light_curves
@@ -30,6 +32,10 @@ def structured(spark, documents):
 
 REJECTED = {
     "not json": ("not json", "invalid"),
+    "single quotes": ("{'single quotes': {'schema': 'v1', 'name': 'a', 'sources': []}}", "invalid"),
+    "trailing text": ('{"trailing text": {"schema": "v1", "name": "a", "sources": []}} more', "invalid"),
+    "cut short": ('{"cut short": {"schema": "v1", "name": "a", "sources": []}', "invalid"),
+    "empty": ("", "invalid"),
     "list root": ([{"a": 1}], "invalid"),
     "scalar root": ("5", "invalid"),
     "other key": ({"x": valid("x")}, "schema"),
@@ -74,6 +80,40 @@ def test_rejects(spark):
     assert unnest.observations(objects).count() == 0
 
 
+def test_white_space_around_the_document(spark):
+    text = ' \n{"a": {"schema": "v1", "name": "a", "sources": []}}\r\n\t '
+    assert candidates(structured(spark, {"a": text})).count() == 1
+
+
+optional_text = st.one_of(st.none(), st.text(st.characters(exclude_categories=["Cs"])))
+source_records = st.fixed_dictionaries(
+    {"alias": st.integers(-(2**63), 2**63 - 1)},
+    optional={
+        "secondary": st.one_of(st.none(), st.booleans()),
+        **{field: optional_text for field in ("name", "url", "bibcode", "doi", "arxivid", "acknowledgement")},
+    },
+)
+
+
+@settings(
+    max_examples=10,
+    deadline=None,
+    derandomize=True,
+    phases=[Phase.generate],
+    suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow, HealthCheck.data_too_large],
+)
+@given(st.lists(source_records, max_size=20))
+def test_source_round_trip(spark, records):
+    """Any source keeps its values; only the alias is required and the rest defaults to null."""
+    objects = structured(spark, {"a": {"a": valid("a", sources=records)}})
+    rows = [row.asDict() for row in unnest.sources(objects).orderBy("pos").collect()]
+    assert len(rows) == len(records)
+    for row, record in zip(rows, records, strict=True):
+        assert row["alias"] == record["alias"] and row["source_name"] == record.get("name")
+        for field in ("url", "bibcode", "doi", "arxivid", "secondary", "acknowledgement"):
+            assert row[field] == record.get(field)
+
+
 def test_candidates_and_photometry_presence(spark):
     documents = {
         "absent": valid("absent"),
