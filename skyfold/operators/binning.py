@@ -82,8 +82,10 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
     bin_groups = Window.partitionBy(*key, "limit_flux")
     centred = (
         groups.selectExpr("*", "flux_sum / n + try_divide(s_w_f, weight) AS mean")
-        .withColumn("total_weight", F.expr("sum(weight)").over(bin_groups))
-        .withColumn("weighted_sum", F.expr("sum(weight * mean)").over(bin_groups))
+        .withColumns({
+            "total_weight": F.expr("sum(weight)").over(bin_groups),
+            "weighted_sum": F.expr("sum(weight * mean)").over(bin_groups),
+        })
         .selectExpr("*", "try_divide(weighted_sum, total_weight) AS weighted_mean")
         .selectExpr(
             "*",

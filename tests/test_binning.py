@@ -142,7 +142,7 @@ def test_hot_bin_is_combined_before_the_shuffle(spark):
     bins = binned_light_curve(rows)
     plan = plan_of(bins)
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and "Python" not in plan
-    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("- Window") == 1
     hot = bins.where(F.col("name") == "hot").first()
     ids = np.array([i for i in range(400_000) if i % 100])
     flux, error = 10 + (ids % 17) / 100, 0.1 + (ids % 5) / 100
