@@ -79,10 +79,10 @@ def _first_problem() -> str:
         ("spectra", schemas.SPECTRA_FIELDS, "source"),
     ):
         malformed = _malformed_list(_field(name), declared, _malformed_item(declared, required))
-        problems.append(f"CASE WHEN {_field(name)} IS NOT NULL AND ({malformed}) THEN '{name}: malformed' END")
+        problems.append(f"CASE WHEN {_field(name)} IS NOT NULL AND {malformed} THEN '{name}: malformed' END")
     malformed = _malformed_list("text", schemas.DATUM_FIELDS, _malformed_datum())
     quantity = f"name IN ({literals(schemas.QUANTITIES)})"
-    problems.append(_first_key(f"text IS NOT NULL AND {quantity} AND ({malformed})", "malformed"))
+    problems.append(_first_key(f"text IS NOT NULL AND {quantity} AND {malformed}", "malformed"))
     return f"coalesce({', '.join(problems)})"
 
 
@@ -91,8 +91,9 @@ def _first_key(condition: str, problem: str) -> str:
 
 
 def _malformed_list(text: str, declared: dict[str, str], malformed_item: str) -> str:
+    """True for text that is no list of objects or has a malformed item; the text is parsed once."""
     items = f"from_json({text}, '{schemas.text_struct_array(declared)}')"
-    return f"{items} IS NULL OR exists({items}, item -> {malformed_item})"
+    return f"coalesce(exists({items}, item -> coalesce({malformed_item}, false)), true)"
 
 
 def _malformed_item(declared: dict[str, str], required: str) -> str:
