@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import exact_dedup, sharding
+from skyfold.llm import exact_dedup, mixing, quality_rules, sharding
 from skyfold.llm.common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = 40
+RULE_SAMPLE = 0.01
+RULE_SEED = 7
 
 
 def register(query: Query) -> Query:
@@ -40,3 +42,23 @@ FROM texts WINDOW same AS (PARTITION BY text_sha256)
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.byte_shards(read_documents(spark, sf_dir), SHARDS)
     return shards.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard")
+
+
+@register
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_documents(spark, sf_dir))
+    return mixed.selectExpr("doc_id", "size", "source_size", "target", "times * size AS taken", "source", "times")
+
+
+@register
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    estimates = quality_rules.estimate(quality_rules.sample(docs, RULE_SAMPLE, RULE_SEED))
+    rules = quality_rules.ordered(quality_rules.RULES, estimates)
+    judged = quality_rules.cascade(quality_rules.measured(docs), rules, quality_rules.BASE_STATISTICS)
+    return judged.selectExpr(
+        "doc_id",
+        *quality_rules.BASE_STATISTICS,
+        "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed",
+        "kept",
+    )
