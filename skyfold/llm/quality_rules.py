@@ -94,7 +94,7 @@ RULES = (
     *BASE_RULES,
     Rule("word_length", "NOT ({word_chars} BETWEEN 2.5 * {n_words} AND 12 * {n_words})"),
     Rule("symbols", "10 * {n_symbols} > {n_words}"),
-    Rule("repeated_lines", "10 * {n_dup_lines} > 3 * {n_lines}"),
+    Rule("repeated_lines", "2 * {n_dup_lines} > {n_lines}"),
     Rule("capitals", "2 * {n_capitals} > {n_letters}"),
     Rule("few_letter_words", "10 * {n_letter_words} < 8 * {n_words}"),
     Rule("bullets", "10 * {n_bullet_lines} > 9 * {n_lines}"),
