@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import exact_dedup, mixing, quality_rules, sharding
-from skyfold.llm.common import read_documents
+from skyfold.llm import exact_dedup, language_id, mixing, quality_model, quality_rules, sharding
+from skyfold.llm.common import held_out, read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 SHARDS = 40
 RULE_SAMPLE = 0.01
 RULE_SEED = 7
+KEEP_SCORE = 0.3
 
 
 def register(query: Query) -> Query:
@@ -62,3 +63,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed",
         "kept",
     )
+
+
+@register
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    out = held_out("doc_id", 3, 1)
+    profiles = language_id.learn_profiles(docs.where(f"NOT ({out})"))
+    return language_id.identify(docs, profiles).selectExpr("doc_id", f"{out} AS held_out", "lang_pred", "score")
+
+
+@register
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    out = held_out("doc_id", 5, 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(f"NOT ({out})")
+    model = quality_model.train(docs, labels)
+    return quality_model.score(docs, model).selectExpr("doc_id", f"{out} AS held_out", "score", f"int(score >= {KEEP_SCORE}) AS predicted")
