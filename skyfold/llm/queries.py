@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfold.llm import exact_dedup, language_id, mixing, quality_model, quality_rules, sharding
+from skyfold.llm import (
+    exact_dedup,
+    language_id,
+    mixing,
+    quality_model,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+)
 from skyfold.llm.common import held_out, read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +26,7 @@ SHARDS = 40
 RULE_SAMPLE = 0.01
 RULE_SEED = 7
 KEEP_SCORE = 0.3
+PIECE_MODEL = os.environ.get("SKYFOLD_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def register(query: Query) -> Query:
@@ -80,3 +90,8 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(f"NOT ({out})")
     model = quality_model.train(docs, labels)
     return quality_model.score(docs, model).selectExpr("doc_id", f"{out} AS held_out", "score", f"int(score >= {KEEP_SCORE}) AS predicted")
+
+
+@register
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(read_documents(spark, sf_dir), PIECE_MODEL)
