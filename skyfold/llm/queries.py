@@ -11,6 +11,7 @@ from skyfold.llm import (
     exact_dedup,
     language_id,
     mixing,
+    ngram_join,
     quality_model,
     quality_rules,
     sentencepiece_codec,
@@ -95,3 +96,8 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read_documents(spark, sf_dir), PIECE_MODEL)
+
+
+@register
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_documents(spark, sf_dir), words=3, percent=90)
