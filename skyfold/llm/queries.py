@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skyfold.llm import (
     exact_dedup,
     language_id,
+    lm_score,
     mixing,
     ngram_join,
     quality_model,
@@ -101,3 +102,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_documents(spark, sf_dir), words=3, percent=90)
+
+
+@register
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    out = held_out("doc_id", 7, 2)
+    model = lm_score.train(docs.where(f"NOT ({out})"))
+    return lm_score.score(docs, model).selectExpr("doc_id", f"{out} AS held_out", "* EXCEPT (doc_id)")
