@@ -33,6 +33,7 @@ CHARACTER_BITS = 21
 SPACE = 32
 PROFILE = 400
 MAX_LANGUAGES = 1000
+CHUNK_CHARACTERS = 1_000_000
 
 
 def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> DataFrame:
@@ -58,7 +59,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, grams, ranks = shared.value
         for batch in batches:
-            found = [_closest(text, names, grams, ranks, size) for text in batch.column(1).to_pylist()]
+            found = [_closest(text, names, grams, ranks, size) for text in map(pa.Scalar.as_py, batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -92,13 +93,23 @@ def grams_of(text: str) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_lang: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(grams_of(text))
-        for lang, parts in by_lang.items():
-            grams, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "gram", "n"]
-            )
+        size = 0
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            grams = grams_of(text.as_py())
+            by_lang.setdefault(lang.as_py(), []).append(grams)
+            size += len(grams)
+            if size > CHUNK_CHARACTERS * len(ORDERS):
+                yield from _summed(by_lang)
+                by_lang, size = {}, 0
+        yield from _summed(by_lang)
+
+
+def _summed(by_lang: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for lang, parts in by_lang.items():
+        grams, n = np.unique(np.concatenate(parts), return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["lang", "gram", "n"]
+        )
 
 
 def _tables(learned: pd.DataFrame, size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
