@@ -7,15 +7,20 @@ in their leading parts of ``n - ceil(s n) + 1`` entries, so only these parts are
 1. ``sets``: one pass gives every document its set's size and digest; documents with equal sets are one set from here
    on. The pass also finds the frequent n-grams: those frequent in a batch, summed over batches.
 2. ``shared``: leading entries meet by n-gram, packed in binary blocks per segment; those of one set only are dropped.
-   Frequent n-grams are known to be shared and skip the meeting, so that no segment holds a hot list.
+   Frequent n-grams are known to be shared and pass through the segments unsorted, dealt out evenly. An entry stays
+   only if the list has another one of a fitting size.
 3. Star candidates: in every n-gram's list, the set with the fewest entries before it against all others.
 4. Verification: the candidates of a set are kept in a prefix tree (sorted sequences with the lengths of their common
    beginnings), in groups of bounded size. A traversal carries the overlap of a shared beginning over to the next
    sequence and leaves a subtree as soon as what remains cannot reach the overlap required.
-5. Components of the verified links. All other candidates (pairs of different components, by length and position
-   within the list) are then verified too, and the components taken again: no link is missed, while the pairs within
+5. Components of the verified links. All other candidates (pairs of different components, by size, place in the list
+   and sketch) are then verified too, and the components taken again: no link is missed, while the pairs within
    a group of near copies, already connected, are never formed.
 
+A sketch holds, for each of up to ``SKETCH_BITS`` cells, whether an odd number of a set's n-grams falls there. Every cell
+in which two sketches differ needs an n-gram that only one set has, so the number of such cells bounds the difference
+of the sets from below: a pair is dropped only if it cannot be a link.
+
 Defined cases: null texts and texts without words have no n-grams and no links; with fewer words than ``n`` the whole
 sequence is the only n-gram; repeated rows and equal texts share one set; a null identifier never names a component
 unless no other does; an empty table gives no rows. Two different sets would be taken for one only if both their
@@ -45,9 +50,13 @@ MAX_FREQUENT = 2_000_000
 SEGMENT_ENTRIES = 500_000
 GROUP_SETS = 256
 STEP = 64
+SKETCH_BITS = 1024
+CHUNK_BYTES = 12_000_000
+# Rows of (identifier, set) that may be broadcast, 16 bytes each, to find the texts of candidates.
+BROADCAST_ROWS = 1_000_000
 
-SET_ROWS = "doc_id bigint, n bigint, set_id bigint, grams array<bigint>, counts array<bigint>"
-BLOCK_ROWS = "segment int, meets boolean, entries binary"
+SET_ROWS = "doc_id bigint, n bigint, set_id bigint, sketch array<bigint>, grams array<bigint>, counts array<bigint>"
+BLOCK_ROWS = "segment int, entries binary"
 SHARED_ROWS = "gram bigint, set_id bigint, n bigint, place bigint"
 ENTRY = np.dtype([("gram", "<i8"), ("set_id", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
@@ -61,9 +70,10 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     texts = identified(docs, id_col, text_col).selectExpr("doc_id", "CAST(coalesce(text, '') AS BINARY) AS text")
     scanned = written_table(texts.mapInArrow(_scanner(words), SET_ROWS))
     members = scanned.where("n >= 0").select("doc_id", "n", "set_id")
+    sketches = scanned.where("n > 0").groupBy("set_id").agg(F.any_value("sketch").alias("sketch"))
     sets = members.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     shared = _shared_entries(texts, scanned, words, percent)
-    links = _links(texts, members, shared, words, percent)
+    links = _links(texts, members, shared, sketches, words, percent)
     degrees = links.selectExpr("a AS set_id").union(links.selectExpr("b AS set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("links"))
     placed = (
         sets.join(connected_components(links).withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -77,14 +87,19 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     )
 
 
-def _links(texts: DataFrame, members: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(
+    texts: DataFrame, members: DataFrame, shared: DataFrame, sketches: DataFrame, words: int, percent: int
+) -> DataFrame:
     """All verified links between sets of different components, and a spanning choice within: ``a, b``."""
     fits = _fits(percent)
     centres = shared.groupBy("gram").agg(F.expr("min(struct(place, set_id, n)) AS centre"))
     starred = shared.join(centres, "gram").where("set_id <> centre.set_id").selectExpr(
         "set_id", "n", "place", "centre.set_id AS other", "centre.n AS other_n", "centre.place AS other_place"
     )
-    star_pairs = written_table(starred.where(fits).selectExpr("least(set_id, other) AS a", "greatest(set_id, other) AS b").distinct())
+    stars = starred.where(fits).select("set_id", "n", "other", "other_n").distinct()
+    stars = stars.join(sketches, "set_id").join(sketches.selectExpr("set_id AS other", "sketch AS other_sketch"), "other")
+    near = _near(percent)
+    star_pairs = written_table(stars.where(near).selectExpr("least(set_id, other) AS a", "greatest(set_id, other) AS b").distinct())
     star_links = written_table(_verified(texts, members, star_pairs, words, percent))
     components = connected_components(star_links).selectExpr("node AS set_id", "component")
     entries = shared.join(components, "set_id", "left").withColumn("component", F.expr("coalesce(component, set_id)"))
@@ -96,14 +111,15 @@ def _links(texts: DataFrame, members: DataFrame, shared: DataFrame, words: int,
         .where("components > 1")
         .select("gram", "main")
     )
-    open_entries = entries.join(mixed_lists, "gram")
+    open_entries = written_table(entries.join(mixed_lists, "gram").join(sketches, "set_id"))
     outside = open_entries.where("component <> main").drop("main")
     partners = open_entries.selectExpr(
-        "gram", "set_id AS other", "n AS other_n", "place AS other_place", "component AS other_component", "component = main AS in_main"
-    )
+        "gram", "set_id AS other", "n AS other_n", "place AS other_place", "component AS other_component", "component = main AS in_main",
+        "sketch AS other_sketch",
+    )
     rest = (
         outside.join(partners, "gram")
-        .where(f"component <> other_component AND (in_main OR set_id < other) AND {fits}")
+        .where(f"component <> other_component AND (in_main OR set_id < other) AND {fits} AND {near}")
         .selectExpr("least(set_id, other) AS a", "greatest(set_id, other) AS b")
         .distinct()
         .join(star_pairs, ["a", "b"], "left_anti")
@@ -121,6 +137,15 @@ def _fits(percent: int) -> str:
     )
 
 
+def _near(percent: int) -> str:
+    """SQL: the sketches, the longer one folded to the length of the other, allow the required overlap."""
+    cells = "least(size(sketch), size(other_sketch))"
+    folded = "aggregate(sequence(0, size({0}) div {1} - 1), 0L, (sum, k) -> sum ^ {0}[k * {1} + i])"
+    one, other = folded.format("sketch", cells), folded.format("other_sketch", cells)
+    differing = f"aggregate(transform(sequence(0, {cells} - 1), i -> bit_count({one} ^ {other})), 0, (sum, n) -> sum + n)"
+    return f"{differing} <= n + other_n - 2 * ceil({percent} * (n + other_n) / {100 + percent})"
+
+
 def _shared_entries(texts: DataFrame, scanned: DataFrame, words: int, percent: int) -> DataFrame:
     """Leading entries whose n-gram more than one set leads with: ``gram, set_id, n, place``; written."""
     spark = texts.sparkSession
@@ -134,9 +159,9 @@ def _shared_entries(texts: DataFrame, scanned: DataFrame, words: int, percent: i
     segments = max(64, int((totals[1] or 0) * (100 - percent) / 100 / SEGMENT_ENTRIES))
     known = spark.sparkContext.broadcast((grams, counts))
     blocks = texts.mapInArrow(_leader(words, percent, segments, known), BLOCK_ROWS)
-    met = blocks.where("meets").groupBy("segment").applyInArrow(_meet, SHARED_ROWS)
-    hot = blocks.where("NOT meets").mapInArrow(_unpack, SHARED_ROWS)
-    return written_table(met.unionByName(hot.distinct()))
+    met = written_table(blocks.groupBy("segment").applyInArrow(_meeting(segments, percent), f"{SHARED_ROWS}, hot boolean"))
+    hot = written_table(met.where("hot").drop("hot").distinct())
+    return met.where("NOT hot").drop("hot").unionByName(hot)
 
 
 def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -144,7 +169,8 @@ def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, words: int
     needed = pairs.selectExpr("a AS set_id").union(pairs.selectExpr("b AS set_id")).distinct()
     first = members.join(needed, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     # Repeated identifiers may carry other texts, hence the digest is looked at again.
-    found = texts.join(first, "doc_id").selectExpr("set_id", "text")
+    first = written_table(first)
+    found = texts.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "doc_id").selectExpr("set_id", "text")
     found = written_table(found.mapInArrow(_own_text(words), "set_id bigint, text binary").dropDuplicates(["set_id"]))
     ends = pairs.selectExpr("a AS probe", "b AS member").union(pairs.selectExpr("b AS probe", "a AS member"))
     degrees = ends.groupBy("probe").agg(F.count(F.lit(1)).alias("degree"))
@@ -233,32 +259,57 @@ def tree_links(probe: np.ndarray, members: list[np.ndarray], percent: int) -> li
     return found
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of the number of n-grams per cell, 64 cells to an integer; the cells follow the size of the set."""
+    bits = min(max(64, 1 << (len(grams) - 1).bit_length()), SKETCH_BITS)
+    # Cell i + 64 k is bit i of integer k; halves of the integers fold onto each other.
+    odd = np.bincount((grams >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _chunks(texts: pa.Array) -> Iterator[list[tuple[int, bytes]]]:
+    """Row numbers and lower-cased texts in lists of bounded size."""
+    chunk, size = [], 0
+    for i, text in enumerate(texts):
+        lowered = text.as_py().lower()
+        chunk.append((i, lowered))
+        size += len(lowered)
+        if size > CHUNK_BYTES:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
 def _scanner(words: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, set_ids, seen, parts = [], [], set(), []
-            for text in batch.column(1).to_pylist():
-                grams = shingle_set(text.lower(), words)
-                set_id = set_digest(grams) if len(grams) else 0
-                sizes.append(len(grams))
-                set_ids.append(set_id)
-                if len(grams) and set_id not in seen:
-                    seen.add(set_id)
-                    parts.append(grams)
-            ids = batch.column(0).to_pylist()
-            grams, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = counts >= max(MIN_FREQUENT, len(ids) // FREQUENT_SHARE)
-            empty: list[list[int]] = [[]] * len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*ids, None], pa.int64()),
-                    pa.array([*sizes, -1], pa.int64()),
-                    pa.array([*set_ids, 0], pa.int64()),
-                    pa.array([*empty, grams[often].view(np.int64)], pa.list_(pa.int64())),
-                    pa.array([*empty, counts[often].astype(np.int64)], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n", "set_id", "grams", "counts"],
-            )
+            for chunk in _chunks(batch.column(1)):
+                sizes, set_ids, sketches, seen, parts = [], [], [], set(), []
+                for _, text in chunk:
+                    grams = shingle_set(text, words)
+                    set_id = set_digest(grams) if len(grams) else 0
+                    sizes.append(len(grams))
+                    set_ids.append(set_id)
+                    sketches.append(sketch(grams) if len(grams) else [])
+                    if len(grams) and set_id not in seen:
+                        seen.add(set_id)
+                        parts.append(grams)
+                none = np.zeros(0, np.uint64)
+                grams, counts = np.unique(np.concatenate([none, *parts]), return_counts=True)
+                often = counts >= max(MIN_FREQUENT, len(chunk) // FREQUENT_SHARE)
+                empty: list[list[int]] = [[]] * len(chunk)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*batch.column(0).slice(chunk[0][0], len(chunk)).to_pylist(), None], pa.int64()),
+                        pa.array([*sizes, -1], pa.int64()),
+                        pa.array([*set_ids, 0], pa.int64()),
+                        pa.array([*sketches, []], pa.list_(pa.int64())),
+                        pa.array([*empty, grams[often].view(np.int64)], pa.list_(pa.int64())),
+                        pa.array([*empty, counts[often].astype(np.int64)], pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "n", "set_id", "sketch", "grams", "counts"],
+                )
 
     return scan
 
@@ -267,61 +318,66 @@ def _leader(words: int, percent: int, segments: int, known: Broadcast):
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            plain, hot = [], []
-            for text in batch.column(1).to_pylist():
-                grams = shingle_set(text.lower(), words)
-                first, unmet = leading(grams, percent, known.value)
-                if not len(first) or (set_id := set_digest(grams)) in seen:
-                    continue
-                seen.add(set_id)
-                entries = np.empty(len(first), ENTRY)
-                entries["gram"], entries["set_id"], entries["n"] = first.view(np.int64), set_id, len(grams)
-                entries["place"] = np.arange(len(first))
-                plain.append(entries[:unmet])
-                hot.append(entries[unmet:])
-            if not plain:
-                continue
-            entries = np.concatenate(plain)
-            where = (entries["gram"].view(np.uint64) >> np.uint64(33)) % np.uint64(segments)
-            order = np.argsort(where, kind="stable")
-            entries, where = entries[order], where[order]
-            cuts = np.flatnonzero(np.diff(where)) + 1
-            starts = [0, *cuts.tolist()] if len(entries) else []
-            rows = [(int(where[s]), True, entries[s:e].tobytes()) for s, e in zip(starts, [*starts[1:], len(entries)], strict=True)]
-            rows.append((-1, False, np.concatenate(hot).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())],
-                ["segment", "meets", "entries"],
-            )
+            for chunk in _chunks(batch.column(1)):
+                plain, hot = [np.zeros(0, ENTRY)], [np.zeros(0, ENTRY)]
+                for _, text in chunk:
+                    grams = shingle_set(text, words)
+                    first, unmet = leading(grams, percent, known.value)
+                    if not len(first) or (set_id := set_digest(grams)) in seen:
+                        continue
+                    seen.add(set_id)
+                    entries = np.empty(len(first), ENTRY)
+                    entries["gram"], entries["set_id"], entries["n"] = first.view(np.int64), set_id, len(grams)
+                    entries["place"] = np.arange(len(first))
+                    plain.append(entries[:unmet])
+                    hot.append(entries[unmet:])
+                yield from _dealt(np.concatenate(plain), "gram", segments, 0)
+                yield from _dealt(np.concatenate(hot), "set_id", segments, segments)
 
     return lead
 
 
-def _entry_table(entries: np.ndarray) -> pa.Table:
-    return pa.table({
-        "gram": entries["gram"], "set_id": entries["set_id"], "n": entries["n"].astype(np.int64), "place": entries["place"].astype(np.int64)
-    })
-
-
-def _meet(blocks: pa.Table) -> pa.Table:
-    """Entries of one segment whose n-gram belongs to more than one set."""
-    entries = np.frombuffer(b"".join(blocks.column("entries").to_pylist()), ENTRY)
-    entries = entries[np.lexsort((entries["set_id"], entries["gram"]))]
-    gram, set_id = entries["gram"], entries["set_id"]
-    new = np.ones(len(entries), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (set_id[1:] != set_id[:-1])
-    entries = entries[new]
-    gram = entries["gram"]
-    again = np.zeros(len(entries), bool)
-    again[1:] = gram[1:] == gram[:-1]
-    again[:-1] |= again[1:]
-    return _entry_table(entries[again])
+def _dealt(entries: np.ndarray, by: str, segments: int, first: int) -> Iterator[pa.RecordBatch]:
+    """One block of entries per segment, numbered from ``first``."""
+    where = ((entries[by].view(np.uint64) >> np.uint64(33)) % np.uint64(segments)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    entries, where = entries[order], where[order]
+    cuts = np.searchsorted(where, np.arange(segments + 1))
+    found = [s for s in range(segments) if cuts[s] < cuts[s + 1]]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([first + s for s in found], pa.int32()),
+            pa.array([entries[cuts[s] : cuts[s + 1]].tobytes() for s in found], pa.binary()),
+        ],
+        ["segment", "entries"],
+    )
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in batch.column(2).to_pylist():
-            yield from _entry_table(np.frombuffer(block, ENTRY)).to_batches()
+def _meeting(segments: int, percent: int):
+    """Entries of one segment whose n-gram belongs to more than one set; hot segments pass through."""
+
+    def meet(blocks: pa.Table) -> pa.Table:
+        entries = np.frombuffer(b"".join(blocks.column("entries").to_pylist()), ENTRY)
+        hot = blocks.column("segment")[0].as_py() >= segments
+        if not hot:
+            entries = entries[np.lexsort((entries["set_id"], entries["n"], entries["gram"]))]
+            gram, set_id = entries["gram"], entries["set_id"]
+            new = np.ones(len(entries), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (set_id[1:] != set_id[:-1])
+            entries = entries[new]
+            # In order of size, an entry fits any other of its list only if it fits a neighbour.
+            gram, n = entries["gram"], entries["n"].astype(np.int64)
+            pairs = (gram[1:] == gram[:-1]) & (percent * n[1:] <= 100 * n[:-1])
+            entries = entries[np.append(pairs, False) | np.append(False, pairs)]
+        return pa.table({
+            "gram": entries["gram"],
+            "set_id": entries["set_id"],
+            "n": entries["n"].astype(np.int64),
+            "place": entries["place"].astype(np.int64),
+            "hot": np.full(len(entries), hot),
+        })
+
+    return meet
 
 
 def _own_text(words: int):
