@@ -1,4 +1,92 @@
-STAGES = []
+"""A corpus from raw documents: language, exact copies, near copies, mixing, tokens.
+
+Every stage takes ``(spark, docs, sf_dir)``; the next one gets its written result. All but the last return the columns of
+``docs``, whatever further ones there are.
+
+Defined cases: decisions are made by ``doc_id``. Rows that share an identifier, null included, share what happens to
+them: they stay if one of them stays. Rows that repeat identifier and text (but for the case of A-Z) become one in the
+second stage. Null texts and texts without a letter go in the first stage, texts without words therefore too. An
+empty table passes through.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyfold.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_codec
+from skyfold.llm.common import held_out, read_documents
+from skyfold.session import written_table
+
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+PIECE_MODEL = os.environ.get("SKYFOLD_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language cannot be determined: no text or no letter."""
+    profiles = language_id.learn_profiles(docs.where(f"NOT ({held_out('doc_id', 3, 1)})"))
+    found = language_id.identify(docs, profiles)
+    return _staying(docs, found.selectExpr("doc_id", f"lang_pred <> '{language_id.UNDETERMINED}' AS kept"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest identifier stays."""
+    decisions = written_table(exact_dedup.exact_dedup(docs, keep="smallest").select("doc_id", "kept"))
+    staying = _staying(docs, decisions)
+    repeated = decisions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = repeated.select(F.col("doc_id").alias("_repeated_id"))
+    if repeated.isEmpty():
+        return staying
+    is_repeated = staying["doc_id"].eqNullSafe(repeated["_repeated_id"])
+    folded = F.translate(F.coalesce("text", F.lit("")), CAPITALS, CAPITALS.lower())
+    single = staying.join(repeated, is_repeated, "left_semi").withColumn("_folded", folded).dropDuplicates(["doc_id", "_folded"])
+    return staying.join(repeated, is_repeated, "left_anti").unionByName(single.drop("_folded"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a component of near copies the document with the smallest identifier stays."""
+    components = ngram_join.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    return _staying(docs, components.selectExpr("doc_id", "doc_id <=> component_id AS kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat every document as often as the mix takes it; documents not taken go."""
+    mixed = mixing.mix(docs).groupBy("doc_id").agg(F.max("times").alias("_times"))
+    times = mixed.select(F.col("doc_id").alias("_mixed_id"), "_times")
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_mixed_id"]))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).drop("_mixed_id", "_times", "_copy")
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The identifiers of every document, verified against the reference encoder and by decoding."""
+    return sentencepiece_codec.encode(docs, PIECE_MODEL)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("exact_copies", drop_exact_copies),
+    ("near_copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+#: SQL cannot express rank-order profiles, the budget fitting and the encoding; tests/llm has a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = written_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _staying(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The documents of whose identifier no decision is only to go. What goes is the smaller table."""
+    going = decisions.groupBy("doc_id").agg(F.expr("bool_or(kept)").alias("kept")).where("NOT kept")
+    going = going.select(F.col("doc_id").alias("_going_id"))
+    return docs.join(going, docs["doc_id"].eqNullSafe(going["_going_id"]), "left_anti")

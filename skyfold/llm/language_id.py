@@ -59,7 +59,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, grams, ranks = shared.value
         for batch in batches:
-            found = [_closest(text, names, grams, ranks, size) for text in map(pa.Scalar.as_py, batch.column(1))]
+            found = [_closest(text.as_py(), names, grams, ranks, size) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"],
