@@ -4,23 +4,36 @@ from __future__ import annotations
 
 # Spark's own cast also takes hexadecimal floats and a d/f suffix, which the catalogue format does not have.
 DECIMAL_TEXT = r"r'(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf(inity)?)\s*$'"
+INTEGER_TEXT = r"r'^\s*[+-]?\d+\s*$'"
 INFINITY = "double('infinity')"
 
 
 def to_float(text: str) -> str:
-    return f"CASE WHEN {text} RLIKE {DECIMAL_TEXT} THEN try_cast({text} AS DOUBLE) END"
+    return (
+        f"CASE WHEN {text} RLIKE {DECIMAL_TEXT} THEN try_cast({text} AS DOUBLE) "
+        f"WHEN {text} = 'true' THEN 1D WHEN {text} = 'false' THEN 0D END"
+    )
 
 
 def to_int(text: str) -> str:
-    return f"try_cast({text} AS BIGINT)"
+    """Integers of up to 38 digits, also when written as an integral decimal (``5.0``, ``5e0``)."""
+    number = f"try_cast({text} AS DOUBLE)"
+    return (
+        f"CASE WHEN {text} RLIKE {INTEGER_TEXT} THEN try_cast(trim({text}) AS DECIMAL(38, 0)) "
+        f"WHEN {text} RLIKE {DECIMAL_TEXT} AND {number} = floor({number}) THEN try_cast({number} AS DECIMAL(38, 0)) END"
+    )
 
 
 def to_bool(text: str) -> str:
     """``true``/``false`` by value, numbers by being non-zero, other text by being non-empty.
 
-    Deviation: the text "false" is false here, while plain truthiness would call it true.
+    Deviation: JSON values and quoted text look alike here, so the texts "false" and "0" are false as well, while
+    plain truthiness would call them true.
     """
-    return f"coalesce(try_cast({text} AS BOOLEAN), try_cast({text} AS DOUBLE) <> 0, length({text}) > 0)"
+    return (
+        f"CASE WHEN {text} = 'true' THEN true WHEN {text} = 'false' THEN false "
+        f"ELSE coalesce({to_float(text)} <> 0, length({text}) > 0) END"
+    )
 
 
 def to_time(text: str) -> str:
@@ -44,7 +57,7 @@ def coerce(text: str, kind: str) -> str:
 def uncoercible(text: str, kind: str) -> str | None:
     """True where ``text`` is present but is no value of its kind; None for kinds that take any text."""
     if kind in ("float", "float_nan"):
-        return f"{text} NOT RLIKE {DECIMAL_TEXT}"
+        return f"({text} NOT RLIKE {DECIMAL_TEXT} AND {text} NOT IN ('true', 'false'))"
     if kind in ("int", "time"):
         return f"({text} IS NOT NULL AND {COERCIONS[kind](text)} IS NULL)"
     return None

@@ -13,7 +13,8 @@ No task ever sees the raw rows of a bin, so a bin may hold most of all observati
 
 Deviations: where only upper limits have errors the plain mean of the detections is used (the weighted mean
 would be one of nothing); an error of exactly zero among several gives null flux and null error; ``upperlimit``
-is the flag of the bin; observations without finite time or flux are left out.
+is the flag of the bin; observations without finite time are left out; a bin holding a flux that is not finite has
+null flux and error, and counts all its observations.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfold.functions.coerce import finite_or_null, is_finite
+from skyfold.functions.coerce import finite_or_null
 from skyfold.functions.timebins import bin_centre, bin_id
 
 NAME = ("name",)
@@ -52,11 +53,10 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
     key = [*by, "band", "bin_id"]
     points = (
         assign_bins(light_curves, bin_width)
-        .where(is_finite("flux"))
         .selectExpr(
             *key,
             "pos",
-            "flux",
+            f"{finite_or_null('flux')} AS flux",
             f"{finite_or_null('e_flux')} AS e_flux",
             "coalesce(upperlimit, false) AS is_limit",
         )
@@ -68,11 +68,12 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
             "CASE WHEN NOT is_limit THEN try_divide(1D, e_flux * e_flux) END AS weight",
             f"""CASE WHEN NOT is_limit AND e_flux IS NOT NULL THEN
                 coalesce(int(floor(log(4D, abs(e_flux)))), {ZERO_ERROR}) END AS error_decade""",
-            "CASE WHEN is_limit THEN flux END AS limit_flux",
+            "CASE WHEN is_limit THEN coalesce(flux, double('infinity')) END AS limit_flux",
         )
     )
     groups = points.groupBy(*key, "error_decade", "limit_flux").agg(
         F.expr("count(*) AS n"),
+        F.expr("count(flux) AS n_finite"),
         F.expr("sum(flux) AS flux_sum"),
         F.expr("min_by(e_flux, pos) AS first_error"),
         F.expr("sum(weight) AS weight"),
@@ -96,6 +97,7 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
     )
     merged = centred.groupBy(*key).agg(
         F.expr("sum(n) AS n_obs"),
+        F.expr("sum(n) = sum(n_finite) AS all_finite"),
         F.expr("sum(CASE WHEN limit_flux IS NULL THEN n ELSE 0 END) AS n_detections"),
         F.expr("sum(CASE WHEN error_decade IS NOT NULL THEN n ELSE 0 END) AS n_errors"),
         F.expr("sum(CASE WHEN weight IS NOT NULL THEN n ELSE 0 END) AS n_weights"),
@@ -108,9 +110,11 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
         F.expr("max(total_weight) AS total_weight"),
         F.expr("sum(scatter) AS scatter"),
     )
-    weighted = f"method = '{WEIGHTED}' AND n_weights = n_errors"
+    weighted = f"method = '{WEIGHTED}' AND n_weights = n_errors AND all_finite"
+    values = ("detection_sum", "single_flux", "single_error", "weighted_mean", "limit_flux", "limit_error")
     return merged.selectExpr(
-        "*",
+        "* EXCEPT (" + ", ".join(values) + ")",
+        *[f"CASE WHEN all_finite THEN {name} END AS {name}" for name in values],
         f"""CASE WHEN n_detections = 0 THEN '{UPPER_LIMIT}'
                  WHEN n_errors = 0 THEN '{PLAIN_MEAN}'
                  WHEN n_errors = 1 THEN '{SINGLE}'

@@ -19,9 +19,6 @@ from skyfold.functions.sqltext import literals
 
 NAME = ("name",)
 
-# An array column never holds more than this many observations of one band (see ``band_arrays``).
-ARRAY_SPAN = 1_000_000
-
 
 def derive_flux_and_magnitude(observations: DataFrame) -> DataFrame:
     """Fill the missing one of flux and magnitude from the other; a missing zeropoint counts as 1."""
@@ -78,33 +75,35 @@ def select_bands(
 ) -> DataFrame:
     """The requested bands of every candidate, numbered in requested order.
 
-    A band without observations is one row with a null ``pos``. Only these empty bands need a join, and they
-    are found against the per-band counts, whose keys are unique: a band holding most of all observations
-    never meets in one task.
+    A band without observations is one row with a null ``pos``; light curves of objects that are no candidates
+    are left out. Empty bands are found against the per-band counts. Both joins have unique keys on one side, so
+    a band or object holding most of all observations can be split.
     """
     wanted = f"array({literals(bands)})"
-    chosen = light_curves.where(f"array_contains({wanted}, band)")
+    chosen = light_curves.where(f"array_contains({wanted}, band)").join(candidates.select(*by), list(by), "left_semi")
     filled = chosen.selectExpr("*", f"int(array_position({wanted}, band)) - 1 AS band_pos")
     requested = candidates.selectExpr(*by, f"posexplode({wanted}) AS (band_pos, band)")
     empty = requested.join(band_counts(chosen, by), [*by, "band"], "left_anti")
     return filled.unionByName(empty, allowMissingColumns=True)
 
 
-def band_arrays(light_curves: DataFrame, span: int = ARRAY_SPAN, by: Sequence[str] = NAME) -> DataFrame:
-    """Parallel arrays per band in input order.
+def band_arrays(light_curves: DataFrame, by: Sequence[str] = NAME, span: int | None = None) -> DataFrame:
+    """Parallel arrays in input order, one row per object and band.
 
-    Arrays are cut at multiples of ``span`` positions and numbered by ``part``, so that a row stays bounded
-    for a band of any length; a list of up to ``span`` observations is one row per band.
+    A band's observations come from one document, which fits one row. ``span`` is for light curves from elsewhere:
+    it cuts the arrays at multiples of so many positions, numbered by ``part``.
     """
     attributes = ("time", "e_time", "flux", "e_flux", "upperlimit")
-    gathered = (
-        light_curves.selectExpr("*", f"bigint(floor(pos / {span})) AS part")
-        .groupBy(*by, "band", "part")
-        .agg(F.expr(f"array_sort(collect_list(struct(pos, {', '.join(attributes)}))) AS points"))
-    )
-    return gathered.selectExpr(*by, "band", "part", *[f"points.{name} AS {name}" for name in attributes])
+    key = [*by, "band"]
+    if span is not None:
+        light_curves = light_curves.selectExpr("*", f"bigint(floor(pos / {span})) AS part")
+        key.append("part")
+    points = F.expr(f"array_sort(collect_list(struct(pos, {', '.join(attributes)}))) AS points")
+    gathered = light_curves.groupBy(*key).agg(points)
+    return gathered.selectExpr(*key, *[f"points.{name} AS {name}" for name in attributes])
 
 
-def band_matrix(arrays: DataFrame, by: Sequence[str] = NAME) -> DataFrame:
+def band_matrix(arrays: DataFrame) -> DataFrame:
     """Each band as a 4 x n matrix of time, time error, flux and flux error."""
-    return arrays.select(*by, "band", "part", F.array("time", "e_time", "flux", "e_flux").alias("matrix"))
+    matrix = F.array("time", "e_time", "flux", "e_flux").alias("matrix")
+    return arrays.withColumn("matrix", matrix).drop("time", "e_time", "flux", "e_flux", "upperlimit")

@@ -1,8 +1,7 @@
 """From file text to catalogue objects: envelope, coercion checks and rejects.
 
-Deviations forced by Spark's JSON reader: text after the root object is ignored instead of rejected if it
-ends with a brace, and a required text that is JSON null counts as missing. A number written for an integer field must be
-integral text (``5``, not ``5.0``).
+Deviations forced by Spark's JSON reader: a required text that is JSON null counts as missing; integers have at most
+38 digits. Of repeated keys the last one counts.
 """
 
 from __future__ import annotations
@@ -16,22 +15,35 @@ from skyfold.functions.sqltext import identifier, literals
 REJECTED_SCHEMA = "schema"
 REJECTED_INVALID = "invalid"
 
+LONG_LISTS = ("sources", "photometry", "spectra")
+
+# A map from JSON holds repeated keys; the entry whose distance from the end is its key's first from there stays.
+LAST_KEYS = """CASE WHEN size(array_distinct(map_keys(all_fields))) = size(all_fields) THEN all_fields
+    ELSE map_from_entries(filter(map_entries(all_fields), (entry, i) ->
+        array_position(reverse(map_keys(all_fields)), entry.key) = size(all_fields) - i)) END"""
+
 
 def structure_objects(texts: DataFrame) -> DataFrame:
     """Structure ``(file_stem, value)`` rows, one JSON document each.
 
-    Adds ``name``, ``schema``, ``has_photometry`` and ``payload`` (the object below the key equal to the
-    file stem). A malformed document keeps its row with a ``reason`` and a ``detail`` and has no payload,
-    so that unnesting it yields nothing. Narrow: no shuffle.
+    Adds ``name``, ``schema`` and ``has_photometry`` from the object below the key equal to the file stem, and the
+    text of its lists: ``sources``, ``photometry``, ``spectra`` and a map of the ``quantities``, so that unnesting one
+    reads no other. A malformed document keeps its row with a ``reason`` and a ``detail`` and has no lists. Narrow: no
+    shuffle.
     """
     kept = [identifier(column) for column in texts.columns if column != "value"]
     unwrapped = texts.selectExpr(
         *kept,
-        # Spark's reader stops at the end of the root object, hence the look at the last character.
-        """CASE WHEN endswith(rtrim(' \\t\\r\\n', value), '}') THEN
-           from_json(value, 'MAP<STRING, STRING>', map('allowSingleQuotes', 'false')) END AS envelope""",
-    ).selectExpr(*kept, "envelope IS NOT NULL AS is_object", "try_element_at(envelope, file_stem) AS payload")
-    parsed = unwrapped.selectExpr("*", "from_json(payload, 'MAP<STRING, STRING>') AS fields")
+        # Spark's reader stops at the end of the root object; as the only item of a list it must be all there is.
+        """from_json(concat('[', value, ']'), 'ARRAY<MAP<STRING, STRING>>', map('allowSingleQuotes', 'false')) AS roots""",
+    ).selectExpr(*kept, "CASE WHEN size(roots) = 1 THEN roots[0] END AS envelope").selectExpr(
+        *kept,
+        "envelope IS NOT NULL AS is_object",
+        "try_element_at(filter(map_entries(envelope), entry -> entry.key = file_stem), -1).value AS payload",
+    )
+    parsed = unwrapped.selectExpr("*", "from_json(payload, 'MAP<STRING, STRING>') AS all_fields").selectExpr(
+        "*", f"{LAST_KEYS} AS fields"
+    )
     checked = parsed.selectExpr("*", f"{_first_problem()} AS detail")
     # Emitting the outcome through a generator keeps later filters on it from being pushed down, where the
     # parsed document would be spelled out, and parsed, once per reference.
@@ -41,7 +53,9 @@ def structure_objects(texts: DataFrame) -> DataFrame:
             'name', {_field("name")},
             'schema', {_field("schema")},
             'has_photometry', {_field("photometry")} IS NOT NULL,
-            'payload', CASE WHEN detail IS NULL THEN payload END,
+            {", ".join(f"'{name}', CASE WHEN detail IS NULL THEN {_field(name)} END" for name in LONG_LISTS)},
+            'quantities', CASE WHEN detail IS NULL THEN
+                map_filter(fields, (name, text) -> name IN ({literals(schemas.QUANTITIES)})) END,
             'reason', CASE WHEN is_object AND payload IS NULL THEN '{REJECTED_SCHEMA}'
                            WHEN NOT is_object OR detail IS NOT NULL THEN '{REJECTED_INVALID}' END,
             'detail', CASE WHEN NOT is_object THEN 'not a JSON object'
@@ -56,7 +70,7 @@ def candidates(objects: DataFrame) -> DataFrame:
 
 def rejects(objects: DataFrame) -> DataFrame:
     """The skipped files: ``schema`` (no entry for the file) or ``invalid`` (malformed content)."""
-    return objects.where("reason IS NOT NULL").drop("name", "schema", "has_photometry", "payload")
+    return objects.where("reason IS NOT NULL").drop("name", "schema", "has_photometry", "quantities", *LONG_LISTS)
 
 
 def _field(name: str) -> str:

@@ -1,6 +1,6 @@
-"""Unnest the payload of catalogue objects into long tables.
+"""Unnest the lists of catalogue objects into long tables.
 
-Every function parses only its own part of the payload, is narrow (no shuffle) and keeps the identifying
+Every function reads and parses only its own list, is narrow (no shuffle) and keeps the identifying
 columns ``by`` of the candidates. Positions are those of the input lists.
 """
 
@@ -27,10 +27,8 @@ def sources(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
 
 def quantities(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
     """One row per datum of the quantity lists; float-valued quantities also fill ``value_num``."""
-    entries = ", ".join(f"named_struct('quantity', '{name}', 'text', texts.{name})" for name in schemas.QUANTITIES)
     items = (
-        candidates.selectExpr(*by, f"from_json(payload, '{schemas.text_struct(schemas.QUANTITIES)}') AS texts")
-        .selectExpr(*by, f"inline(array({entries}))")
+        candidates.selectExpr(*by, "explode(quantities) AS (quantity, text)")
         .selectExpr(
             *by,
             "quantity",
@@ -104,7 +102,7 @@ def spectrum_points(spectra: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame
 
 
 def _items(candidates: DataFrame, by: Sequence[str], name: str, fields: Iterable[str]) -> DataFrame:
-    parsed = f"from_json(payload, 'STRUCT<{identifier(name)}: {schemas.text_struct_array(fields)}>').{name}"
+    parsed = f"from_json({name}, '{schemas.text_struct_array(fields)}')"
     return candidates.selectExpr(*by, f"posexplode({parsed}) AS (pos, item)")
 
 

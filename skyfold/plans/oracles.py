@@ -144,8 +144,8 @@ OBJECTS = (
     EVENTS
     + """,
 rows AS (
-  SELECT *, user_id || '.' || event_id // 100000 AS stem, user_id % 29 AS defect,
-         row_number() OVER (PARTITION BY user_id, event_id // 100000 ORDER BY event_id) - 1 AS p,
+  SELECT *, user_id || '.' || event_id // 2000 AS stem, user_id % 29 AS defect,
+         row_number() OVER (PARTITION BY user_id, event_id // 2000 ORDER BY event_id) - 1 AS p,
          CASE WHEN event_id % 10 = 0 THEN ((mjd - 0.5::DOUBLE) + (mjd + 0.5::DOUBLE)) / 2 ELSE mjd END AS t
   FROM ev),
 objects AS (
@@ -213,6 +213,11 @@ def two_checks(select: str) -> str:
     return f"WITH {EVENTS}, {TWO_CHECKS} {select}"
 
 
+CATALOG_CURVES = f"""{OBJECTS.replace("lc AS (", "event_lc AS (")},
+lc AS (
+  SELECT *, replace(band_raw, '''', '_pr') AS band FROM catalog_obs
+  WHERE flux IS NOT NULL AND band_raw NOT IN ('V', 'clear'))"""
+
 ORACLES: dict[str, str] = {
     "flux_from_magnitude": f"WITH {MAGNITUDES} SELECT name, pos, round(flux, 9) AS flux FROM derived",
     "magnitude_from_flux": f"WITH {MAGNITUDES} SELECT name, pos, round(magnitude, 9) AS magnitude FROM derived",
@@ -226,20 +231,24 @@ SELECT name, pos FROM derived WHERE flux IS NOT NULL AND pos % 7 <> 3 AND pos %
 SELECT name, band, pos, time, CAST(NULL AS DOUBLE) AS e_time, flux, e_flux, upperlimit FROM lc""",
     "band_counts": f"WITH {EVENTS} SELECT name, band, count(*) AS n_obs FROM lc GROUP BY name, band",
     "candidate_counts": f"""WITH {EVENTS}
-SELECT CAST(c_custkey AS VARCHAR) AS name, count(lc.pos) AS n_obs
-FROM customer LEFT JOIN lc ON lc.name = CAST(c_custkey AS VARCHAR) GROUP BY c_custkey""",
+SELECT name, count(lc.pos) AS n_obs FROM cand LEFT JOIN lc USING (name) GROUP BY name""",
     "all_bands": f"WITH {EVENTS}, {band_dimension(ALL_BANDS['all'])} {BAND_SELECTION}",
+    "valid_candidate_bands": two_checks(
+        f""", {band_dimension(ALL_BANDS['all'])}, valid AS (
+  SELECT * FROM cand WHERE name NOT IN (SELECT name FROM results WHERE NOT is_valid))
+{BAND_SELECTION.replace("FROM cand c", "FROM valid c")}"""
+    ),
     "bandset_bands": f"WITH {EVENTS}, {band_dimension(BANDSET_ROWS['gri_primed'])} {BAND_SELECTION}",
-    "band_arrays": f"""WITH {EVENTS}
-SELECT name, band, pos // 1000000 AS part, count(*) AS n_points,
+    "band_arrays": f"""WITH {CATALOG_CURVES}
+SELECT name, band, count(*) AS n_points,
        string_agg(CAST(CAST(round(flux * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS flux,
        string_agg(coalesce(CAST(CAST(round(e_flux * 1000) AS BIGINT) AS VARCHAR), 'null'), ',' ORDER BY pos) AS e_flux,
        string_agg(CAST(CAST(upperlimit AS INT) AS VARCHAR), ',' ORDER BY pos) AS upperlimit
-FROM lc GROUP BY name, band, pos // 1000000""",
-    "band_matrix": f"""WITH {EVENTS}
-SELECT name, band, pos // 1000000 AS part, CAST(4 AS BIGINT) AS n_rows, count(*) AS n_columns,
-       arg_min(flux, pos) AS first_flux, arg_max(flux, pos) AS last_flux
-FROM lc GROUP BY name, band, pos // 1000000""",
+FROM lc GROUP BY name, band""",
+    "band_matrix": f"""WITH {CATALOG_CURVES}
+SELECT name, band, CAST(4 AS BIGINT) AS n_rows, count(*) AS n_columns,
+       round(arg_min(flux, pos), 6) AS first_flux, round(arg_max(flux, pos), 6) AS last_flux
+FROM lc GROUP BY name, band""",
     "bin_assignment": f"""WITH {EVENTS}
 SELECT name, band, pos, CAST(floor(time / 3) AS BIGINT) AS bin_id, floor(time / 3) * 3 + 1.5::DOUBLE AS bin_centre
 FROM lc""",
@@ -359,11 +368,7 @@ FROM good GROUP BY stem""",
 SELECT stem AS name, CAST(row_number() OVER (PARTITION BY stem ORDER BY event_id) - 1 AS INT) AS point_pos,
        CAST(event_id AS DOUBLE) AS wavelength, value AS flux
 FROM good WHERE event_id % 3 = 0""",
-    "catalog_binned": f"""WITH {OBJECTS.replace("lc AS (", "event_lc AS (")},
-lc AS (
-  SELECT *, replace(band_raw, '''', '_pr') AS band FROM catalog_obs
-  WHERE flux IS NOT NULL AND band_raw NOT IN ('V', 'clear')),
-{bins(3)}
+    "catalog_binned": f"""WITH {CATALOG_CURVES}, {bins(3)}
 SELECT name, band, bin_id, round(flux, 6) AS flux, round(e_flux, 6) AS e_flux, upperlimit, n_obs FROM bins""",
     "log_files": f"WITH {LOGS} SELECT value FROM lines",
     "log_keyword": f"WITH {LOGS} SELECT event_id, value FROM lines WHERE contains(value, 'error')",

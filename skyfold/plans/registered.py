@@ -96,8 +96,8 @@ def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as candidates, most of which have no observation."""
-    customers = fixtures.read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"))
-    return lc.candidate_counts(customers, fixtures.event_light_curves(spark, sf_dir))
+    tables = fixtures.event_tables(spark, sf_dir)
+    return lc.candidate_counts(tables.candidates, tables.light_curves)
 
 
 @register
@@ -107,6 +107,14 @@ def all_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selected.select("name", "band_pos", "band", "pos", "time", "flux")
 
 
+@register
+def valid_candidate_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands of the candidates that pass the checks, and of no other object."""
+    tables = fixtures.event_tables(spark, sf_dir)
+    valid = validation.filter_valid(tables.candidates, validation.check_results(tables, _checks()))
+    return lc.select_bands(valid, tables.light_curves).select("name", "band_pos", "band", "pos", "time", "flux")
+
+
 @register
 def bandset_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = fixtures.event_tables(spark, sf_dir)
@@ -116,11 +124,10 @@ def bandset_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def band_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrays = fixtures.event_light_curves(spark, sf_dir).transform(lc.band_arrays)
+    arrays = lc.band_arrays(_catalog_curves(spark, sf_dir), unnest.OBJECT)
     return arrays.select(
         "name",
         "band",
-        "part",
         F.size("time").cast("bigint").alias("n_points"),
         _joined("flux").alias("flux"),
         _joined("e_flux").alias("e_flux"),
@@ -132,17 +139,17 @@ def _joined(array: str) -> Column:
     """Array as text, thousandths for numbers, so that any engine renders it alike."""
     if array == "upperlimit":
         return F.array_join(F.transform(array, lambda x: x.cast("int").cast("string")), ",")
-    return F.array_join(F.transform(array, lambda x: F.round(x * 1000).cast("bigint").cast("string")), ",", "null")
+    thousandths = F.transform(array, lambda x: F.round(F.nullif(x, F.lit(float("nan"))) * 1000).cast("bigint").cast("string"))
+    return F.array_join(thousandths, ",", "null")
 
 
 @register
 def band_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = fixtures.event_light_curves(spark, sf_dir).transform(lc.band_arrays).transform(lc.band_matrix)
-    first, last = F.col("matrix")[2][0], F.element_at(F.col("matrix")[2], -1)
+    matrix = lc.band_matrix(lc.band_arrays(_catalog_curves(spark, sf_dir), unnest.OBJECT))
+    first, last = F.round(F.col("matrix")[2][0], 6), F.round(F.element_at(F.col("matrix")[2], -1), 6)
     return matrix.select(
         "name",
         "band",
-        "part",
         F.size("matrix").cast("bigint").alias("n_rows"),
         F.size(F.col("matrix")[0]).cast("bigint").alias("n_columns"),
         first.alias("first_flux"),
@@ -365,10 +372,15 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _catalog_files(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the catalogue written as one file per object."""
     path = scratch_dir(spark)
-    catalog.write_object_files(fixtures.catalog_texts(spark, sf_dir), path)
+    fixtures.write_object_files(fixtures.catalog_texts(spark, sf_dir), path)
     return path
 
 
+def _catalog_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observations = unnest.observations(_objects(spark, sf_dir), unnest.LIGHT_CURVE_FIELDS)
+    return lc.light_curves(observations.transform(lc.derive_flux_and_magnitude), unnest.OBJECT)
+
+
 def _observation_columns(observations: DataFrame) -> DataFrame:
     return observations.transform(lc.derive_flux_and_magnitude).select(
         "name",
@@ -465,7 +477,9 @@ def field_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def sources_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unnest.sources(_objects(spark, sf_dir)).select("name", "pos", "alias", "source_name", "secondary")
+    return unnest.sources(_objects(spark, sf_dir)).select(
+        "name", "pos", F.col("alias").cast("bigint").alias("alias"), "source_name", "secondary"
+    )
 
 
 @register
@@ -505,9 +519,7 @@ def spectrum_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def catalog_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From JSON documents to binned light curves."""
-    observations = unnest.observations(_objects(spark, sf_dir), unnest.LIGHT_CURVE_FIELDS)
-    curves = lc.light_curves(observations.transform(lc.derive_flux_and_magnitude), unnest.OBJECT)
-    bins = binning.binned_light_curve(curves, by=unnest.OBJECT)
+    bins = binning.binned_light_curve(_catalog_curves(spark, sf_dir), by=unnest.OBJECT)
     return bins.select("name", "band", "bin_id", rounded("flux"), rounded("e_flux"), "upperlimit", "n_obs")
 
 

@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.operators.logs import message_text, number_lines
+from skyfold.sources.catalog import decoded
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a file, or of every file directly inside a folder, with the place they were read from."""
-    return spark.read.text(path).select(
+    return _lines(spark, path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         "value",
     )
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The file at ``path``, or the files whose folder it is; the names prune the files of sub-folders."""
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    own = F.regexp_replace(decoded(F.col("_metadata.file_path")), scheme, "")
+    wanted = re.sub(scheme, "", path).rstrip("/")
+    folder = F.regexp_replace(own, "/[^/]*$", "")
+    if wanted.startswith("/"):
+        inside = (own == wanted) | (folder == wanted)
+    else:
+        inside = own.endswith("/" + wanted) | folder.endswith("/" + wanted)
+    return spark.read.option("recursiveFileLookup", True).text(path).where(inside)
+
+
 def write_collection(lines: DataFrame, collection: str, path: str) -> bool:
     """Write kept lines as the named collection: number, record and message text.
 
     The layout is partitioned JSON files instead of two files per record. Without lines nothing is written.
     """
-    if lines.isEmpty():
-        warnings.warn("no lines to write", stacklevel=2)
-        return False
     records = lines.transform(number_lines).transform(message_text)
+    written = Observation()
     records.select(
         F.lit(collection).alias("collection"), "number", F.col("value").alias("record"), "text"
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").json(path)
+    ).observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("collection").json(path)
+    if not written.get["n"]:
+        warnings.warn("no lines to write", stacklevel=2)
+        return False
     return True

@@ -100,8 +100,11 @@ def test_edge_cases(spark):
         ("no flag", "B", 0, 1.0, 4.0, 0.5, None),
         ("not finite", "B", 0, nan, 4.0, 0.5, False),
         ("not finite", "B", 1, inf, 4.0, 0.5, False),
-        ("not finite", "B", 2, 1.0, nan, 0.5, False),
-        ("not finite", "B", 3, 1e300, 4.0, 0.5, False),
+        ("no finite flux", "B", 0, 1.0, nan, 0.5, False),
+        ("infinite limit", "B", 0, 1.0, inf, 0.5, True),
+        ("one infinite flux", "B", 0, 1.0, 4.0, 0.5, False),
+        ("one infinite flux", "B", 1, 2.0, -inf, 0.5, False),
+        ("far away", "B", 0, 1e300, 4.0, 0.5, False),
     ]
     result = {
         r.name: (r.flux, r.e_flux, r.upperlimit, r.method)
@@ -109,6 +112,10 @@ def test_edge_cases(spark):
     }
     assert result == {
         "limit errors only": (6.0, None, False, "plain mean"),
+        "no finite flux": (None, None, False, "single"),
+        "infinite limit": (None, None, True, "upper limit"),
+        "one infinite flux": (None, None, False, "weighted"),
+        "far away": (4.0, 0.5, False, "single"),
         "zero error": (None, None, False, "weighted"),
         "single zero error": (4.0, 0.0, False, "single"),
         "infinite error": (4.0, None, False, "plain mean"),

@@ -16,6 +16,8 @@ def folder(tmp_path):
     for f in range(3):
         lines = [json.dumps({"text": f"{'Error' if i % 3 else 'error'} {f}-{i}"}) for i in range(5000)]
         (path / f"{f}.log").write_text("\n".join(lines) + "\n")
+    (path / "day=1").mkdir()
+    (path / "day=1" / "0.log").write_text('{"text": "error"}\n')
     (path / "filtered" / "old.log").write_text('{"text": "error"}\n')
     return str(path)
 

@@ -8,11 +8,13 @@ import pytest
 from conftest import plan_of
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 
+from skyfold import schemas
 from skyfold.operators import unnest
 from skyfold.operators.light_curves import derive_flux_and_magnitude, light_curves
 from skyfold.operators.structuring import candidates, rejects, structure_objects
-from skyfold.plans import catalog_jobs
+from skyfold.plans import catalog_jobs, fixtures
 from skyfold.sources import catalog
 from skyfold.streaming.catalog_stream import ingest_stream
 
@@ -34,6 +36,9 @@ REJECTED = {
     "not json": ("not json", "invalid"),
     "single quotes": ("{'single quotes': {'schema': 'v1', 'name': 'a', 'sources': []}}", "invalid"),
     "trailing text": ('{"trailing text": {"schema": "v1", "name": "a", "sources": []}} more', "invalid"),
+    "second root": ('{"second root": {"schema": "v1", "name": "a", "sources": []}} {"x": 1}', "invalid"),
+    "listed roots": ('{"listed roots": {"schema": "v1", "name": "a", "sources": []}}, {"x": 1}', "invalid"),
+    "brace too many": ('{"brace too many": {"schema": "v1", "name": "a", "sources": []}}}', "invalid"),
     "cut short": ('{"cut short": {"schema": "v1", "name": "a", "sources": []}', "invalid"),
     "empty": ("", "invalid"),
     "list root": ([{"a": 1}], "invalid"),
@@ -85,9 +90,55 @@ def test_white_space_around_the_document(spark):
     assert candidates(structured(spark, {"a": text})).count() == 1
 
 
+def test_the_last_of_repeated_keys_counts(spark):
+    text = """{"a": {"name": "x"}, "a": {"schema": "v1", "name": "first", "name": "last", "sources": [],
+        "sources": [{"alias": 5.0, "secondary": "no"}, {"alias": "7e0", "secondary": 0}], "redshift": [{"source": "1", "value": true}]}}"""
+    objects = structured(spark, {"a": text})
+    assert candidates(objects).first().name == "last"
+    assert [(int(r.alias), r.secondary) for r in unnest.sources(objects).orderBy("pos").collect()] == [(5, True), (7, False)]
+    assert unnest.quantities(objects).first().value_num == 1.0
+
+
+def test_every_quantity_list_is_unnested(spark):
+    lists = {name: [{"source": "1", "value": "2.5"}] * (i % 3) for i, name in enumerate(schemas.QUANTITIES)}
+    rows = unnest.quantities(structured(spark, {"a": {"a": valid("a", **lists)}})).collect()
+    found = {(r.quantity, r.pos): (r.value_str, r.value_num) for r in rows}
+    assert found == {
+        (name, pos): ("2.5", 2.5 if name in schemas.FLOAT_QUANTITIES else None) for name in lists for pos in range(len(lists[name]))
+    }
+
+
+def test_each_table_reads_its_own_list(spark, tmp_path):
+    structured(spark, {"a": {"a": valid("a", photometry=[observation()])}}).write.parquet(str(tmp_path / "objects"))
+    read = {"sources": "sources", "quantities": "quantities", "observations": "photometry", "spectra": "spectra"}
+    tables = catalog_jobs.unnested(spark, str(tmp_path))
+    for name, column in read.items():
+        scanned = [line for line in plan_of(tables[name]).split("\n") if "ReadSchema" in line]
+        assert scanned and all(column in line for line in scanned)
+        assert not any(other in line.replace("file_stem", "") for line in scanned for other in set(read.values()) - {column})
+
+
+def test_only_files_directly_in_the_folder(spark, tmp_path):
+    names = ("SN1", "[HP99] 456", "q*", "{a,b}")
+    for folder, stems in ((tmp_path / "c [1]", names), (tmp_path / "c [1]" / "x=1", ("deep",))):
+        folder.mkdir(parents=True)
+        for stem in stems:
+            (folder / f"{stem}.json").write_text(json.dumps({stem: valid(stem)}))
+    path = str(tmp_path / "c [1]")
+    assert sorted(r.file_stem for r in catalog.read_texts(spark, path).collect()) == sorted(names)
+    assert sorted(r.file_name for r in catalog.list_files(spark, path).collect()) == sorted(f"{n}.json" for n in names)
+    assert catalog.read_text(spark, path, "q*").count() == 1
+    ingest_stream(spark, path, str(tmp_path / "objects"), str(tmp_path / "state"), 3)
+    assert sorted(r.file_stem for r in spark.read.parquet(str(tmp_path / "objects")).collect()) == sorted(names)
+    (tmp_path / "none" / "x=1").mkdir(parents=True)
+    assert catalog.read_texts(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(AnalysisException):
+        catalog.read_texts(spark, str(tmp_path / "missing"))
+
+
 optional_text = st.one_of(st.none(), st.text(st.characters(exclude_categories=["Cs"])))
 source_records = st.fixed_dictionaries(
-    {"alias": st.integers(-(2**63), 2**63 - 1)},
+    {"alias": st.integers(-(10**38) + 1, 10**38 - 1)},
     optional={
         "secondary": st.one_of(st.none(), st.booleans()),
         **{field: optional_text for field in ("name", "url", "bibcode", "doi", "arxivid", "acknowledgement")},
@@ -214,7 +265,7 @@ def test_files(spark, folder):
 
 def test_written_files_read_back(spark, tmp_path):
     texts = spark.createDataFrame([(name, f'{{"{i}":"\\n"}}') for i, name in enumerate(NAMES)], "file_stem STRING, value STRING")
-    catalog.write_object_files(texts, str(tmp_path / "out"))
+    fixtures.write_object_files(texts, str(tmp_path / "out"))
     assert sorted(catalog.read_texts(spark, str(tmp_path / "out")).collect()) == sorted(texts.collect())
 
 
