@@ -50,7 +50,11 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the windows of ``n`` words; with fewer words the whole sequence is one."""
-    words = word_hashes(text)
+    return set_of(word_hashes(text), n)
+
+
+def set_of(words: np.ndarray, n: int) -> np.ndarray:
+    """``shingle_set`` from word hashes."""
     grams = gram_hashes(words, n if len(words) >= n else len(words)) if len(words) else words
     grams = np.sort(grams)
     keep = np.ones(len(grams), bool)

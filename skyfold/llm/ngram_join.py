@@ -1,11 +1,12 @@
 """N-gram Jaccard join with a prefix tree.
 
 A document is the set of its word n-grams (64-bit hashes). All sets follow one global order: n-grams that many
-documents share come last, by frequency, the others by hash. Two sets of similarity ``percent`` or more share an n-gram
+documents share come last, by frequency; the others come by the count of their rarest word (in powers of the root of
+two, from a table of ``1 << WORD_BITS`` cells in which words may share a cell), then by hash. Two sets of similarity ``percent`` or more share an n-gram
 in their leading parts of ``n - ceil(s n) + 1`` entries, so only these parts are exchanged.
 
 1. ``sets``: one pass gives every document its set's size and digest; documents with equal sets are one set from here
-   on. The pass also finds the frequent n-grams: those frequent in a batch, summed over batches.
+   on. The pass also counts words by cell and finds the frequent n-grams: those frequent in a batch, summed over batches.
 2. ``shared``: leading entries meet by n-gram, packed in binary blocks per segment; those of one set only are dropped.
    Frequent n-grams are known to be shared and pass through the segments unsorted, dealt out evenly. An entry stays
    only if the list has another one of a fitting size.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from skyfold.llm.common import identified
 from skyfold.llm.components import connected_components
-from skyfold.llm.hashing import mixed, shingle_set
+from skyfold.llm.hashing import gram_hashes, mixed, set_of, shingle_set, word_hashes
 from skyfold.session import written_table
 
 # An n-gram is frequent if it is in one of this many documents; of frequent ones at most MAX_FREQUENT (16 bytes each)
@@ -51,11 +52,13 @@ SEGMENT_ENTRIES = 500_000
 GROUP_SETS = 256
 STEP = 64
 SKETCH_BITS = 1024
+WORD_BITS = 23
+WORD_SEGMENTS = 64
 CHUNK_BYTES = 12_000_000
 # Rows of (identifier, set) that may be broadcast, 16 bytes each, to find the texts of candidates.
 BROADCAST_ROWS = 1_000_000
 
-SET_ROWS = "doc_id bigint, n bigint, set_id bigint, sketch array<bigint>, grams array<bigint>, counts array<bigint>"
+SET_ROWS = "doc_id bigint, n bigint, set_id bigint, sketch array<bigint>, grams array<bigint>, counts array<bigint>, cells binary"
 BLOCK_ROWS = "segment int, entries binary"
 SHARED_ROWS = "gram bigint, set_id bigint, n bigint, place bigint"
 ENTRY = np.dtype([("gram", "<i8"), ("set_id", "<i8"), ("n", "<i4"), ("place", "<i4")])
@@ -151,13 +154,19 @@ def _shared_entries(texts: DataFrame, scanned: DataFrame, words: int, percent: i
     spark = texts.sparkSession
     totals = scanned.where("n >= 0").agg(F.count(F.lit(1)), F.sum("n")).first()
     least = max(2 * MIN_FREQUENT, totals[0] // (2 * FREQUENT_SHARE))
-    counted = scanned.where("n < 0").selectExpr("inline(arrays_zip(grams, counts))").groupBy("grams").agg(F.sum("counts").alias("df"))
+    counted = scanned.where("n = -1").selectExpr("inline(arrays_zip(grams, counts))").groupBy("grams").agg(F.sum("counts").alias("df"))
     frequent = counted.where(F.col("df") >= least).orderBy(F.desc("df"), "grams").limit(MAX_FREQUENT).toPandas()
     order = np.argsort(frequent["grams"].to_numpy(np.int64).view(np.uint64))
     grams = frequent["grams"].to_numpy(np.int64).view(np.uint64)[order]
     counts = frequent["df"].to_numpy(np.int64)[order]
     segments = max(64, int((totals[1] or 0) * (100 - percent) / 100 / SEGMENT_ENTRIES))
-    known = spark.sparkContext.broadcast((grams, counts))
+    by_segment = scanned.where("n = -2").select("set_id", "cells").groupBy("set_id")
+    levels = np.zeros(1 << WORD_BITS, np.uint8)
+    size = len(levels) // WORD_SEGMENTS
+    found = by_segment.applyInArrow(_cell_levels, "segment bigint, levels binary").toPandas()  # one byte per cell
+    for segment, part in zip(found["segment"], found["levels"], strict=True):
+        levels[segment * size : (segment + 1) * size] = np.frombuffer(part, np.uint8)
+    known = spark.sparkContext.broadcast((grams, counts, levels))
     blocks = texts.mapInArrow(_leader(words, percent, segments, known), BLOCK_ROWS)
     met = written_table(blocks.groupBy("segment").applyInArrow(_meeting(segments, percent), f"{SHARED_ROWS}, hot boolean"))
     hot = written_table(met.where("hot").drop("hot").distinct())
@@ -196,19 +205,37 @@ def set_digest(grams: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0])
 
 
-def leading(grams: np.ndarray, percent: int, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+def levelled_set(text: bytes, n: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_set`` and, for each n-gram, the level of its rarest word."""
+    words = word_hashes(text)
+    if not len(words):
+        return words, np.zeros(0, np.uint8)
+    n = min(n, len(words))
+    grams = gram_hashes(words, n)
+    of_words = levels[(words >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+    of_grams = of_words[: len(grams)]
+    for i in range(1, n):
+        of_grams = np.minimum(of_grams, of_words[i : i + len(grams)])
+    order = np.argsort(grams)
+    grams, of_grams = grams[order], of_grams[order]
+    keep = np.ones(len(grams), bool)
+    keep[1:] = grams[1:] != grams[:-1]
+    return grams[keep], of_grams[keep]
+
+
+def leading(grams: np.ndarray, levels: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The leading entries of a set in global order, and how many of them are not frequent. Empty for sets that
     are too small to be similar to another."""
     n = len(grams)
     if n * (100 - percent) < percent:
         return grams[:0], 0
     size = n - -(-percent * n // 100) + 1
-    frequent, counts = known
-    if not len(frequent):
-        return grams[:size], size
-    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-    is_frequent = frequent[at] == grams
-    plain = grams[~is_frequent]
+    is_frequent = np.zeros(n, bool)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+        is_frequent = frequent[at] == grams
+    plain, plain_levels = grams[~is_frequent], levels[~is_frequent]
+    plain = plain[np.argsort(plain_levels, kind="stable")]
     if len(plain) >= size:
         return plain[:size], size
     common, common_at = grams[is_frequent], at[is_frequent]
@@ -285,9 +312,10 @@ def _scanner(words: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in _chunks(batch.column(1)):
-                sizes, set_ids, sketches, seen, parts = [], [], [], set(), []
+                sizes, set_ids, sketches, seen, parts, cells = [], [], [], set(), [], []
                 for _, text in chunk:
-                    grams = shingle_set(text, words)
+                    hashes = word_hashes(text)
+                    grams = set_of(hashes, words)
                     set_id = set_digest(grams) if len(grams) else 0
                     sizes.append(len(grams))
                     set_ids.append(set_id)
@@ -295,34 +323,59 @@ def _scanner(words: int):
                     if len(grams) and set_id not in seen:
                         seen.add(set_id)
                         parts.append(grams)
-                none = np.zeros(0, np.uint64)
-                grams, counts = np.unique(np.concatenate([none, *parts]), return_counts=True)
+                        cells.append((hashes >> np.uint64(64 - WORD_BITS)).astype(np.uint32))
+                grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
                 often = counts >= max(MIN_FREQUENT, len(chunk) // FREQUENT_SHARE)
+                blocks = _cell_blocks(np.concatenate([np.zeros(0, np.uint32), *cells]))
+                ids = batch.column(0).slice(chunk[0][0], len(chunk)).to_pylist()
+                more = 1 + len(blocks)
                 empty: list[list[int]] = [[]] * len(chunk)
+                gap: list[list[int]] = [[]] * len(blocks)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*batch.column(0).slice(chunk[0][0], len(chunk)).to_pylist(), None], pa.int64()),
-                        pa.array([*sizes, -1], pa.int64()),
-                        pa.array([*set_ids, 0], pa.int64()),
-                        pa.array([*sketches, []], pa.list_(pa.int64())),
-                        pa.array([*empty, grams[often].view(np.int64)], pa.list_(pa.int64())),
-                        pa.array([*empty, counts[often].astype(np.int64)], pa.list_(pa.int64())),
+                        pa.array([*ids, *[None] * more], pa.int64()),
+                        pa.array([*sizes, -1, *[-2] * len(blocks)], pa.int64()),
+                        pa.array([*set_ids, 0, *[segment for segment, _ in blocks]], pa.int64()),
+                        pa.array([*sketches, [], *gap], pa.list_(pa.int64())),
+                        pa.array([*empty, grams[often].view(np.int64), *gap], pa.list_(pa.int64())),
+                        pa.array([*empty, counts[often].astype(np.int64), *gap], pa.list_(pa.int64())),
+                        pa.array([*[None] * (len(chunk) + 1), *[block for _, block in blocks]], pa.binary()),
                     ],
-                    ["doc_id", "n", "set_id", "sketch", "grams", "counts"],
+                    ["doc_id", "n", "set_id", "sketch", "grams", "counts", "cells"],
                 )
 
     return scan
 
 
+def _cell_blocks(cells: np.ndarray) -> list[tuple[int, bytes]]:
+    """Cells with their counts, one block per segment."""
+    cells, counts = np.unique(cells, return_counts=True)
+    pairs = np.stack((cells, counts.astype(np.uint32)), axis=1)
+    cuts = np.searchsorted(cells, np.arange(WORD_SEGMENTS + 1) * ((1 << WORD_BITS) // WORD_SEGMENTS))
+    return [(s, pairs[cuts[s] : cuts[s + 1]].tobytes()) for s in range(WORD_SEGMENTS) if cuts[s] < cuts[s + 1]]
+
+
+def _cell_levels(blocks: pa.Table) -> pa.Table:
+    """Summed counts of a segment's cells as levels, in half powers of two."""
+    segment, size = blocks.column("set_id")[0].as_py(), (1 << WORD_BITS) // WORD_SEGMENTS
+    totals = np.zeros(size)
+    for block in blocks.column("cells").to_pylist():
+        pairs = np.frombuffer(block, np.uint32).reshape(-1, 2)
+        totals[pairs[:, 0] - np.uint32(segment * size)] += pairs[:, 1]
+    levels = np.ceil(2 * np.log2(totals + 1)).astype(np.uint8)
+    return pa.table({"segment": [segment], "levels": pa.array([levels.tobytes()], pa.binary())})
+
+
 def _leader(words: int, percent: int, segments: int, known: Broadcast):
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts, table = known.value
         for batch in batches:
             seen: set[int] = set()
             for chunk in _chunks(batch.column(1)):
                 plain, hot = [np.zeros(0, ENTRY)], [np.zeros(0, ENTRY)]
                 for _, text in chunk:
-                    grams = shingle_set(text, words)
-                    first, unmet = leading(grams, percent, known.value)
+                    grams, levels = levelled_set(text, words, table)
+                    first, unmet = leading(grams, levels, percent, frequent, counts)
                     if not len(first) or (set_id := set_digest(grams)) in seen:
                         continue
                     seen.add(set_id)

@@ -1,0 +1,319 @@
+"""Operators against brute force, exact round trips or held-out accuracy."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from skyfold.llm import lm_score, mixing, ngram_join, quality_model, quality_rules, sentencepiece_codec, sharding
+from skyfold.llm.components import connected_components
+from skyfold.llm.hashing import shingle_set, word_hashes
+from skyfold.llm.queries import ORACLES, PIECE_MODEL, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def connection():
+    connection = duckdb.connect()
+    for table in ("documents", "labels"):
+        connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
+    return connection
+
+
+@pytest.fixture(scope="module")
+def documents(connection):
+    return dict(connection.sql("SELECT doc_id, text FROM documents").fetchall())
+
+
+@pytest.fixture(scope="module")
+def results(spark):
+    cache = {}
+
+    def result(name):
+        if name not in cache:
+            cache[name] = {row.doc_id: row for row in QUERIES[name](spark, SF_DIR).collect()}
+        return cache[name]
+
+    return result
+
+
+def lowered(text):
+    return (text or "").encode().lower()
+
+
+def held_out(doc_id, modulus, remainder):
+    return zlib.crc32(str(doc_id).encode()) % modulus == remainder
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_oracle(spark, connection, name):
+    own = [row.asDict() for row in QUERIES[name](spark, SF_DIR).collect()]
+    table = connection.sql(ORACLES[name])
+    expected = [dict(zip(table.columns, row, strict=True)) for row in table.fetchall()]
+    key = lambda row: sorted((k, str(v)) for k, v in row.items())
+    assert sorted(map(key, own)) == sorted(map(key, expected))
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(1)
+    words = {bytes(rng.choice(b"ab\x00\xc3z") for _ in range(rng.randint(1, 6))) for _ in range(3000)}
+    text = b" \t\n".join(sorted(words))
+    hashes = word_hashes(text)
+    assert len(hashes) == len(set(hashes.tolist())) == len(words)
+    assert [int(word_hashes(b"  " + w)[0]) for w in sorted(words)] == hashes.tolist()
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_join_finds_every_link(spark, words, percent):
+    rng = random.Random(words)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(120):  # near copies with few and many edits, many copies, shared passages
+        copy = base[: rng.choice((150, 150, 149, 140, 120))]
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 5))):
+            copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:60] + [f"y{rng.randint(0, 10**6)}" for _ in range(60)]) for _ in range(40)]
+    texts += [" ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 15))) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(5)
+    found = {r.doc_id: r for r in ngram_join.jaccard_components(docs, words, percent).collect()}
+    sets = [shingles(text, words) for text in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if common and 100 * common >= percent * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert [found[i].component_id for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert [found[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+    assert len({find(i) for i in range(len(texts))}) < len(texts) - 30
+
+
+def shingles(text, n):
+    words = lowered(text).split()
+    if len(words) < n:
+        return {tuple(words)} if words else set()
+    return set(zip(*[words[k:] for k in range(n)], strict=False))
+
+
+@settings(max_examples=60, deadline=None, derandomize=True)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=40), min_size=1, max_size=12), st.sampled_from((50, 80, 90)))
+def test_tree_traversal_equals_plain_comparison(sets, percent):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    probe, members = arrays[0], arrays[1:] + arrays[:1]
+    expected = {i for i, s in enumerate(sets[1:] + sets[:1]) if 100 * len(s & sets[0]) >= percent * len(s | sets[0])}
+    assert set(ngram_join.tree_links(probe, members, percent)) == expected
+
+
+@settings(max_examples=60, deadline=None, derandomize=True)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300))
+def test_sketches_never_exceed_the_difference(one, other):
+    folded = [ngram_join.sketch(np.array(sorted(s), np.uint64)) for s in (one, one | other)]
+    small = min(map(len, folded))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, small), axis=0) for x in folded)
+    assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= len(one ^ (one | other))
+
+
+def test_components_of_a_long_chain(spark):
+    chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1005)]
+    random.Random(3).shuffle(chain)
+    rows = connected_components(spark.createDataFrame(chain, "a LONG, b LONG")).collect()
+    assert {r.node: r.component for r in rows} == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000, 1005: 1000}
+
+
+def test_quality_on_held_out_labels(results, connection):
+    found = results("op2_quality_model")
+    labels = connection.sql("SELECT doc_id, quality FROM labels").fetchall()
+    out = [(found[i], quality) for i, quality in labels if held_out(i, 5, 0)]
+    assert all(r.held_out for r, _ in out) and sum(r.predicted == q for r, q in out) >= 0.85 * len(out)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found.values())
+
+
+def test_trees_learn_an_interaction():
+    rng = np.random.default_rng(5)
+    x = rng.random((2000, 5))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.5)).astype(float)
+    model = quality_model.fit(x[:1500], y[:1500])
+    assert ((quality_model.predict(model, x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+    again = quality_model.fit(x[:1500][::-1], y[:1500][::-1])
+    assert np.allclose(quality_model.predict(model, x), quality_model.predict(again, x))
+
+
+def test_language_on_held_out_documents(results, connection):
+    found = results("op7_language_id")
+    languages = connection.sql("SELECT doc_id, lang FROM documents").fetchall()
+    out = [(found[i], lang) for i, lang in languages if held_out(i, 3, 1)]
+    assert all(r.held_out for r, _ in out) and sum(r.lang_pred == lang for r, lang in out) >= 0.97 * len(out)
+
+
+def test_base_scores(results, documents):
+    found = results("op6_lm_score")
+    counts = collections.Counter()
+    tokens = {i: [*lowered(text).split(), None] for i, text in documents.items()}
+    for i, words in tokens.items():
+        if not held_out(i, 7, 2):
+            counts.update(words)
+    n, v = sum(counts.values()), len(counts)
+    for i, words in tokens.items():
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
+        row = found[i]
+        assert row.base_score == pytest.approx(base, rel=1e-9) and math.isfinite(row.score)
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
+    known = [r for r in found.values() if not r.held_out]
+    assert sum(r.score for r in known) > sum(r.base_score for r in known)
+
+
+def test_filter_never_underestimates_a_level():
+    rng = np.random.default_rng(2)
+    grams, counts = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.geometric(0.1, 5000)
+    segments, bits = 4, 8 * 20_000
+    where = lm_score.segment_of(grams, segments)
+    parts = [lm_score._filled(grams[where == s], counts[where == s], bits) for s in range(segments)]
+    lookup = lm_score.Filter(np.frombuffer(b"".join(parts), np.uint8), segments, bits)
+    level = lambda n: np.searchsorted(lm_score.LEVELS, n, side="right")
+    assert (level(lookup.counts(grams)) >= level(counts)).all()
+    assert (level(lookup.counts(grams)) == level(counts)).mean() > 0.9
+    assert (lookup.counts(rng.integers(0, 2**63, 5000).astype(np.uint64)) == 0).mean() > 0.9
+
+
+@settings(max_examples=100, deadline=None, derandomize=True)
+@given(st.dictionaries(st.integers(0, 30), st.integers(1, 6), min_size=1, max_size=8), st.floats(0, 1))
+def test_budget_is_met_as_closely_as_possible(sizes, part):
+    lengths, counts = list(sizes), list(sizes.values())
+    total = sum(a * b for a, b in sizes.items())
+    budget = round(part * total)
+    taken = mixing.fit_budget(lengths, counts, budget)
+    assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
+    sums = {0}
+    for length, count in sizes.items():
+        sums = {s + k * length for s in sums for k in range(count + 1)}
+    reached = sum(a * b for a, b in zip(taken, lengths, strict=True))
+    assert abs(reached - budget) <= min(abs(s - budget) for s in sums) + max(lengths)
+
+
+def test_mix_meets_its_targets(results):
+    rows = results("op9_mix_sources").values()
+    by_source = collections.defaultdict(list)
+    for row in rows:
+        by_source[row.source].append(row)
+        assert row.taken in (0, row["size"], 2 * row["size"])
+    total = sum(row["size"] for row in rows)
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(by_source))}
+    sizes = {s: sum(r["size"] for r in rs) for s, rs in by_source.items()}
+    capped = set()
+    while True:
+        left = 1.5 * total - sum(2 * sizes[s] for s in capped)
+        free = sum(weights[s] for s in sizes if s not in capped)
+        targets = {s: 2 * sizes[s] if s in capped else left * weights[s] / free for s in sizes}
+        over = {s for s in sizes if s not in capped and targets[s] > 2 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    for source, own in by_source.items():
+        assert own[0].target == pytest.approx(targets[source]) and own[0].source_size == sizes[source]
+        assert abs(sum(r.taken for r in own) - targets[source]) <= 1
+
+
+def test_mix_is_repeatable(spark, results):
+    again = {row.doc_id: row.taken for row in QUERIES["op9_mix_sources"](spark, SF_DIR).collect()}
+    assert again == {i: row.taken for i, row in results("op9_mix_sources").items()}
+
+
+def test_shards_are_contiguous_and_balanced(results, documents):
+    found = results("op8_byte_shards")
+    rows = [found[i] for i in sorted(documents)]
+    assert [r["size"] for r in rows] == [len((documents[i] or "").encode()) + 16 for i in sorted(documents)]
+    assert [r.text_crc32 for r in rows] == [zlib.crc32((documents[i] or "").encode()) for i in sorted(documents)]
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+    target, largest = sum(r["size"] for r in rows) / 40, max(r["size"] for r in rows)
+    for shard, own in itertools.groupby(rows, key=lambda r: r.shard):
+        own = list(own)
+        assert [r.slot for r in own] == list(range(len(own))) and abs(sum(r["size"] for r in own) - target) <= largest
+
+
+def test_written_shards_hold_all_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a" * i) for i in range(30)], "doc_id LONG, text STRING")
+    sharding.write_shards(docs, sharding.byte_shards(docs, 4), str(tmp_path / "shards"))
+    assert sorted((r.doc_id, len(r.text)) for r in spark.read.parquet(str(tmp_path / "shards")).collect()) == [(i, i) for i in range(30)]
+
+
+def test_rule_statistics(results, documents):
+    found = results("op10_quality_rules")
+    for i, text in documents.items():
+        words = WORD.findall(text or "")
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        often = collections.Counter(windows)
+        covered = {k + j for k, w in enumerate(windows) if often[w] > 1 for j in range(3)}
+        lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+        expected = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered))
+        row = found[i]
+        assert tuple(row[name] for name in quality_rules.BASE_STATISTICS) == expected
+        assert row.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
+        assert not (row.base_failed and row.kept)
+
+
+def test_order_changes_no_verdict(spark, connection):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    verdicts = [
+        {r.doc_id: r.kept for r in quality_rules.cascade(docs, rules).collect()}
+        for rules in (quality_rules.RULES, quality_rules.RULES[::-1])
+    ]
+    assert verdicts[0] == verdicts[1] and not all(verdicts[0].values())
+    good = dict(connection.sql("SELECT doc_id, quality FROM labels").fetchall())
+    dropped = [i for i, kept in verdicts[0].items() if good.get(i) == 1 and not kept]
+    assert all(len(WORD.findall(docs.where(f"doc_id = {i}").first().text)) < 50 for i in dropped)
+
+
+def test_pieces_round_trip_and_parity(results, documents):
+    found = results("op5_sentencepiece")
+    assert all(found[i].round_trip and found[i].parity and found[i].n_tokens == len(found[i].ids) for i in documents)
+
+
+def test_decoding(spark):
+    docs = spark.createDataFrame([(1, " two  spaces "), (2, "日本 \U0001f600"), (3, None)], "doc_id LONG, text STRING")
+    encoded = sentencepiece_codec.encode(docs, PIECE_MODEL)
+    decoded = {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded, PIECE_MODEL).collect()}
+    assert decoded == {1: " two  spaces ", 2: "日本 \U0001f600", 3: ""}
+
+
+def message(number, *parts):
+    body = b"".join(parts)
+    return bytes([number << 3 | 2, len(body)]) + body
+
+
+def test_unigram_model():
+    pieces = [("<unk>", 0, 2), ("▁", -2, 1), ("▁ab", -3, 1), ("a", -4, 1), ("b", -4.5, 1), ("ab", -5, 1), ("abc", -6, 1), ("c", -5, 1)]
+    data = b"".join(
+        message(1, message(1, text.encode()), b"\x15" + struct.pack("<f", score), bytes([3 << 3, kind])) for text, score, kind in pieces
+    ) + message(2, bytes([3 << 3, 1])) + message(3, message(1, b"identity"))
+    model = sentencepiece_codec.parse_model(data)
+    assert (model.kind, model.unknown, model.remove_extra_spaces) == (1, 0, True)
+    texts = ["ab abc", " c  ba ", "abcabc", "", "aab cc"]
+    ids, parity = sentencepiece_codec.encode_batch(data, texts)
+    assert all(parity) and ids[0] == [2, 1, 6] and ids[3] == []
+    assert sentencepiece_codec.decode_batch(data, ids)[1] == "c ba"
+
+
+def test_digests_are_of_the_normalised_text(results, documents):
+    for i, row in results("op1_exact_dedup").items():
+        assert row.text_sha256 == hashlib.sha256(lowered(documents[i])).hexdigest()
