@@ -9,8 +9,8 @@ can only raise it. Every segment owns a stretch of the bit array. The filters ar
 corpus up to ``MAX_WORD_BYTES`` and ``MAX_PAIR_BYTES``. Beyond these bounds nothing is left out, but false positives become
 more frequent.
 
-Score. The probability of a word after another is the pair's quantised count smoothed with the word's own
-probability as prior, ``(c(uv) + m p(v)) / (c(u) + m)``, with add-one ``p(v) = (c(v) + 1) / (N + V + 1)``. Counts of
+Score. The probability of a word after another is interpolated, ``w c(uv) / c(u) + (1 - w) p(v)``, with the pair's
+quantised count, add-one ``p(v) = (c(v) + 1) / (N + V + 1)`` and a weight ``w`` that grows with ``c(u)``. Counts of
 the most frequent words (``MAX_FREQUENT``, 16 bytes each) are broadcast exactly, other words are asked of the filter.
 
 Base. The add-one unigram score uses exact counts: frequent words at once, occurrences of other words meet the
@@ -47,7 +47,8 @@ PAIR_BITS = 6  # per training token
 MAX_WORD_BYTES = 1 << 24
 MAX_PAIR_BYTES = 1 << 26
 MAX_FREQUENT = 1_000_000
-PRIOR = 20.0
+PAIR_WEIGHT = 0.4
+RELIABLE_COUNT = 5.0
 CHUNK_BYTES = 6_000_000
 SEGMENT_TOKENS = 2_000_000
 MIN_SEGMENTS = 64
@@ -151,11 +152,11 @@ def _segment_bits(bits: int, most_bytes: int, segments: int) -> int:
 
 
 def _collected(rows: DataFrame, segments: int, segment_bits: int) -> Filter:
+    """Segments come to the driver one after the other; all of them are within the filter's bound."""
     bits = np.zeros(segments * segment_bits // 8, np.uint8)
-    table = rows.toPandas()  # within the filter's bound
-    for segment, part in zip(table["segment"], table["bits"], strict=True):
-        start = segment * segment_bits // 8
-        bits[start : start + len(part)] = np.frombuffer(part, np.uint8)
+    for row in written_table(rows).toLocalIterator():
+        start = row.segment * segment_bits // 8
+        bits[start : start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return Filter(bits, segments, segment_bits)
 
 
@@ -340,7 +341,8 @@ def _scorer(shared: Broadcast, n_tokens: int, n_types: int, n_documents: int, se
                 possible = np.flatnonzero((own > 0) & (earlier > 0))
                 pair[possible] = pairs.counts(pair_hashes(before[possible], tokens[possible]))
                 pair = np.minimum(pair, np.minimum(own, earlier))
-                p = (pair + PRIOR * (own + 1) / unit) / (earlier + PRIOR)
+                weight = PAIR_WEIGHT * earlier / (earlier + RELIABLE_COUNT)
+                p = weight * pair / np.maximum(earlier, 1) + (1 - weight) * (own + 1) / unit
                 is_exact = exact[at]
                 logs = np.where(is_exact, np.log10(own + 1.0), 0.0)
                 row_ids = next_row + np.arange(len(rows))

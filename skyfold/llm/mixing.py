@@ -4,9 +4,9 @@
    distinct sizes, however many documents a source has.
 2. Targets: the sources' weights share ``share`` times all words; a target stops at ``most`` times its source's words
    and the excess is shared again by weight (water filling, by windows over one row per source).
-3. Per source, a task fits the budget on the histogram alone: whole passes first, then of every size the same share of
-   its documents, rounded down, then a bounded-knapsack dynamic programme over the remaining words, which hits the
-   budget to the word wherever the sizes allow it.
+3. Per source, a task fits the budget on the histogram alone: whole passes first, then, but for the last
+   ``PROGRAMME_WORDS`` words, of every size the same share of its documents, rounded down, then a bounded-knapsack dynamic
+   programme over the remaining words, which hits the budget to the word wherever the sizes allow it.
 4. Documents are selected by a seeded order within source and size. A group is cut by its counts per hash bucket and
    only the bucket at the cut is ranked, so a source or a size holding most of all rows meets in no single task.
 
@@ -111,7 +111,9 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list
         return [0] * len(sizes)
     if budget >= total:
         return list(counts)
-    taken = [count * budget // total if size else 0 for size, count in zip(sizes, counts, strict=True)]
+    # The programme gets its words first, so that small sources are fitted by it alone.
+    by_share = max(0, budget - PROGRAMME_WORDS)
+    taken = [count * by_share // total if size else 0 for size, count in zip(sizes, counts, strict=True)]
     left = budget - sum(size * n for size, n in zip(sizes, taken, strict=True))
     largest_first = sorted((i for i, size in enumerate(sizes) if size), key=lambda i: -sizes[i])
     for most in (1, None):  # one more of each size, then as many as there are
@@ -119,33 +121,32 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list
             more = min(counts[i] - taken[i], max(0, left - PROGRAMME_WORDS) // sizes[i], most or counts[i])
             taken[i] += more
             left -= more * sizes[i]
-    for i, more in _programme([(i, sizes[i], counts[i] - taken[i]) for i in reversed(largest_first)], left):
+    mixed_order = sorted(largest_first, key=lambda i: (sizes[i] * 2654435761 % 2**32, i))  # neither short nor long first
+    for i, more in _programme([(i, sizes[i], counts[i] - taken[i]) for i in mixed_order], left):
         taken[i] += more
-        left -= more * sizes[i]
-    spare = next((i for i in reversed(largest_first) if taken[i] < counts[i]), None)
-    if spare is not None and abs(left - sizes[spare]) < left:
-        taken[spare] += 1
     return taken
 
 
 def _programme(items: list[tuple[int, int, int]], budget: int) -> list[tuple[int, int]]:
-    """Bounded knapsack: the largest reachable sum up to ``budget`` from ``(index, size, count)`` items."""
-    reached = np.zeros(budget + 1, bool)
+    """Bounded knapsack: the reachable sum nearest to ``budget`` from ``(index, size, count)`` items."""
+    most = budget + min(budget, PROGRAMME_WORDS)
+    reached = np.zeros(most + 1, bool)
     reached[0] = True
-    by = np.full(budget + 1, -1, np.int32)
+    by = np.full(most + 1, -1, np.int32)
     parts: list[tuple[int, int, int]] = []
     for index, size, count in items:
         copies = 1
-        while count > 0 and size * min(copies, count) <= budget and not reached[budget]:
+        while count > 0 and size * min(copies, count) <= most and not reached[budget]:
             part = min(copies, count)
             step = size * part
-            new = np.flatnonzero(reached[: budget + 1 - step] & ~reached[step:]) + step
+            new = np.flatnonzero(reached[: most + 1 - step] & ~reached[step:]) + step
             by[new] = len(parts)
             reached[new] = True
             parts.append((index, part, step))
             count -= part
             copies *= 2
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - budget).argmin()])
     used = []
     while at:
         index, part, step = parts[by[at]]
