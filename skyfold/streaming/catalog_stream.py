@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyfold.operators.structuring import structure_objects
 from skyfold.sources.catalog import stream_texts
 
 
+def _read_once(batch: DataFrame) -> DataFrame:
+    """Each file of a micro-batch once.
+
+    If a file name has characters of path patterns (``[``, ``{``, ``*``, ``?``), Spark resolves the batch's paths as patterns
+    and reads its other files twice. A folder has each name once, so the first reading of a name stays; only names
+    and reading numbers are exchanged, and as many are broadcast as a batch has files.
+    """
+    numbered = batch.withColumn("reading", F.monotonically_increasing_id())
+    first = numbered.groupBy("file_stem").agg(F.min("reading").alias("reading"))
+    return numbered.join(F.broadcast(first), ["file_stem", "reading"]).drop("reading")
+
+
 def ingest_stream(spark: SparkSession, path: str, objects_path: str, checkpoint: str, batch_size: int) -> None:
     """Structure the files not yet seen, in micro-batches of ``batch_size`` files, and stop.
 
@@ -16,9 +29,7 @@ def ingest_stream(spark: SparkSession, path: str, objects_path: str, checkpoint:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Spark reads a micro-batch's files repeatedly when one of them has a name like "[HP99] 456", taken for
-        # a path pattern; a folder has each name once.
-        batch.dropDuplicates(["file_stem"]).transform(structure_objects).write.mode("overwrite").parquet(f"{objects_path}/batch_id={batch_id}")
+        batch.transform(_read_once).transform(structure_objects).write.mode("overwrite").parquet(f"{objects_path}/batch_id={batch_id}")
 
     query = (
         stream_texts(spark, path, batch_size)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.errors import AnalysisException
 
+from conftest import plan_of
 from skyfold.operators.logs import filter_lines, message_text, number_lines
 from skyfold.sources.logs import read_log_lines, write_collection
 
@@ -70,3 +71,18 @@ def test_collections(spark, folder, tmp_path):
     with pytest.warns(UserWarning):
         assert not write_collection(filter_lines(lines, "absent"), "none", path)
     assert spark.read.json(path).where("collection = 'none'").count() == 0
+
+
+def test_numbering_leaves_lines_in_place(spark, folder, tmp_path):
+    """Many small files, and a plan without an exchange of the text even where Spark would broadcast nothing."""
+    for f in range(60):
+        (tmp_path / f"{f:02}.log").write_text("".join(f'{{"text": "{f}-{i}"}}\n' for i in range(3)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = number_lines(read_log_lines(spark, str(tmp_path)))
+        rows = [json.loads(r.value)["text"] for r in numbered.orderBy("number").collect()]
+        plan = plan_of(numbered)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == [f"{f}-{i}" for f in range(60) for i in range(3)]
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan

@@ -16,6 +16,7 @@ from skyfold.operators.light_curves import derive_flux_and_magnitude, light_curv
 from skyfold.operators.structuring import candidates, rejects, structure_objects
 from skyfold.plans import catalog_jobs, fixtures
 from skyfold.sources import catalog
+from skyfold.streaming import catalog_stream
 from skyfold.streaming.catalog_stream import ingest_stream
 
 
@@ -136,6 +137,15 @@ def test_only_files_directly_in_the_folder(spark, tmp_path):
         catalog.read_texts(spark, str(tmp_path / "missing"))
 
 
+def test_streamed_texts_are_not_exchanged(spark):
+    batch = spark.createDataFrame([("a", "{}"), ("a", "{}"), ("b", "{}")], "file_stem STRING, value STRING")
+    once = catalog_stream._read_once(batch)
+    assert sorted(r.file_stem for r in once.collect()) == ["a", "b"]
+    exchanges = [line for line in plan_of(once).split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("value" in line for line in exchanges)
+    assert "SortMergeJoin" not in plan_of(once)
+
+
 optional_text = st.one_of(st.none(), st.text(st.characters(exclude_categories=["Cs"])))
 source_records = st.fixed_dictionaries(
     {"alias": st.integers(-(10**38) + 1, 10**38 - 1)},
