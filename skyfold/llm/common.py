@@ -32,5 +32,10 @@ def identified(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataF
     )
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL ``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def sql_list(values: Iterable[str]) -> str:
     return ", ".join("'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" for value in values)

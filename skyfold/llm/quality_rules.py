@@ -21,28 +21,23 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import WORD_CLASS, identified
+from skyfold.llm.common import WORD_CLASS, identified, let
 from skyfold.session import written_table
 
 _TEXT = "coalesce(text, '')"
 _WORDS = f"regexp_extract_all({_TEXT}, r'{WORD_CLASS}+', 0)"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """``body`` with ``name`` bound to ``value``, which is evaluated once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def _symbols(text: str, characters: str) -> str:
     return f"regexp_count({text}, r'[{characters}]')"
 
 
 # Starting places of the three-word windows met more than once, from sorted (hash, place) pairs; each further place
 # covers as many new words as it is away from the one before, three at most.
-_REPEATED = _let(
+_REPEATED = let(
     "sort_array(transform(windows, (h, i) -> struct(h, i)))",
     "s",
-    _let(
+    let(
         "sort_array(transform(filter(s, (x, k) -> x.h <=> get(s, k - 1).h OR x.h <=> get(s, k + 1).h), x -> x.i))",
         "places",
         "aggregate(places, struct(-3 AS last, 0 AS n), (a, i) -> struct(i AS last, a.n + least(3, i - a.last) AS n), a -> a.n)",
@@ -59,15 +54,15 @@ STATISTICS: dict[str, str] = {
     "word_chars": f"length(regexp_replace({_TEXT}, r'[\\x20\\x09-\\x0D]+', ''))",
     "n_symbols": _symbols(_TEXT, "#*$%&|<>"),
     "n_lines": f"size(filter(split({_TEXT}, '\\n'), line -> line RLIKE r'{WORD_CLASS}'))",
-    "n_dup_lines": _let(
+    "n_dup_lines": let(
         f"filter(split({_TEXT}, '\\n'), line -> line RLIKE r'{WORD_CLASS}')",
         "lines",
         "size(lines) - size(array_distinct(lines))",
     ),
-    "n_repeat_words": _let(
+    "n_repeat_words": let(
         _WORDS,
         "words",
-        _let(_WINDOWS, "windows", f"CASE WHEN size(array_distinct(windows)) = size(windows) THEN 0 ELSE {_REPEATED} END"),
+        let(_WINDOWS, "windows", f"CASE WHEN size(array_distinct(windows)) = size(windows) THEN 0 ELSE {_REPEATED} END"),
     ),
     "n_letters": f"regexp_count({_TEXT}, r'\\p{{L}}')",
     "n_capitals": f"regexp_count({_TEXT}, r'\\p{{Lu}}')",

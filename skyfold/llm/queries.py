@@ -15,6 +15,7 @@ from skyfold.llm import (
     ngram_join,
     quality_model,
     quality_rules,
+    secret_scan,
     sentencepiece_codec,
     sharding,
 )
@@ -110,3 +111,17 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out("doc_id", 7, 2)
     model = lm_score.train(docs.where(f"NOT ({out})"))
     return lm_score.score(docs, model).selectExpr("doc_id", f"{out} AS held_out", "* EXCEPT (doc_id)")
+
+
+@register
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan.secret_spans(read_documents(spark, sf_dir))
+    counts = [
+        f"bigint(size(filter(base_spans, s -> s.kind = {kind}))) AS n_{name}" for kind, name in enumerate(secret_scan.KINDS[:3])
+    ]
+    return scanned.selectExpr(
+        "doc_id",
+        *counts,
+        f"sha2({secret_scan.rendered('base_spans')}, 256) AS base_sha256",
+        f"{secret_scan.rendered('concat(base_spans, random_spans)')} AS spans",
+    )
