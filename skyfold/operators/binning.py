@@ -5,10 +5,10 @@ No task ever sees the raw rows of a bin, so a bin may hold most of all observati
 1. within a bin, observations are grouped by the decade (base 4) of their error, so that weights in one
    group differ by at most a factor of 16. The weighted scatter then follows from two mergeable sums,
    ``sum(w (f - m)^2) = S(w f, f) - m S(w, f)`` with ``S`` the centred sum of products, without the
-   cancellation that plain sums of squares suffer. Upper limits are grouped by their flux, which makes the
-   first one among equals well defined. A hash aggregation, combined on the map side;
+   cancellation that plain sums of squares suffer: a hash aggregation, combined on the map side. Upper limits have a
+   branch of their own, which keeps the first of the lowest ones per bin, combined on the map side as well;
 2. the overall weighted mean is put beside the groups by a window. Its partitions hold one row per decade,
-   about 1,050 at most (the exponent range of a double) whatever the data, or a single upper limit;
+   about 1,050 at most (the exponent range of a double) whatever the data;
 3. the groups of a bin are merged around that mean: again a hash aggregation, combined on the map side.
 
 Deviations: where only upper limits have errors the plain mean of the detections is used (the weighted mean
@@ -66,12 +66,12 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
             "flux",
             "e_flux",
             "CASE WHEN NOT is_limit THEN try_divide(1D, e_flux * e_flux) END AS weight",
-            f"""CASE WHEN NOT is_limit AND e_flux IS NOT NULL THEN
-                coalesce(int(floor(log(4D, abs(e_flux)))), {ZERO_ERROR}) END AS error_decade""",
-            "CASE WHEN is_limit THEN coalesce(flux, double('infinity')) END AS limit_flux",
+            "is_limit",
         )
     )
-    groups = points.groupBy(*key, "error_decade", "limit_flux").agg(
+    decade = f"CASE WHEN e_flux IS NOT NULL THEN coalesce(int(floor(log(4D, abs(e_flux)))), {ZERO_ERROR}) END AS error_decade"
+    detections = points.where("NOT is_limit").selectExpr(*key, "pos", "flux", "e_flux", "weight", decade)
+    groups = detections.groupBy(*key, "error_decade").agg(
         F.expr("count(*) AS n"),
         F.expr("count(flux) AS n_finite"),
         F.expr("sum(flux) AS flux_sum"),
@@ -80,7 +80,17 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
         F.expr("regr_sxy(flux, weight) AS s_w_f"),
         F.expr("regr_sxy(flux, weight * flux) AS s_wf_f"),
     )
-    bin_groups = Window.partitionBy(*key, "limit_flux")
+    limits = (
+        points.where("is_limit")
+        .groupBy(*key)
+        .agg(
+            F.expr("count(*) AS n"),
+            F.expr("count(flux) AS n_finite"),
+            F.expr("min(struct(coalesce(flux, double('infinity')) AS flux, pos, e_flux)) AS lowest"),
+        )
+        .selectExpr(*key, "n", "n_finite", "lowest.flux AS limit_flux", "lowest.e_flux AS limit_error")
+    )
+    bin_groups = Window.partitionBy(*key)
     centred = (
         groups.selectExpr("*", "flux_sum / n + try_divide(s_w_f, weight) AS mean")
         .withColumns({
@@ -95,14 +105,15 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
                AS scatter""",
         )
     )
-    merged = centred.groupBy(*key).agg(
+    parts = centred.unionByName(limits, allowMissingColumns=True)
+    merged = parts.groupBy(*key).agg(
         F.expr("sum(n) AS n_obs"),
         F.expr("sum(n) = sum(n_finite) AS all_finite"),
         F.expr("sum(CASE WHEN limit_flux IS NULL THEN n ELSE 0 END) AS n_detections"),
         F.expr("sum(CASE WHEN error_decade IS NOT NULL THEN n ELSE 0 END) AS n_errors"),
         F.expr("sum(CASE WHEN weight IS NOT NULL THEN n ELSE 0 END) AS n_weights"),
         F.expr("min(limit_flux) AS limit_flux"),
-        F.expr("min_by(first_error, limit_flux) AS limit_error"),
+        F.expr("max(limit_error) AS limit_error"),
         F.expr("sum(CASE WHEN limit_flux IS NULL THEN flux_sum END) AS detection_sum"),
         F.expr("max(CASE WHEN error_decade IS NOT NULL THEN flux_sum END) AS single_flux"),
         F.expr("max(CASE WHEN error_decade IS NOT NULL THEN first_error END) AS single_error"),
