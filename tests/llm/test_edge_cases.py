@@ -13,6 +13,7 @@ from skyfold.llm import (
     ngram_join,
     quality_model,
     quality_rules,
+    secret_scan,
     sentencepiece_codec,
     sharding,
 )
@@ -55,6 +56,7 @@ OPERATORS = {
     "pieces": lambda docs, labels: sentencepiece_codec.encode(docs, PIECE_MODEL),
     "lm": lambda docs, labels: lm_score.score(docs, lm_score.train(docs)),
     "language": lambda docs, labels: language_id.identify(docs, language_id.learn_profiles(docs)),
+    "secrets": lambda docs, labels: secret_scan.secret_spans(docs),
     "shards": lambda docs, labels: sharding.byte_shards(docs, 40),
     "mix": lambda docs, labels: mixing.mix(docs),
     "rules": lambda docs, labels: quality_rules.cascade(
