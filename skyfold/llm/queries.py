@@ -125,3 +125,54 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"sha2({secret_scan.rendered('base_spans')}, 256) AS base_sha256",
         f"{secret_scan.rendered('concat(base_spans, random_spans)')} AS spans",
     )
+
+
+# The checksum is spelled out over the bytes of the text, one table step each.
+ORACLES["op8_byte_shards"] = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+sized AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 16 AS size FROM documents),
+bytes AS (
+  SELECT doc_id, size, list_transform(range(size - 16), lambda i: CAST('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT)) AS bytes
+  FROM (SELECT *, hex(encode(text)) AS digits FROM sized)),
+summed AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM bytes, crc_table),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total,
+         row_number() OVER (ORDER BY doc_id, size, text_crc32) AS place
+  FROM summed),
+cut AS (SELECT *, CAST(((2 * upto - size) * 40) // (2 * total) AS INT) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+       place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM cut
+"""
+
+ORACLES["op10_quality_rules"] = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS three
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, range(3) AS steps(k) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+         len(regexp_extract_all(text, '\p{L}')) AS n_letters, len(regexp_extract_all(text, '\p{Lu}')) AS n_capitals,
+         len(list_filter(words, lambda word: regexp_matches(word, '\p{L}'))) AS n_letter_words,
+         len(list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '^[ \t]*[-*\x{2022}][ \t]'))) AS n_bullet_lines,
+         len(list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '(\.\.\.|\x{2026})[ \t\r]*$'))) AS n_ellipsis_lines
+  FROM split LEFT JOIN covered USING (doc_id)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * n_capitals > n_letters
+            OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words OR 10 * n_letter_words < 8 * n_words
+            OR 10 * n_bullet_lines > 9 * n_lines OR 10 * n_ellipsis_lines > 3 * n_lines) AS kept
+FROM based
+"""
