@@ -44,9 +44,9 @@ LEVELS = np.unique(np.concatenate(([1, 2, 3, 4], np.round(2 ** (np.arange(5, 96)
 PROBES = 3
 WORD_BITS = 12  # per entry
 PAIR_BITS = 6  # per training token
-MAX_WORD_BYTES = 1 << 24
-MAX_PAIR_BYTES = 1 << 26
-MAX_FREQUENT = 1_000_000
+MAX_WORD_BYTES = 1 << 23
+MAX_PAIR_BYTES = 1 << 25
+MAX_FREQUENT = 400_000
 PAIR_WEIGHT = 0.4
 RELIABLE_COUNT = 5.0
 CHUNK_BYTES = 6_000_000
