@@ -20,6 +20,8 @@ from skyfold.llm import exact_dedup, language_id, mixing, ngram_join, sentencepi
 from skyfold.llm.common import held_out, read_documents
 from skyfold.session import written_table
 
+# Identifiers that may be broadcast, 8 bytes each.
+BROADCAST_ROWS = 1_000_000
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
 PIECE_MODEL = os.environ.get("SKYFOLD_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -86,7 +88,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _staying(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents of whose identifier no decision is only to go. What goes is the smaller table."""
+    """The documents of whose identifier no decision is only to go.
+
+    What goes is written and counted: up to ``BROADCAST_ROWS`` identifiers are broadcast, so that texts stay in place;
+    beyond that Spark joins by exchange.
+    """
     going = decisions.groupBy("doc_id").agg(F.expr("bool_or(kept)").alias("kept")).where("NOT kept")
-    going = going.select(F.col("doc_id").alias("_going_id"))
+    going = written_table(going.select(F.col("doc_id").alias("_going_id")))
+    if going.count() <= BROADCAST_ROWS:
+        going = F.broadcast(going)
     return docs.join(going, docs["doc_id"].eqNullSafe(going["_going_id"]), "left_anti")
