@@ -3,18 +3,18 @@
 Counting. A pass over the training texts counts words and word pairs in chunks, packs the counts into binary blocks by
 hash segment, and Spark brings the blocks of a segment together: segments grow in number, not in size, with the corpus.
 
-Filter. A count is quantised to the levels of ``LEVELS``; the gram is entered once for every level up to its own, each
-time under another hash. Asking for level 1, 2, ... until one is missing gives the quantised count; a false positive
-can only raise it. Every segment owns a stretch of the bit array. The filters are broadcast; their sizes follow the
-corpus up to ``MAX_WORD_BYTES`` and ``MAX_PAIR_BYTES``. Beyond these bounds nothing is left out, but false positives become
-more frequent.
+Filter. A count of a pair is quantised to the levels of ``LEVELS``; the pair is entered once for every level up to its
+own, each time under another hash. Asking for level 1, 2, ... until one is missing gives the quantised count; a false
+positive can only raise it. Every segment owns a stretch of the bit array, of ``PAIR_BITS`` per training token whatever the
+corpus. The stretches stay in a written table, one row per segment; neither the driver nor a task holds them all.
 
-Score. The probability of a word after another is interpolated, ``w c(uv) / c(u) + (1 - w) p(v)``, with the pair's
-quantised count, add-one ``p(v) = (c(v) + 1) / (N + V + 1)`` and a weight ``w`` that grows with ``c(u)``. Counts of
-the most frequent words (``MAX_FREQUENT``, 16 bytes each) are broadcast exactly, other words are asked of the filter.
+Score. Documents are packed in chunks. A chunk asks every segment for its distinct pairs and its distinct words that are
+not frequent; the segments answer in the order asked, and the answers return to the chunk in a shuffle. Counts of the most
+frequent words (``MAX_FREQUENT``, 16 bytes each) are broadcast, other words are answered from their segment: all word
+counts are exact. The probability of a word after another is interpolated, ``w c(uv) / c(u) + (1 - w) p(v)``, with the
+pair's quantised count, add-one ``p(v) = (c(v) + 1) / (N + V + 1)`` and a weight ``w`` that grows with ``c(u)``.
 
-Base. The add-one unigram score uses exact counts: frequent words at once, occurrences of other words meet the
-counts of their segment in a shuffle, and each document's sum returns by row.
+Base. The add-one unigram score, from the same exact counts.
 
 Every text ends with one end token; words are lower-cased in A-Z. Words are known by 64-bit hashes.
 
@@ -42,22 +42,22 @@ END = np.uint64(0xE4D0E4D0E4D0E4D0)
 BEGIN = np.uint64(0xBE610BE610BE610B)
 LEVELS = np.unique(np.concatenate(([1, 2, 3, 4], np.round(2 ** (np.arange(5, 96) / 2)).astype(np.int64))))
 PROBES = 3
-WORD_BITS = 12  # per entry
 PAIR_BITS = 6  # per training token
-MAX_WORD_BYTES = 1 << 23
-MAX_PAIR_BYTES = 1 << 25
 MAX_FREQUENT = 400_000
 PAIR_WEIGHT = 0.4
 RELIABLE_COUNT = 5.0
 CHUNK_BYTES = 6_000_000
+ROW_BYTES = 16  # that a row counts besides its text
 SEGMENT_TOKENS = 2_000_000
 MIN_SEGMENTS = 64
 LOW = np.uint64((1 << 40) - 1)
 
 BLOCKS = "segment int, kind string, grams binary, counts binary"
-COUNTS = "segment int, grams binary, counts binary, types bigint, tokens bigint, entries bigint, by_level array<bigint>"
-SCORED = "row_id bigint, doc_id bigint, n_tokens bigint, known bigint, logs double, score double, segment int, words binary"
-RARE = np.dtype([("row", "<i8"), ("word", "<u8")])
+COUNTS = "segment int, grams binary, counts binary, types bigint, tokens bigint, by_level array<bigint>"
+PACKED = "chunk bigint, doc_ids array<bigint>, texts array<binary>"
+ASKED = "chunk bigint, segment int, grams binary"
+ANSWERED = "chunk bigint, segment int, kind string, answer binary"
+SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, logs double, score double"
 
 
 class Filter(NamedTuple):
@@ -69,6 +69,10 @@ class Filter(NamedTuple):
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """Quantised counts: the middle of the highest level reached, 0 for grams not met."""
+        return _MIDDLES[self.levels(grams)]
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """Number of levels reached."""
         level = np.zeros(len(grams), np.int64)
         if not self.segment_bits:
             return level
@@ -84,7 +88,7 @@ class Filter(NamedTuple):
             if not len(active):
                 break
             level[active] = j + 1
-        return np.where(level > 0, _MIDDLES[np.maximum(level - 1, 0)], 0)
+        return level
 
 
 class LanguageModel(NamedTuple):
@@ -92,11 +96,13 @@ class LanguageModel(NamedTuple):
     types: int
     documents: int
     counted: DataFrame  # exact word counts, one row per segment
+    pairs: DataFrame  # bits of the pairs' filter, one row per segment
+    pair_bits: int  # of a segment
     segments: int
-    shared: Broadcast  # of (words, pairs, frequent words, their counts)
+    frequent: Broadcast  # of (frequent words, their counts)
 
 
-_MIDDLES = np.concatenate((np.floor(np.sqrt(LEVELS[:-1].astype(float) * np.maximum(LEVELS[1:] - 1, LEVELS[:-1]))), LEVELS[-1:])).astype(np.int64)
+_MIDDLES = np.concatenate(([0], np.floor(np.sqrt(LEVELS[:-1].astype(float) * np.maximum(LEVELS[1:] - 1, LEVELS[:-1]))), LEVELS[-1:])).astype(np.int64)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
@@ -104,36 +110,34 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> La
     texts = identified(docs, id_col, text_col).selectExpr("CAST(coalesce(text, '') AS BINARY) AS text")
     documents, size = texts.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     segments = max(MIN_SEGMENTS, (size or 0) // (4 * SEGMENT_TOKENS))
-    blocks = texts.mapInArrow(_counter(segments), BLOCKS)
-    counted = written_table(blocks.where("kind = 'word'").groupBy("segment").applyInArrow(_summed, COUNTS))
-    totals = counted.agg(F.sum("types"), F.sum("tokens"), F.sum("entries")).first()
-    types, tokens, entries = (int(x or 0) for x in totals)
-    word_bits = _segment_bits(WORD_BITS * entries, MAX_WORD_BYTES, segments)
-    pair_bits = _segment_bits(PAIR_BITS * tokens, MAX_PAIR_BYTES, segments)
-    words = _collected(counted.mapInArrow(_bits_of_counts(word_bits), "segment int, bits binary"), segments, word_bits)
-    of_pairs = blocks.where("kind = 'pair'").groupBy("segment").applyInArrow(_bits_of_blocks(pair_bits), "segment int, bits binary")
-    pairs = _collected(of_pairs, segments, pair_bits)
-    frequent, counts = _frequent(counted)
-    shared = spark.sparkContext.broadcast((words, pairs, frequent, counts))
-    return LanguageModel(tokens, types, int(documents), counted, segments, shared)
+    blocks = texts.mapInArrow(_counter(segments, "word"), BLOCKS)
+    counted = written_table(blocks.groupBy("segment").applyInArrow(_summed, COUNTS))
+    totals = counted.agg(F.sum("types"), F.sum("tokens")).first()
+    types, tokens = (int(x or 0) for x in totals)
+    pair_bits = _segment_bits(PAIR_BITS * tokens, segments)
+    blocks = texts.mapInArrow(_counter(segments, "pair"), BLOCKS)
+    pairs = written_table(blocks.groupBy("segment").applyInArrow(_bits_of_blocks(pair_bits), "segment int, bits binary"))
+    frequent = spark.sparkContext.broadcast(_frequent(counted))
+    return LanguageModel(tokens, types, int(documents), counted, pairs, pair_bits, segments, frequent)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score``; logarithms to base 10."""
     texts = identified(docs, id_col, text_col).selectExpr("doc_id", "CAST(coalesce(text, '') AS BINARY) AS text")
+    packed = written_table(texts.mapInArrow(_packed, PACKED))  # written: numbers of chunks must not change
+    words = packed.mapInArrow(_asked("word", model.segments, model.frequent), ASKED).groupBy("segment")
+    pairs = packed.mapInArrow(_asked("pair", model.segments, model.frequent), ASKED).groupBy("segment")
+    answers = words.cogroup(model.counted.groupBy("segment")).applyInArrow(_word_answers, ANSWERED)
+    answers = answers.unionByName(pairs.cogroup(model.pairs.groupBy("segment")).applyInArrow(_pair_answers(model.pair_bits), ANSWERED))
     numbers = (model.tokens, model.types, model.documents, model.segments)
-    scored = written_table(texts.mapInArrow(_scorer(model.shared, *numbers), SCORED))
-    rare = scored.where("segment IS NOT NULL").groupBy("segment")
-    sums = rare.cogroup(model.counted.groupBy("segment")).applyInArrow(_looked_up, "row_id bigint, known bigint, logs double")
-    sums = sums.groupBy("row_id").agg(F.sum("known").alias("more_known"), F.sum("logs").alias("more_logs"))
-    rows = scored.where("segment IS NULL").drop("segment", "words").join(sums, "row_id", "left")
+    scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(model.frequent, *numbers), SCORED)
     unit = float(np.log10(model.tokens + model.types + 1))
-    return rows.selectExpr(
+    return scored.selectExpr(
         "doc_id",
         "n_tokens",
-        "known + coalesce(more_known, 0) AS n_known",
+        "n_known",
         f"bigint({model.tokens}) AS train_tokens",
-        f"logs + coalesce(more_logs, 0D) - n_tokens * {unit!r}D AS base_score",
+        f"logs - n_tokens * {unit!r}D AS base_score",
         "score",
     )
 
@@ -146,18 +150,9 @@ def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(mixed(before) ^ words)
 
 
-def _segment_bits(bits: int, most_bytes: int, segments: int) -> int:
-    """Bits per segment, whole bytes, for so many bits in all but at most ``most_bytes``."""
-    return -(-min(bits, 8 * most_bytes) // segments) // 8 * 8 + 8 if bits else 0
-
-
-def _collected(rows: DataFrame, segments: int, segment_bits: int) -> Filter:
-    """Segments come to the driver one after the other; all of them are within the filter's bound."""
-    bits = np.zeros(segments * segment_bits // 8, np.uint8)
-    for row in written_table(rows).toLocalIterator():
-        start = row.segment * segment_bits // 8
-        bits[start : start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
-    return Filter(bits, segments, segment_bits)
+def _segment_bits(bits: int, segments: int) -> int:
+    """Bits per segment, whole bytes, for so many bits in all."""
+    return -(-bits // segments) // 8 * 8 + 8 if bits else 0
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -185,36 +180,37 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # --- inside tasks -------------------------------------------------------------------------------------
 
 
-def _chunks(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Starting row and word hashes of rows of about ``CHUNK_BYTES``."""
-    start, size, rows = 0, 0, []
-    for i, text in enumerate(batch.column(text_at)):
-        text = text.as_py()
-        if rows and size + len(text) > CHUNK_BYTES:
-            yield start, rows
-            start, size, rows = i, 0, []
-        rows.append(word_hashes(text.lower()))
-        size += len(text)
-    if rows:
-        yield start, rows
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Identifiers (the first of two columns) and texts of rows of about ``CHUNK_BYTES``."""
+    size, ids, texts = 0, [], []
+    for batch in batches:
+        for i, text in enumerate(batch.column(batch.num_columns - 1)):
+            text = text.as_py()
+            if texts and size + len(text) > CHUNK_BYTES:
+                yield ids, texts
+                size, ids, texts = 0, [], []
+            ids.append(batch.column(0)[i].as_py() if batch.num_columns > 1 else None)
+            texts.append(text)
+            size += len(text) + ROW_BYTES
+    if texts:
+        yield ids, texts
 
 
-def _tokens(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens with the end of each row, the token before each, and the number of tokens per row."""
+    rows = [word_hashes(text.lower()) for text in texts]
     end, begin = np.array([END]), np.array([BEGIN])
     tokens = np.concatenate([x for row in rows for x in (row, end)])
     before = np.concatenate([x for row in rows for x in (begin, row)])
     return tokens, before, np.array([len(row) + 1 for row in rows])
 
 
-def _counter(segments: int):
+def _counter(segments: int, kind: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, rows in _chunks(batch, 0):
-                tokens, before, _ = _tokens(rows)
-                for kind, grams in (("word", tokens), ("pair", pair_hashes(before, tokens))):
-                    grams, counts = np.unique(grams, return_counts=True)
-                    yield from _blocks(kind, grams, counts, segments)
+        for _, texts in _chunks(batches):
+            tokens, before, _ = _tokens(texts)
+            grams, counts = np.unique(tokens if kind == "word" else pair_hashes(before, tokens), return_counts=True)
+            yield from _blocks(kind, grams, counts, segments)
 
     return count
 
@@ -272,7 +268,6 @@ def _summed(blocks: pa.Table) -> pa.Table:
         "counts": [n.tobytes()],
         "types": [len(grams)],
         "tokens": [int(n.sum())],
-        "entries": [int(level.sum())],
         "by_level": pa.array([np.bincount(level - 1, minlength=len(LEVELS)).tolist()], pa.list_(pa.int64())),
     })
 
@@ -299,16 +294,6 @@ def _filled(grams: np.ndarray, n: np.ndarray, segment_bits: int) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _bits_of_counts(segment_bits: int):
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.select(["segment", "grams", "counts"]).to_pylist()
-            bits = [_filled(np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.int64), segment_bits) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(bits, pa.binary())], ["segment", "bits"])
-
-    return fill
-
-
 def _bits_of_blocks(segment_bits: int):
     def fill(blocks: pa.Table) -> pa.Table:
         bits = _filled(*_merged(blocks, 5), segment_bits)
@@ -317,92 +302,125 @@ def _bits_of_blocks(segment_bits: int):
     return fill
 
 
-def _scorer(shared: Broadcast, n_tokens: int, n_types: int, n_documents: int, segments: int):
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, frequent, frequent_counts = shared.value
-        next_row = TaskContext.get().partitionId() << 40
-        unit = n_tokens + n_types + 1
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per chunk."""
+    number = TaskContext.get().partitionId() << 40
+    for ids, texts in _chunks(batches):
+        columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "texts"])
+        number += 1
+
+
+def _known(words: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words are frequent, and their counts, 0 for the others."""
+    if not len(frequent):
+        return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+    place = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+    exact = frequent[place] == words
+    return exact, np.where(exact, counts[place], 0)
+
+
+def _by_segment(grams: np.ndarray, segments: int) -> np.ndarray:
+    """The order in which a chunk asks for its distinct grams."""
+    return np.argsort(segment_of(grams, segments), kind="stable")
+
+
+def _asked(kind: str, segments: int, shared: Broadcast):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, rows in _chunks(batch, 1):
-                tokens, before, sizes = _tokens(rows)
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                distinct, at = np.unique(tokens, return_inverse=True)
-                place = np.minimum(np.searchsorted(frequent, distinct), max(len(frequent) - 1, 0))
-                exact = frequent[place] == distinct if len(frequent) else np.zeros(len(distinct), bool)
-                count = np.where(exact, frequent_counts[place] if len(frequent) else 0, 0)
-                count[~exact] = words.counts(distinct[~exact])
-                # The token before is the one before in the row, or the beginning.
-                own = count[at]
-                earlier = np.empty_like(own)
-                earlier[1:] = own[:-1]
-                earlier[starts] = n_documents
-                pair = np.zeros(len(tokens), np.int64)
-                possible = np.flatnonzero((own > 0) & (earlier > 0))
-                pair[possible] = pairs.counts(pair_hashes(before[possible], tokens[possible]))
-                pair = np.minimum(pair, np.minimum(own, earlier))
-                weight = PAIR_WEIGHT * earlier / (earlier + RELIABLE_COUNT)
-                p = weight * pair / np.maximum(earlier, 1) + (1 - weight) * (own + 1) / unit
-                is_exact = exact[at]
-                logs = np.where(is_exact, np.log10(own + 1.0), 0.0)
-                row_ids = next_row + np.arange(len(rows))
-                next_row += len(rows)
-                yield _rows(
-                    row_ids,
-                    batch.column(0).slice(start, len(rows)),
-                    sizes,
-                    np.add.reduceat(is_exact.astype(np.int64), starts),
-                    np.add.reduceat(logs, starts),
-                    np.add.reduceat(np.log10(p), starts),
+            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                tokens, before, _ = _tokens(texts.as_py())
+                grams = np.unique(tokens if kind == "word" else pair_hashes(before, tokens))
+                if kind == "word":
+                    grams = grams[~_known(grams, *shared.value)[0]]
+                grams = grams[_by_segment(grams, segments)]
+                cuts = np.searchsorted(segment_of(grams, segments).astype(np.int64), np.arange(segments + 1))
+                found = [s for s in range(segments) if cuts[s] < cuts[s + 1]]
+                packed = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)
+                if kind == "pair":
+                    packed = packed[:, :5]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([chunk] * len(found), pa.int64()),
+                        pa.array(found, pa.int32()),
+                        pa.array([packed[cuts[s] : cuts[s + 1]].tobytes() for s in found], pa.binary()),
+                    ],
+                    ["chunk", "segment", "grams"],
                 )
-                rest = np.flatnonzero(~is_exact)
-                if len(rest):
-                    rare = np.empty(len(rest), RARE)
-                    rare["row"], rare["word"] = np.repeat(row_ids, sizes)[rest], tokens[rest]
-                    yield from _rare_blocks(rare, segments)
 
-    return scored
+    return ask
 
 
-def _rows(row_ids, doc_ids, sizes, known, logs, score) -> pa.RecordBatch:
-    nothing = [None] * len(row_ids)
-    columns = [row_ids, doc_ids, sizes, known, logs, score, pa.array(nothing, pa.int32()), pa.array(nothing, pa.binary())]
-    names = ["row_id", "doc_id", "n_tokens", "known", "logs", "score", "segment", "words"]
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
+def _wide(grams: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :width] = raw
+    return wide.view(np.uint64).ravel()
 
 
-def _rare_blocks(rare: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
-    where = segment_of(rare["word"], segments).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    rare, where = rare[order], where[order]
-    cuts = np.searchsorted(where, np.arange(segments + 1))
-    found = [s for s in range(segments) if cuts[s] < cuts[s + 1]]
-    none = [None] * len(found)
-    yield pa.RecordBatch.from_arrays(
-        [
-            *(pa.array(none, pa.int64()) for _ in range(4)),
-            *(pa.array(none, pa.float64()) for _ in range(2)),
-            pa.array(found, pa.int32()),
-            pa.array([rare[cuts[s] : cuts[s + 1]].tobytes() for s in found], pa.binary()),
-        ],
-        ["row_id", "doc_id", "n_tokens", "known", "logs", "score", "segment", "words"],
-    )
+def _answers(asked: pa.Table, kind: str, width: int, values: np.ndarray) -> pa.Table:
+    """The values of all grams asked, as one row for each row asked."""
+    cuts = np.cumsum([0, *(len(x) // width for x in asked.column("grams").to_pylist())])
+    return pa.table({
+        "chunk": asked.column("chunk"),
+        "segment": asked.column("segment"),
+        "kind": pa.array([kind] * asked.num_rows, pa.string()),
+        "answer": pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+    })
 
 
-def _looked_up(rare: pa.Table, counted: pa.Table) -> pa.Table:
-    """Known occurrences and their logarithms, summed per row, of one segment's rare words."""
-    events = np.frombuffer(b"".join(rare.column("words").to_pylist()) if rare.num_rows else b"", RARE)
+def _word_answers(asked: pa.Table, counted: pa.Table) -> pa.Table:
+    """Exact counts of one segment's words."""
+    words = _wide(asked.column("grams").to_pylist(), 8)
     grams = np.frombuffer(counted.column("grams")[0].as_py() if counted.num_rows else b"", np.uint64)
     counts = np.frombuffer(counted.column("counts")[0].as_py() if counted.num_rows else b"", np.int64)
-    if len(grams) and len(events):
-        at = np.minimum(np.searchsorted(grams, events["word"]), len(grams) - 1)
-        hit = grams[at] == events["word"]
-        events, found = events[hit], counts[at[hit]]
-    else:
-        events, found = events[:0], counts[:0]
-    rows, at = np.unique(events["row"], return_inverse=True)
-    return pa.table({
-        "row_id": rows,
-        "known": np.bincount(at, minlength=len(rows)).astype(np.int64),
-        "logs": np.bincount(at, np.log10(found + 1.0), len(rows)).astype(np.float64),
-    })
+    return _answers(asked, "word", 8, _known(words, grams, counts)[1])
+
+
+def _pair_answers(pair_bits: int):
+    """Levels of one segment's pairs."""
+
+    def answer(asked: pa.Table, bits: pa.Table) -> pa.Table:
+        pairs = _wide(asked.column("grams").to_pylist(), 5)
+        stretch = bits.column("bits")[0].as_py() if bits.num_rows else b""
+        levels = Filter(np.frombuffer(stretch, np.uint8), 1, pair_bits if bits.num_rows else 0).levels(pairs)
+        return _answers(asked, "pair", 5, levels.astype(np.uint8))
+
+    return answer
+
+
+def _returned(answers: pa.Table, kind: str, dtype: type) -> np.ndarray:
+    """The answers to a chunk in the order in which it asked."""
+    rows = zip(*(answers.column(name).to_pylist() for name in ("kind", "segment", "answer")), strict=True)
+    return np.frombuffer(b"".join(answer for own, _, answer in sorted(rows) if own == kind), dtype)
+
+
+def _scorer(shared: Broadcast, n_tokens: int, n_types: int, n_documents: int, segments: int):
+    def scored(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        unit = n_tokens + n_types + 1
+        tokens, before, sizes = _tokens(packed.column("texts")[0].as_py())
+        starts = np.cumsum(sizes) - sizes
+        distinct, at = np.unique(tokens, return_inverse=True)
+        exact, count = _known(distinct, *shared.value)
+        rare = np.flatnonzero(~exact)
+        count[rare[_by_segment(distinct[rare], segments)]] = _returned(answers, "word", np.int64)
+        # The token before is the one before in the row, or the beginning.
+        own = count[at]
+        earlier = np.empty_like(own)
+        earlier[1:] = own[:-1]
+        earlier[starts] = n_documents
+        grams, at = np.unique(pair_hashes(before, tokens), return_inverse=True)
+        level = np.empty(len(grams), np.int64)
+        level[_by_segment(grams, segments)] = _returned(answers, "pair", np.uint8)
+        pair = np.minimum(_MIDDLES[level][at], np.minimum(own, earlier))
+        weight = PAIR_WEIGHT * earlier / (earlier + RELIABLE_COUNT)
+        p = weight * pair / np.maximum(earlier, 1) + (1 - weight) * (own + 1) / unit
+        return pa.table({
+            "doc_id": packed.column("doc_ids").combine_chunks().flatten(),
+            "n_tokens": sizes.astype(np.int64),
+            "n_known": np.add.reduceat((own > 0).astype(np.int64), starts),
+            "logs": np.add.reduceat(np.log10(own + 1.0), starts),
+            "score": np.add.reduceat(np.log10(p), starts),
+        })
+
+    return scored
