@@ -176,11 +176,7 @@ def _shared_entries(texts: DataFrame, scanned: DataFrame, words: int, percent: i
 def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that are links."""
     needed = pairs.selectExpr("a AS set_id").union(pairs.selectExpr("b AS set_id")).distinct()
-    first = members.join(needed, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    # Repeated identifiers may carry other texts, hence the digest is looked at again.
-    first = written_table(first)
-    found = texts.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "doc_id").selectExpr("set_id", "text")
-    found = written_table(found.mapInArrow(_own_text(words), "set_id bigint, text binary").dropDuplicates(["set_id"]))
+    found = written_table(_texts_of(texts, members, needed, words).dropDuplicates(["set_id"]))
     ends = pairs.selectExpr("a AS probe", "b AS member").union(pairs.selectExpr("b AS probe", "a AS member"))
     degrees = ends.groupBy("probe").agg(F.count(F.lit(1)).alias("degree"))
     sides = pairs.join(degrees.selectExpr("probe AS a", "degree AS of_a"), "a").join(degrees.selectExpr("probe AS b", "degree AS of_b"), "b")
@@ -196,6 +192,22 @@ def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame, words: int
     return grouped.mapInArrow(_tree_links(words, percent), "a bigint, b bigint")
 
 
+def _texts_of(texts: DataFrame, members: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """``set_id, text`` of the sets ``needed``, more than once where texts or identifiers repeat.
+
+    Identifiers only narrow the rows down, one for each set; a row's own digest tells its set. So rows without an
+    identifier, all of which are looked at if a set has no other, and repeated identifiers find their sets.
+    """
+    first = written_table(members.join(needed, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
+    few = first.count() <= BROADCAST_ROWS
+    ids, set_ids = first.where("doc_id IS NOT NULL").select("doc_id").distinct(), first.select("set_id")
+    rows = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    if not first.where("doc_id IS NULL").isEmpty():
+        rows = rows.unionByName(texts.where("doc_id IS NULL"))
+    own = rows.select("text").mapInArrow(_own_sets(words), "set_id bigint, text binary")
+    return own.join(F.broadcast(set_ids) if few else set_ids, "set_id", "left_semi")
+
+
 # --- inside tasks -------------------------------------------------------------------------------------
 
 
@@ -433,12 +445,19 @@ def _meeting(segments: int, percent: int):
     return meet
 
 
-def _own_text(words: int):
+def _own_sets(words: int):
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            right = [set_digest(shingle_set(text.lower(), words)) == i for i, text in zip(ids, texts, strict=True)]
-            yield batch.filter(pa.array(right))
+            seen: set[int] = set()
+            for chunk in _chunks(batch.column(0)):
+                ids, rows = [], []
+                for i, text in chunk:
+                    set_id = set_digest(grams) if len(grams := shingle_set(text, words)) else 0
+                    if set_id not in seen:
+                        seen.add(set_id)
+                        ids.append(set_id)
+                        rows.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], ["set_id", "text"])
 
     return own
 
@@ -446,11 +465,13 @@ def _own_text(words: int):
 def _tree_links(words: int, percent: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple[int, int] | None = None
-        probe = np.zeros(0, np.uint64)
+        probe: np.ndarray | None = None
         ids: list[int] = []
         sets: list[np.ndarray] = []
 
         def linked() -> pa.RecordBatch:
+            if ids and probe is None:
+                raise RuntimeError(f"no text of set {group}")
             hits = [ids[i] for i in tree_links(probe, sets, percent)] if ids else []
             own = group[0] if group else 0
             return pa.RecordBatch.from_arrays(
@@ -462,7 +483,7 @@ def _tree_links(words: int, percent: int):
                 if (own, part) != group:
                     if ids:
                         yield linked()
-                    group, ids, sets = (own, part), [], []
+                    group, probe, ids, sets = (own, part), None, [], []
                 grams = shingle_set(text.lower(), words)
                 if member is None:
                     probe = grams

@@ -8,7 +8,7 @@ import random
 
 import pytest
 
-from skyfold.llm import lm_score
+from skyfold.llm import lm_score, ngram_join
 
 
 @pytest.mark.parametrize("most_frequent", [400_000, 5, 0])
@@ -48,3 +48,32 @@ def test_pair_filter_follows_the_corpus(spark):
         assert lm_score._segment_bits(lm_score.PAIR_BITS * tokens, segments) * segments >= lm_score.PAIR_BITS * tokens
     model = lm_score.train(spark.createDataFrame([(1, "a b c")], "doc_id LONG, text STRING"))
     assert sum(len(r.bits) for r in model.pairs.collect()) == model.pairs.count() * model.pair_bits // 8
+
+
+def near_texts(*edits):
+    """Texts of 40 words; every edit changes the words at its places."""
+    return [" ".join(f"x{i}e{n}" if i in edit else f"w{i}" for i in range(40)) for n, edit in enumerate(edits)]
+
+
+def test_near_copies_without_identifier_are_linked(spark):
+    """Without one as the member (first pair), as the probe (the middle of a star), and as a bridge."""
+    one, other = near_texts((), (0,))
+    rows = [(1, one), (None, other)]
+    star = [text.replace("w", "s") for text in near_texts((), *[(i,) for i in (0, 39, 1, 38)])]
+    rows += [(None, star[0]), *[(10 + i, text) for i, text in enumerate(star[1:])]]
+    bridge = [text.replace("w", "b") for text in near_texts((0,), (), (39,))]
+    rows += [(20, bridge[0]), (None, bridge[1]), (21, bridge[2]), (None, "quite another text of a few words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    found = [(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs, 3, 90).collect()]
+    assert collections.Counter(found) == collections.Counter(
+        [(1, 1), (None, 1), (None, 10), *[(10 + i, 10) for i in range(4)], (20, 20), (None, 20), (21, 20), (None, None), (None, None)]
+    )
+
+
+def test_a_group_without_probe_is_no_group_of_the_one_before():
+    import pyarrow as pa
+
+    text = b"a b c d e f"
+    rows = pa.RecordBatch.from_pydict({"probe": [1, 1, 2], "part": [0, 0, 0], "member": [None, 5, 6], "text": [text] * 3})
+    with pytest.raises(RuntimeError):
+        list(ngram_join._tree_links(3, 90)(iter([rows])))
