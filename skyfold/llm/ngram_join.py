@@ -15,8 +15,11 @@ in their leading parts of ``n - ceil(s n) + 1`` entries, so only these parts are
    beginnings), in groups of bounded size. A traversal carries the overlap of a shared beginning over to the next
    sequence and leaves a subtree as soon as what remains cannot reach the overlap required.
 5. Components of the verified links. All other candidates (pairs of different components, by size, place in the list
-   and sketch) are then verified too, and the components taken again: no link is missed, while the pairs within
-   a group of near copies, already connected, are never formed.
+   and sketch) are then verified too, and the components taken again: no component is missed, while the pairs within
+   a group of near copies, already connected, are not written.
+6. Number of links: every link lies within a component. The sets of a component are dealt into parts of bounded size, and
+   a task counts the links between two parts by products of their incidence matrices. The work is quadratic in a
+   component's size; no pair leaves the task.
 
 A sketch holds, for each of up to ``SKETCH_BITS`` cells, whether an odd number of a set's n-grams falls there. Every cell
 in which two sketches differ needs an n-gram that only one set has, so the number of such cells bounds the difference
@@ -50,6 +53,10 @@ MIN_FREQUENT = 4
 MAX_FREQUENT = 2_000_000
 SEGMENT_ENTRIES = 500_000
 GROUP_SETS = 256
+# Parts of a component between which links are counted: at most about so many sets and n-grams.
+PART_SETS = 2048
+PART_GRAMS = 1_000_000
+COLUMNS = 2048
 STEP = 64
 SKETCH_BITS = 1024
 WORD_BITS = 23
@@ -68,7 +75,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     """``doc_id, n_shingles, component_id, n_links``.
 
     ``component_id`` is the smallest identifier reachable over links of similarity ``percent`` / 100 or more;
-    ``n_links`` counts the verified links of the document's set to other sets.
+    ``n_links`` counts the other sets to which the document's set has that similarity.
     """
     texts = identified(docs, id_col, text_col).selectExpr("doc_id", "CAST(coalesce(text, '') AS BINARY) AS text")
     scanned = written_table(texts.mapInArrow(_scanner(words), SET_ROWS))
@@ -77,12 +84,11 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     sets = members.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     shared = _shared_entries(texts, scanned, words, percent)
     links = _links(texts, members, shared, sketches, words, percent)
-    degrees = links.selectExpr("a AS set_id").union(links.selectExpr("b AS set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("links"))
-    placed = (
+    placed = written_table(
         sets.join(connected_components(links).withColumnRenamed("node", "set_id"), "set_id", "left")
-        .join(degrees, "set_id", "left")
-        .selectExpr("set_id", "first_id", "coalesce(component, set_id) AS component", "coalesce(links, 0) AS n_links")
+        .selectExpr("set_id", "first_id", "n", "coalesce(component, set_id) AS component")
     )
+    placed = placed.join(_degrees(texts, members, placed, words, percent), "set_id", "left")
     names = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = placed.join(names, "component").select("set_id", "component_id", "n_links")
     return members.join(named, "set_id", "left").selectExpr(
@@ -208,6 +214,23 @@ def _texts_of(texts: DataFrame, members: DataFrame, needed: DataFrame, words: in
     return own.join(F.broadcast(set_ids) if few else set_ids, "set_id", "left_semi")
 
 
+def _degrees(texts: DataFrame, members: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
+    """``set_id, n_links`` of the sets in components of two or more."""
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams")).where("size > 1")
+    sizes = sizes.selectExpr("component", "size", f"greatest(size div {PART_SETS}, grams div {PART_GRAMS}) + 1 AS parts")
+    joined = placed.join(sizes, "component")
+    dealt = written_table(joined.where("size > 2").selectExpr("set_id", "component", "parts", "pmod(xxhash64(set_id), parts) AS part"))
+    found = _texts_of(texts, members, dealt.select("set_id"), words).dropDuplicates(["set_id"])
+    rows = dealt.join(found, "set_id").selectExpr(
+        "set_id", "text", "component", "part", "explode(sequence(0L, parts - 1)) AS other"
+    )
+    rows = rows.selectExpr("component", "least(part, other) AS one", "greatest(part, other) AS two", "part", "set_id", "text")
+    grouped = rows.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two")
+    counted = grouped.mapInArrow(_link_counts(words, percent), "set_id bigint, n_links bigint")
+    pairs = joined.where("size = 2").selectExpr("set_id", "1L AS n_links")
+    return counted.unionByName(pairs).groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+
+
 # --- inside tasks -------------------------------------------------------------------------------------
 
 
@@ -462,6 +485,60 @@ def _own_sets(words: int):
     return own
 
 
+def link_counts(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of both lists the number of similar sets in the other; without ``two``, of the others in ``one``."""
+    sets = one + (two or [])
+    sizes = np.array([len(x) for x in sets], np.float64)
+    grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column, minlength=1) > 1 if len(column) else np.zeros(0, bool)
+    keep = often[column]
+    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
+    rows = slice(0, len(one))
+    others = rows if two is None else slice(len(one), len(sets))
+    overlap = np.zeros((rows.stop, others.stop - others.start))
+    cuts = np.searchsorted(column, np.arange(0, int(often.sum()) + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        held = np.zeros((len(sets), int(column[b - 1]) - k * COLUMNS + 1 if b > a else 0), np.float32)
+        held[owner[a:b], column[a:b] - k * COLUMNS] = 1
+        overlap += held[rows] @ held[others].T
+    similar = 100 * overlap >= percent * (sizes[rows][:, None] + sizes[others][None, :] - overlap)
+    if two is None:
+        np.fill_diagonal(similar, False)
+        return similar.sum(axis=1), np.zeros(0, np.int64)
+    return similar.sum(axis=1), similar.sum(axis=0)
+
+
+def _link_counts(words: int, percent: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple[int, int, int] | None = None
+        ids: tuple[list[int], list[int]] = ([], [])
+        sets: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def counted() -> pa.RecordBatch:
+            n = link_counts(sets[0], sets[1] if group[1] != group[2] else None, percent)
+            columns = [pa.array(ids[0] + ids[1], pa.int64()), pa.array(np.concatenate(n).astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["set_id", "n_links"])
+
+        for batch in batches:
+            for component, one, two, part, set_id, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if (component, one, two) != group:
+                    if group:
+                        yield counted()
+                    group, ids, sets = (component, one, two), ([], []), ([], [])
+                ids[part != one].append(set_id)
+                sets[part != one].append(shingle_set(text.lower(), words))
+        if group:
+            yield counted()
+
+    return count
+
+
 def _tree_links(words: int, percent: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple[int, int] | None = None

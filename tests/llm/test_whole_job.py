@@ -6,6 +6,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 
 from skyfold.llm import lm_score, ngram_join
@@ -77,3 +78,28 @@ def test_a_group_without_probe_is_no_group_of_the_one_before():
     rows = pa.RecordBatch.from_pydict({"probe": [1, 1, 2], "part": [0, 0, 0], "member": [None, 5, 6], "text": [text] * 3})
     with pytest.raises(RuntimeError):
         list(ngram_join._tree_links(3, 90)(iter([rows])))
+
+
+@pytest.mark.parametrize("part_sets", [2048, 5])
+def test_all_links_of_a_group_are_counted(spark, monkeypatch, part_sets):
+    monkeypatch.setattr(ngram_join, "PART_SETS", part_sets)
+    rng = random.Random(8)
+    texts = near_texts(*[rng.sample((0, 1, 2, 38, 39), rng.randint(0, 2)) for _ in range(30)])
+    texts += [text.replace("w", "v") for text in near_texts((0,), (39,))] + texts[:3] + ["alone", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(3)
+    sets = [frozenset(zip(*[(text or "").split()[k:] for k in range(3)], strict=False)) for text in texts]
+    similar = lambda a, b: a != b and 100 * len(a & b) >= 90 * len(a | b)
+    expected = {i: sum(similar(own, other) for other in set(sets) if own and other) for i, own in enumerate(sets)}
+    found = {r.doc_id: r.n_links for r in ngram_join.jaccard_components(docs, 3, 90).collect()}
+    assert found == expected and max(expected.values()) > 5
+
+
+def test_counts_of_links_equal_plain_comparison(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    rng = random.Random(9)
+    sets = [np.array(sorted(rng.sample(range(40), rng.randint(1, 40))), np.uint64) for _ in range(40)]
+    similar = [[100 * len(np.intersect1d(a, b)) >= 50 * len(np.union1d(a, b)) for b in sets] for a in sets]
+    assert ngram_join.link_counts(sets, None, 50)[0].tolist() == [sum(row) - 1 for row in similar]
+    one, two = ngram_join.link_counts(sets[:15], sets[15:], 50)
+    assert one.tolist() == [sum(row[15:]) for row in similar[:15]]
+    assert two.tolist() == [sum(row[i] for row in similar[:15]) for i in range(15, 40)]
