@@ -3,7 +3,8 @@
 Known forms are the kinds ``assign``, ``access`` and ``hex``; their spans always stay. Any other run of at least
 ``SHORTEST`` characters of an encoding alphabet is a candidate of the kind ``random``:
 
-1. The encoding is inferred from the characters (hex, base32, letters and digits, base64 and its URL form).
+1. The encoding is inferred from the characters (hex, base32 and base36 of either case, letters and digits, base64 and its
+   URL form). An equals sign parts a name from its value; up to two at the end of a run are padding.
 2. Three tests against a uniform draw from that alphabet: chi-squared of the character counts, runs of its lower and upper
    half, serial correlation of neighbours. Their standard scores, squared and summed, must stay below the critical
    value, else the run is no random text.
@@ -35,7 +36,7 @@ HEX = r"[0-9a-f]+"
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
 SHORTEST = 20
-RUN = f"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
+RUN = f"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"  # '=' only ends a run, as padding
 BANDS = (20, 32, 64, 128)
 RATE = 0.01
 CRITICAL = 16.27  # of the sum of three squared standard scores, exceeded by one random text in a thousand
@@ -48,6 +49,9 @@ ENCODINGS = (
     ("^[0-9a-f]+$", DIGITS + "abcdef"),
     ("^[0-9A-F]+$", DIGITS + "ABCDEF"),
     ("^[A-Z2-7]+$", UPPER + "234567"),
+    ("^[a-z2-7]+$", LOWER + "234567"),
+    ("^[a-z0-9]+$", LOWER + DIGITS),
+    ("^[A-Z0-9]+$", UPPER + DIGITS),
     ("^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),

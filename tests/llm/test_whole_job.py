@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import math
 import random
@@ -9,7 +10,7 @@ import random
 import numpy as np
 import pytest
 
-from skyfold.llm import lm_score, ngram_join
+from skyfold.llm import lm_score, ngram_join, secret_scan
 
 
 @pytest.mark.parametrize("most_frequent", [400_000, 5, 0])
@@ -103,3 +104,31 @@ def test_counts_of_links_equal_plain_comparison(monkeypatch):
     one, two = ngram_join.link_counts(sets[:15], sets[15:], 50)
     assert one.tolist() == [sum(row[15:]) for row in similar[:15]]
     assert two.tolist() == [sum(row[i] for row in similar[:15]) for i in range(15, 40)]
+
+
+def test_named_values_and_tokens_of_one_case_are_found(spark):
+    rng = random.Random(10)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {
+        "auth=": lower + upper + digits, "sig=": lower + upper + digits + "+/", "AWS_KEY=": lower + upper + digits,
+        "lower ": lower + digits, "upper ": upper + digits, "base32 ": lower + "234567", "pwd=": lower + digits,
+    }
+    texts, planted = [], []
+    for name, alphabet in kinds.items():
+        for _ in range(30):
+            words = ["".join(rng.choice(("th", "er", "an", "in", "ou")) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+            words[5:8] = ["averyordinaryidentifier" + words[3], "option=averyordinaryidentifierof" + words[4], "name=" + words[2]]
+            planted.append((name, "".join(rng.choice(alphabet) for _ in range(rng.choice((48, 64, 90))))))
+            words[20] = name + planted[-1][1]
+            texts.append(" ".join(words))
+    rows = secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")).collect()
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.random_spans] for r in rows}
+    hits = collections.Counter(name for i, (name, value) in enumerate(planted) if value in found[i])
+    assert all(hits[name] >= 27 for name in kinds), hits
+    assert sum(len(spans) for spans in found.values()) <= len(planted) * 1.02
+
+
+def test_padding_stays_with_its_run(spark):
+    value = base64.b64encode(random.Random(11).randbytes(49)).decode().rstrip("=")
+    docs = spark.createDataFrame([(i, f"name={value}== y") for i in range(5)], "doc_id LONG, text STRING")
+    assert {tuple((s.start, s.end) for s in r.random_spans) for r in secret_scan.secret_spans(docs).collect()} == {((5, 73),)}
