@@ -4,7 +4,7 @@ The model file, a protocol buffer, is parsed here: pieces with scores and kinds,
 these a tokenizer is rebuilt: the precompiled normalisation, the metaspace marker for spaces and the dummy prefix, the
 unigram scores or, for a byte-pair model, the merges that the pieces' scores imply, and byte fallback. Batches are
 encoded by the library's threads in slices of bounded text. Every document's identifiers are verified against the
-reference encoder; where they differ the reference's count and ``parity`` is false.
+reference encoder; only where they differ the reference's identifiers stand in, and ``parity`` is false.
 
 Models are given by path and read on the driver; workers get the bytes (a model is at most ``MAX_MODEL_BYTES``).
 
@@ -110,7 +110,8 @@ def build_tokenizer(model: PieceModel) -> Tokenizer:
 
 
 def encode_batch(data: bytes, texts: list[str | None]) -> tuple[list[list[int]], list[bool]]:
-    """Identifiers of each text, and whether the rebuilt tokenizer found the same ones as the reference."""
+    """Identifiers of each text from the rebuilt tokenizer, and whether the reference found the same ones; if not, its
+    own stand in."""
     tokenizer, reference = _codec(data)
     ids: list[list[int]] = []
     parity: list[bool] = []
@@ -118,7 +119,7 @@ def encode_batch(data: bytes, texts: list[str | None]) -> tuple[list[list[int]],
         found = [encoding.ids for encoding in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         expected = reference.encode(part, num_threads=1)
         parity += [a == b for a, b in zip(found, expected, strict=True)]
-        ids += expected
+        ids += [a if a == b else b for a, b in zip(found, expected, strict=True)]
     return ids, parity
 
 

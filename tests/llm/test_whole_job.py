@@ -10,7 +10,7 @@ import random
 import numpy as np
 import pytest
 
-from skyfold.llm import lm_score, ngram_join, secret_scan
+from skyfold.llm import lm_score, ngram_join, secret_scan, sentencepiece_codec
 
 
 @pytest.mark.parametrize("most_frequent", [400_000, 5, 0])
@@ -132,3 +132,21 @@ def test_padding_stays_with_its_run(spark):
     value = base64.b64encode(random.Random(11).randbytes(49)).decode().rstrip("=")
     docs = spark.createDataFrame([(i, f"name={value}== y") for i in range(5)], "doc_id LONG, text STRING")
     assert {tuple((s.start, s.end) for s in r.random_spans) for r in secret_scan.secret_spans(docs).collect()} == {((5, 73),)}
+
+
+def test_pieces_come_from_the_rebuilt_tokenizer(monkeypatch):
+    class Ids(list):
+        pass
+
+    class Rebuilt:
+        def encode_batch_fast(self, part, add_special_tokens):
+            return [type("Encoding", (), {"ids": [1, 2]}) for _ in part]
+
+    class Reference:
+        def encode(self, part, num_threads):
+            return [Ids([1, 2]), Ids([3])]
+
+    monkeypatch.setattr(sentencepiece_codec, "_codec", lambda data: (Rebuilt(), Reference()))
+    ids, parity = sentencepiece_codec.encode_batch(b"", ["same", "other"])
+    assert ids == [[1, 2], [3]] and parity == [True, False]
+    assert not isinstance(ids[0], Ids) and isinstance(ids[1], Ids)
