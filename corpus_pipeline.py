@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_codec
-from skyfold.llm.common import held_out, read_documents
+from skyfold.llm.common import read_documents
 from skyfold.session import written_table
 
 # Identifiers that may be broadcast, 8 bytes each.
@@ -30,7 +30,9 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be determined: no text or no letter."""
-    profiles = language_id.learn_profiles(docs.where(f"NOT ({held_out('doc_id', 3, 1)})"))
+    profiles = language_id.learn_profiles(docs)
+    if profiles.isEmpty():  # no language was learned: only what identification could never determine goes
+        return _staying(docs, language_id.lettered(docs).selectExpr("doc_id", "has_letter AS kept"))
     found = language_id.identify(docs, profiles)
     return _staying(docs, found.selectExpr("doc_id", f"lang_pred <> '{language_id.UNDETERMINED}' AS kept"))
 

@@ -72,6 +72,17 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def lettered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, has_letter``: whether a language can be determined at all."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([has_letter(text.as_py()) for text in batch.column(1)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "has_letter"])
+
+    return identified(docs, id_col, text_col).mapInArrow(look, "doc_id bigint, has_letter boolean")
+
+
 def grams_of(text: str) -> np.ndarray:
     """All n-grams of a text, packed."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)

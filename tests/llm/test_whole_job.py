@@ -6,7 +6,9 @@ import base64
 import collections
 import math
 import random
+import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -150,3 +152,13 @@ def test_pieces_come_from_the_rebuilt_tokenizer(monkeypatch):
     ids, parity = sentencepiece_codec.encode_batch(b"", ["same", "other"])
     assert ids == [[1, 2], [3]] and parity == [True, False]
     assert not isinstance(ids[0], Ids) and isinstance(ids[1], Ids)
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language_stage_keeps_texts_without_labels(spark, lang):
+    """Without any label, and with the only label on a row that the query would hold out."""
+    rows = [(1, "the house", None), (2, "12 34", None), (3, None, None), (5, "the dog", None), (6, "a cat", None), (8, "a bird", None)]
+    labelled = next(i for i, row in enumerate(rows) if row[0] not in (2, 3) and zlib.crc32(str(row[0]).encode()) % 3 == 1)
+    rows[labelled] = (*rows[labelled][:2], lang)
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, None).collect()) == [1, 5, 6, 8]
