@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyfold.llm import (
     exact_dedup,
+    hard_negatives,
     language_id,
     lm_score,
     mixing,
@@ -127,6 +128,35 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    relabelled = vectors.selectExpr("vec_id", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", "embedding")
+    return hard_negatives.hard_negatives(relabelled, "vec_id % 100 = 0", n_positives=5, n_negatives=5, percent=80)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS key, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.key AS anchor, a.vec_id AS anchor_id, b.key, b.vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.vector, b.vector), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.key <> b.key),
+positives AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored n USING (anchor)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 # The checksum is spelled out over the bytes of the text, one table step each.
 ORACLES["op8_byte_shards"] = r"""
 WITH crc_table AS (
