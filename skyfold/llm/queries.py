@@ -12,6 +12,7 @@ from skyfold.llm import (
     hard_negatives,
     language_id,
     lm_score,
+    minhash_dedup,
     mixing,
     ngram_join,
     quality_model,
@@ -128,6 +129,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_documents(spark, sf_dir), words=4, percent=80)
+
+
 @register
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -157,6 +163,32 @@ QUALIFY row_number() OVER (PARTITION BY anchor, positive_id ORDER BY score DESC,
 """
 
 
+def _component_sql(words: int, percent: int, more: str) -> str:
+    """Sets of shingles, all pairs that share one, links, and the smallest identifier reachable."""
+    return rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + {words - 1}], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {words - 2}, 2))) AS i FROM texts WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * s.n >= {percent} * (x.n + y.n - s.n)),
+reached AS (SELECT doc_id, doc_id AS other FROM texts UNION SELECT doc_id, b FROM reached JOIN links ON other = a),
+components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{more}
+FROM components LEFT JOIN sizes USING (doc_id)"""
+
+
+ORACLES["op11_minhash_dedup"] = _component_sql(4, 80, ", doc_id = component_id AS kept")
+
+
 # The checksum is spelled out over the bytes of the text, one table step each.
 ORACLES["op8_byte_shards"] = r"""
 WITH crc_table AS (

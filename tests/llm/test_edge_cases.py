@@ -9,6 +9,7 @@ from skyfold.llm import (
     exact_dedup,
     language_id,
     lm_score,
+    minhash_dedup,
     mixing,
     ngram_join,
     quality_model,
@@ -57,6 +58,7 @@ OPERATORS = {
     "lm": lambda docs, labels: lm_score.score(docs, lm_score.train(docs)),
     "language": lambda docs, labels: language_id.identify(docs, language_id.learn_profiles(docs)),
     "secrets": lambda docs, labels: secret_scan.secret_spans(docs),
+    "minhash": lambda docs, labels: minhash_dedup.near_duplicates(docs, words=4, percent=80),
     "shards": lambda docs, labels: sharding.byte_shards(docs, 40),
     "mix": lambda docs, labels: mixing.mix(docs),
     "rules": lambda docs, labels: quality_rules.cascade(
