@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skyfold.llm import (
+    conversation_repair,
     exact_dedup,
     hard_negatives,
     language_id,
@@ -163,6 +164,90 @@ QUALIFY row_number() OVER (PARTITION BY anchor, positive_id ORDER BY score DESC,
 """
 
 
+@register
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair_conversations(damaged(turns), turns)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, without ends of sentences, repeated or given to the user, by the checksum of their place."""
+    place = "concat(coalesce(CAST(conv_id AS STRING), ' '), ':', coalesce(CAST(turn AS STRING), ' '))"
+    return (
+        turns.selectExpr("conv_id", "turn", "coalesce(role, ' ') AS role", "coalesce(text, ' ') AS text", f"crc32({place}) % 20 AS damage")
+        .where("damage <> 0")
+        .selectExpr(
+            "conv_id",
+            "turn",
+            "if(damage = 4, 'user', role) AS role",
+            "CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '') ELSE text END AS text",
+            "explode(array_repeat(0, if(damage = 3, 2, 1))) AS copy",
+        )
+        .drop("copy")
+    )
+
+
+# One best path (cost, letters) per state is carried over the rows; states as in the operator.
+ORACLES["op13_conversation_repair"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+placed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place
+  FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(place, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS damage
+  FROM placed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM summed, range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS repeated,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS unended,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+  FROM numbered),
+inserts(q, r, cost, letters, lines) AS (VALUES
+  (0, 0, 0, '', CAST([] AS VARCHAR[])), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']),
+  (3, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+edits(letter, q, r, initial, cost, role) AS (
+  SELECT 'D', q, q, CAST(NULL AS VARCHAR), 3, CAST(NULL AS VARCHAR) FROM range(4) AS states(q) UNION ALL
+  VALUES ('K', 0, 1, 's', 0, NULL), ('K', 0, 2, 'u', 0, NULL), ('K', 1, 2, 'u', 0, NULL), ('K', 3, 2, 'u', 0, NULL), ('K', 2, 3, 'a', 0, NULL),
+         ('R', 0, 2, NULL, 2, 'user'), ('R', 1, 2, NULL, 2, 'user'), ('R', 3, 2, NULL, 2, 'user'), ('R', 2, 3, NULL, 2, 'assistant')),
+paths AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM judged
+  UNION ALL
+  SELECT p.conv_id, j.i, CAST(e.r AS BIGINT) AS state,
+         p.cost + n.cost + e.cost + CASE WHEN e.letter <> 'D' AND unended THEN 1 ELSE 0 END AS total,
+         audit || n.letters || e.letter AS letters_so_far,
+         p.lines || n.lines || CASE e.letter WHEN 'D' THEN [] ELSE [coalesce(e.role, j.role) || ':' || text] END
+  FROM paths p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1
+  JOIN inserts n ON n.q = p.q JOIN edits e ON e.q = n.r AND coalesce(e.initial, j.initial) = j.initial
+  WHERE e.letter = 'D' OR NOT (blank OR repeated)
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id, state ORDER BY total, letters_so_far) = 1),
+best AS (
+  SELECT p.conv_id, p.cost + n.cost AS cost, audit || n.letters AS audit, p.lines || n.lines AS lines
+  FROM paths p JOIN inserts n USING (q)
+  WHERE n.r IN (0, 3) AND p.i = (SELECT max(i) FROM judged j WHERE j.conv_id IS NOT DISTINCT FROM p.conv_id)
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + n.cost, audit || n.letters) = 1),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (repeated AND NOT blank) AS duplicate, count(*) FILTER (unended AND NOT (blank OR repeated)) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def _component_sql(words: int, percent: int, more: str) -> str:
     """Sets of shingles, all pairs that share one, links, and the smallest identifier reachable."""
     return rf"""
