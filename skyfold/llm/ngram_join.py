@@ -71,11 +71,14 @@ SHARED_ROWS = "gram bigint, set_id bigint, n bigint, place bigint"
 ENTRY = np.dtype([("gram", "<i8"), ("set_id", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
 
-def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
+) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links``.
 
     ``component_id`` is the smallest identifier reachable over links of similarity ``percent`` / 100 or more;
-    ``n_links`` counts the other sets to which the document's set has that similarity.
+    ``n_links`` counts the other sets to which the document's set has that similarity. Without ``count_links`` it is left
+    out, and with it step 6, whose work is quadratic in a component's size.
     """
     texts = identified(docs, id_col, text_col).selectExpr("doc_id", "CAST(coalesce(text, '') AS BINARY) AS text")
     scanned = written_table(texts.mapInArrow(_scanner(words), SET_ROWS))
@@ -88,11 +91,13 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
         sets.join(connected_components(links).withColumnRenamed("node", "set_id"), "set_id", "left")
         .selectExpr("set_id", "first_id", "n", "coalesce(component, set_id) AS component")
     )
-    placed = placed.join(_degrees(texts, members, placed, words, percent), "set_id", "left")
+    if count_links:
+        placed = placed.join(_degrees(texts, members, placed, words, percent), "set_id", "left")
+    n_links = ["n_links"] if count_links else []
     names = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(names, "component").select("set_id", "component_id", "n_links")
+    named = placed.join(names, "component").select("set_id", "component_id", *n_links)
     return members.join(named, "set_id", "left").selectExpr(
-        "doc_id", "n AS n_shingles", "CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id", "coalesce(n_links, 0) AS n_links"
+        "doc_id", "n AS n_shingles", "CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id", *[f"coalesce({name}, 0) AS {name}" for name in n_links]
     )
 
 

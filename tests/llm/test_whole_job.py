@@ -137,21 +137,36 @@ def test_padding_stays_with_its_run(spark):
 
 
 def test_pieces_come_from_the_rebuilt_tokenizer(monkeypatch):
-    class Ids(list):
-        pass
-
     class Rebuilt:
         def encode_batch_fast(self, part, add_special_tokens):
-            return [type("Encoding", (), {"ids": [1, 2]}) for _ in part]
+            assert part == ["▁same", "▁other"]
+            return [type("Encoding", (), {"ids": own}) for own in ([1, 2], [1, 2])]
+
+        def decode_batch(self, ids, skip_special_tokens):
+            return [str(x) for x in ids]
 
     class Reference:
-        def encode(self, part, num_threads):
-            return [Ids([1, 2]), Ids([3])]
+        def encode(self, part, out_type, num_threads):
+            return [np.array([1, 2]), np.array([3])]
+
+    class Both(sentencepiece_codec.Codec):
+        def __init__(self, data):
+            self.tokenizer, self.reference = Rebuilt(), Reference()
+            self.model = sentencepiece_codec.PieceModel([], sentencepiece_codec.BPE, True, 0, b"", True, False, True)
 
-    monkeypatch.setattr(sentencepiece_codec, "_codec", lambda data: (Rebuilt(), Reference()))
+    monkeypatch.setattr(sentencepiece_codec, "codec", Both)
     ids, parity = sentencepiece_codec.encode_batch(b"", ["same", "other"])
     assert ids == [[1, 2], [3]] and parity == [True, False]
-    assert not isinstance(ids[0], Ids) and isinstance(ids[1], Ids)
+
+
+def test_any_text_has_the_reference_pieces_and_comes_back():
+    with open(corpus_pipeline.PIECE_MODEL, "rb") as file:
+        data = file.read()
+    rng = random.Random(12)
+    letters = ["a", "the ", " ", "  ", "\n", "é", "日本", "\U0001f600", "house", "\x01", "1", "Zx"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(400)] + ["", " ", "x" * 5000]
+    ids, parity = sentencepiece_codec.encode_batch(data, texts)
+    assert all(parity) and sentencepiece_codec.decode_batch(data, ids) == texts
 
 
 @pytest.mark.parametrize("lang", [None, "en"])
