@@ -10,7 +10,6 @@ from skyfold.session import written_table
 # A row per file split, path and three numbers, may be broadcast up to this many.
 BROADCAST_SPLITS = 100_000
 
-
 def filter_lines(lines: DataFrame, keyword: str | None = None, negate: bool = False) -> DataFrame:
     """Lines containing ``keyword`` (case-sensitive), or with ``negate`` those not containing it."""
     if keyword is None:
@@ -27,11 +26,13 @@ def message_text(lines: DataFrame) -> DataFrame:
 def number_lines(lines: DataFrame) -> DataFrame:
     """Number lines of ``read_log_lines`` from 1 in file and line order.
 
-    Each file split gets an offset from the line counts of the splits before it: first within its file, then over the
-    files. Up to ``BROADCAST_SPLITS`` offsets are broadcast, so that lines stay where they were read; beyond that Spark
-    joins by split. The last window runs over one row per file, counts and no text.
+    The lines are read and written once, each with its place in its task; counts, offsets and numbers all come from what was
+    written, so they agree however the files are split. Each split gets an offset from the counts of those before
+    it: first within its file, then over the files. Up to ``BROADCAST_SPLITS`` offsets are broadcast, so that lines stay
+    where they were written; beyond that Spark joins by split. The last window runs over one row per file, counts and no
+    text.
     """
-    placed = lines.withColumn("line_id", F.monotonically_increasing_id())
+    placed = written_table(lines.withColumn("line_id", F.monotonically_increasing_id()))
     splits = placed.groupBy("file_path", "block_start").agg(
         F.count(F.lit(1)).alias("n_lines"), F.min("line_id").alias("first_line_id")
     )

@@ -2,36 +2,32 @@
 
 from __future__ import annotations
 
-import re
 import warnings
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.operators.logs import message_text, number_lines
-from skyfold.sources.catalog import decoded
+from skyfold.sources.catalog import escaped, load_folder
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a file, or of every file directly inside a folder, with the place they were read from."""
-    return _lines(spark, path).select(
+    if _is_file(spark, path):
+        lines = spark.read.text(escaped(path))
+    else:
+        lines = load_folder(spark.read.format("text"), spark, path, "*")
+    return lines.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         "value",
     )
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """The file at ``path``, or the files whose folder it is; the names prune the files of sub-folders."""
-    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-    own = F.regexp_replace(decoded(F.col("_metadata.file_path")), scheme, "")
-    wanted = re.sub(scheme, "", path).rstrip("/")
-    folder = F.regexp_replace(own, "/[^/]*$", "")
-    if wanted.startswith("/"):
-        inside = (own == wanted) | (folder == wanted)
-    else:
-        inside = own.endswith("/" + wanted) | folder.endswith("/" + wanted)
-    return spark.read.option("recursiveFileLookup", True).text(path).where(inside)
+def _is_file(spark: SparkSession, path: str) -> bool:
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(named) and system.getFileStatus(named).isFile()
 
 
 def write_collection(lines: DataFrame, collection: str, path: str) -> bool:

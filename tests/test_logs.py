@@ -86,3 +86,14 @@ def test_numbering_leaves_lines_in_place(spark, folder, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == [f"{f}-{i}" for f in range(60) for i in range(3)]
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_no_line_is_lost_when_splits_change_between_building_and_running(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f'{{"text": "{i}"}}\n' for i in range(300_000)))
+    spark.conf.set("spark.sql.files.minPartitionNum", "5")
+    try:
+        numbered = number_lines(read_log_lines(spark, str(tmp_path))).transform(message_text)
+        spark.conf.set("spark.sql.files.minPartitionNum", "13")
+        assert numbered.where("number = text + 1").count() == numbered.count() == 300_000
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
