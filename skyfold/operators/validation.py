@@ -62,12 +62,25 @@ def bandset_results(
     per band (a fixed number), so the band sets are evaluated by expressions on a single row per candidate.
     """
     by = list(tables.by)
-    slots = {band: i for i, band in enumerate(BANDS)}
     per_candidate = band_statistics(tables.light_curves, bin_width, by).groupBy(*by).agg(*[
         F.expr(f"coalesce(max(CASE WHEN band = {literal(band)} THEN {measure} END), 0) AS {measure}_{i}")
-        for band, i in slots.items()
-        for measure in ("n_bins", "n_obs")
+        for i, band in enumerate(BANDS)
+        for measure in band_measures()
     ])
+    counted = tables.candidates.select(*by, "has_photometry").join(per_candidate, by, "left")
+    return outcomes(counted, bandsets, min_observations, by)
+
+
+def band_measures() -> tuple[str, str]:
+    """What is counted per band, in columns numbered by band."""
+    return ("n_bins", "n_obs")
+
+
+def outcomes(
+    counted: DataFrame, bandsets: dict[str, tuple[str, ...]], min_observations: int, by: Sequence[str] = NAME
+) -> DataFrame:
+    """``bandset_results`` from one row per candidate with the numbered ``band_measures``."""
+    slots = {band: i for i, band in enumerate(BANDS)}
 
     def result(bandset: str, members: Sequence[str]) -> str:
         failures = [
@@ -80,12 +93,21 @@ def bandset_results(
     results = ", ".join(result(bandset, members) for bandset, members in bandsets.items())
     outcome = f"transform(array({results}), r -> struct(r.bandset, r.message IS NULL AS is_valid, r.message))"
     empty = "cast(array() AS ARRAY<STRUCT<bandset: STRING, is_valid: BOOLEAN, message: STRING>>)"
-    return (
-        tables.candidates.select(*by, "has_photometry")
-        .join(per_candidate, by, "left")
-        .selectExpr(
-            *by, "has_photometry", f"CASE WHEN has_photometry THEN {outcome if bandsets else empty} END AS bandsets"
-        )
+    return counted.selectExpr(
+        *by, "has_photometry", f"CASE WHEN has_photometry THEN {outcome if bandsets else empty} END AS bandsets"
+    )
+
+
+def minimum_verdicts(results: DataFrame, by: Sequence[str] = NAME) -> DataFrame:
+    """Verdict, message and available band sets from ``bandset_results``: one passing band set suffices."""
+    return results.selectExpr(
+        *by,
+        "has_photometry AND exists(bandsets, r -> r.is_valid) AS is_valid",
+        f"""CASE WHEN NOT has_photometry THEN {literal(NO_PHOTOMETRY)}
+                 WHEN NOT exists(bandsets, r -> r.is_valid) THEN
+                     array_join(transform(filter(bandsets, r -> NOT r.is_valid), r -> r.message), '\\n')
+            END AS message""",
+        "transform(filter(bandsets, r -> r.is_valid), r -> r.bandset) AS available_bandsets",
     )
 
 
@@ -103,16 +125,7 @@ def minimum_observations(
     requested = {"all": BANDS} if all_bands else bandsets
 
     def validate(tables: Tables) -> DataFrame:
-        results = bandset_results(tables, requested, min_observations, bin_width)
-        return results.selectExpr(
-            *tables.by,
-            "has_photometry AND exists(bandsets, r -> r.is_valid) AS is_valid",
-            f"""CASE WHEN NOT has_photometry THEN {literal(NO_PHOTOMETRY)}
-                     WHEN NOT exists(bandsets, r -> r.is_valid) THEN
-                         array_join(transform(filter(bandsets, r -> NOT r.is_valid), r -> r.message), '\\n')
-                END AS message""",
-            "transform(filter(bandsets, r -> r.is_valid), r -> r.bandset) AS available_bandsets",
-        )
+        return minimum_verdicts(bandset_results(tables, requested, min_observations, bin_width), tables.by)
 
     return Check(MINIMUM_OBSERVATIONS, validate)
 

@@ -218,6 +218,9 @@ lc AS (
   SELECT *, replace(band_raw, '''', '_pr') AS band FROM catalog_obs
   WHERE flux IS NOT NULL AND band_raw NOT IN ('V', 'clear'))"""
 
+CATALOG_VERDICTS = f"""{CATALOG_CURVES.replace("cand AS (", "event_cand AS (")},
+cand AS (SELECT stem AS name, TRUE AS has_photometry FROM checked WHERE reason IS NULL), {verdicts(1)}"""
+
 ORACLES: dict[str, str] = {
     "flux_from_magnitude": f"WITH {MAGNITUDES} SELECT name, pos, round(flux, 9) AS flux FROM derived",
     "magnitude_from_flux": f"WITH {MAGNITUDES} SELECT name, pos, round(magnitude, 9) AS magnitude FROM derived",
@@ -336,6 +339,15 @@ dim(catalog, path, nr_datapoints, parity) AS (
 SELECT catalog, path, nr_datapoints, count(stem) FILTER (reason IS NULL) AS n_loaded, count(reason) AS n_rejected
 FROM dim LEFT JOIN checked ON length(stem) % 2 = parity GROUP BY catalog, path, nr_datapoints""",
     "catalog_ingest": CATALOG_OBSERVATIONS,
+    "catalog_verdicts": f"WITH {CATALOG_VERDICTS} SELECT name, is_valid, message, coalesce(available, '') AS available FROM res",
+    "catalog_stream_valid": f"""WITH {CATALOG_VERDICTS}
+SELECT name, bool_or(bandset = 'BRI' AND is_valid) AS "BRI", bool_or(bandset = 'gri' AND is_valid) AS "gri",
+       bool_or(bandset = 'gri_primed' AND is_valid) AS "g'r'i'"
+FROM bs GROUP BY name HAVING bool_or(is_valid)""",
+    "catalog_stream_batches": f"""WITH {OBJECTS}
+SELECT object_batch, count(*) AS n_objects
+FROM (SELECT CASE WHEN reason IS NULL THEN (row_number() OVER (PARTITION BY reason IS NULL) - 1) // 100 END AS object_batch
+      FROM checked) GROUP BY object_batch""",
     "catalog_candidates": f"""WITH {OBJECTS}
 SELECT stem AS file_stem, stem AS name, 'v1.0' AS schema, TRUE AS has_photometry FROM checked WHERE reason IS NULL""",
     "catalog_rejects": f"""WITH {OBJECTS}

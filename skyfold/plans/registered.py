@@ -13,12 +13,13 @@ from skyfold.functions.timebins import bin_centre
 from skyfold.operators import binning, unnest, validation
 from skyfold.operators import light_curves as lc
 from skyfold.operators import logs as log_ops
+from skyfold.operators.document_checks import document_verdicts
 from skyfold.operators.plotdata import plot_series as series_of
 from skyfold.operators.structuring import candidates, rejects, structure_objects
 from skyfold.plans import fixtures
 from skyfold.session import scratch_dir
 from skyfold.sources import catalog, logs, results
-from skyfold.streaming.catalog_stream import ingest_stream
+from skyfold.streaming.catalog_stream import ingest_object_batches, ingest_stream, validate_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 STREAM_BATCH = 100
 MIN_BINS = 4
 STRICT_MIN_BINS = 5
+CATALOG_MIN_BINS = 1
 NOMINAL_SIZE = 45162
 
 
@@ -433,6 +435,32 @@ def catalog_stream_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(objects).select("file_stem", "has_photometry", "reason")
 
 
+@register
+def catalog_stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Well-formed objects per batch of objects of a streamed ingest."""
+    objects = scratch_dir(spark)
+    ingest_object_batches(spark, _catalog_files(spark, sf_dir), objects, scratch_dir(spark), scratch_dir(spark), STREAM_BATCH)
+    return spark.read.parquet(objects).groupBy("object_batch").agg(F.count(F.lit(1)).alias("n_objects"))
+
+
+@register
+def catalog_stream_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid objects and their band sets from a streamed validation."""
+    exported = scratch_dir(spark)
+    validate_stream(
+        spark, _catalog_files(spark, sf_dir), exported, scratch_dir(spark), STREAM_BATCH, min_observations=CATALOG_MIN_BINS
+    )
+    columns = "name STRING, " + ", ".join(f"`{flag}` BOOLEAN" for flag in results.CSV_FLAGS.values())
+    return spark.read.schema(f"{columns}, batch_id INT").csv(exported, header=True).drop("batch_id")
+
+
+@register
+def catalog_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts from the documents themselves."""
+    verdicts = document_verdicts(candidates(_objects(spark, sf_dir)), min_observations=CATALOG_MIN_BINS)
+    return verdicts.select("name", "is_valid", "message", F.array_join("available_bandsets", ",").alias("available"))
+
+
 @register
 def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = (entry[0] for entry in dims.CATALOGS)

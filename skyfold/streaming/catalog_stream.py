@@ -1,12 +1,19 @@
-"""Incremental ingest of a catalogue folder."""
+"""Incremental ingest and validation of a catalogue folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyfold.operators.structuring import structure_objects
+from skyfold.dims import BANDSETS
+from skyfold.operators.document_checks import document_verdicts
+from skyfold.operators.structuring import candidates, structure_objects
+from skyfold.operators.unnest import OBJECT
+from skyfold.operators.validation import bandset_flags
 from skyfold.sources.catalog import stream_texts
+from skyfold.sources.results import csv_rows
 
 
 def _read_once(batch: DataFrame) -> DataFrame:
@@ -31,6 +38,65 @@ def ingest_stream(spark: SparkSession, path: str, objects_path: str, checkpoint:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.transform(_read_once).transform(structure_objects).write.mode("overwrite").parquet(f"{objects_path}/batch_id={batch_id}")
 
+    _each_batch(spark, path, checkpoint, batch_size, write)
+
+
+def ingest_object_batches(
+    spark: SparkSession, path: str, objects_path: str, counts_path: str, checkpoint: str, batch_size: int
+) -> None:
+    """Like ``ingest_stream``, with a column ``object_batch`` that counts well-formed objects: ``batch_size`` to a batch.
+
+    The batches of objects go on over micro-batches, in order of file names within one, and rejects (null) do not use
+    them up. The number of objects so far is carried in ``counts_path``, one row per micro-batch, written before its
+    objects and read by the next; a repeated micro-batch starts from the same number.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = 0
+        if batch_id:
+            before = spark.read.parquet(f"{counts_path}/batch_id={batch_id - 1}").first().n_objects
+        objects = batch.transform(_read_once).transform(structure_objects).persist()
+        try:
+            # One window over the names of a micro-batch, of which there are at most ``batch_size``.
+            named = candidates(objects).select("file_stem", F.row_number().over(Window.orderBy("file_stem")).alias("place"))
+            numbered = named.selectExpr("file_stem", f"({before} + place - 1) div {batch_size} AS object_batch")
+            total = before + candidates(objects).count()
+            spark.range(1).selectExpr(f"{total}L AS n_objects").write.mode("overwrite").parquet(f"{counts_path}/batch_id={batch_id}")
+            joined = objects.join(F.broadcast(numbered), "file_stem", "left")
+            joined.write.mode("overwrite").parquet(f"{objects_path}/batch_id={batch_id}")
+        finally:
+            objects.unpersist()
+
+    _each_batch(spark, path, checkpoint, batch_size, write)
+
+
+def validate_stream(
+    spark: SparkSession,
+    path: str,
+    csv_path: str,
+    checkpoint: str,
+    batch_size: int,
+    bandsets: dict[str, tuple[str, ...]] = BANDSETS,
+    min_observations: int = 3,
+) -> None:
+    """Validate the files not yet seen and export the valid objects with their band sets, batch by batch.
+
+    Verdicts come from each document's own row, so a micro-batch reads its files, and writes. A batch replaces its
+    own folder of CSV files.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        objects = batch.transform(_read_once).transform(structure_objects)
+        verdicts = document_verdicts(candidates(objects), bandsets, min_observations)
+        flags = bandset_flags(verdicts.where("is_valid"), by=OBJECT)
+        csv_rows(flags).write.mode("overwrite").csv(f"{csv_path}/batch_id={batch_id}", header=True)
+
+    _each_batch(spark, path, checkpoint, batch_size, write)
+
+
+def _each_batch(
+    spark: SparkSession, path: str, checkpoint: str, batch_size: int, write: Callable[[DataFrame, int], None]
+) -> None:
     query = (
         stream_texts(spark, path, batch_size)
         .writeStream.foreachBatch(write)
