@@ -10,13 +10,15 @@ two independent 64-bit sums.
 3. Star: every set is paired with one centre, the smallest of the centres of its buckets; a centre is the smallest set
    of a bucket. So there are at most as many pairs as sets, however large a bucket is. Pairs are confirmed on full sets
    and connected.
-4. The rest: buckets whose sets are still in different components. Their sets are dealt into parts of bounded size, a
-   task compares two parts by component, size and signature, and only pairs that may be links leave it. These are
-   confirmed too. No bucket is capped: this step is quadratic within such a bucket, inside tasks, and a group of near
-   copies that the stars have connected does not take part.
+4. The rest: buckets whose sets are still in different components. Their sets are dealt into parts of bounded size, two parts
+   meet in a task, and pairs of different components are compared by size and signature. What leaves a task is a forest
+   over the pairs that may be links, so at most a row per set, and its trees form clusters. In the same manner the
+   full sets of a cluster meet, part by part, and their overlaps are products of incidence matrices. Parts of the cluster's
+   largest component do not meet each other. No bucket is capped: this step is quadratic within a bucket or cluster, inside
+   tasks, no pair is written, and a group of near copies that the stars have connected does not take part.
 
 A pair of similarity ``percent`` / 100 shares a bucket with probability ``1 - (1 - s**rows)**bands`` (0.9993 at 0.8, 0.99998 at
-0.85). A pair whose signatures agree five standard deviations below the bound is not confirmed. What is confirmed
+0.85). A pair whose signatures agree five standard deviations below the bound is not looked at further. What is confirmed
 is exact, so no false link arises.
 
 Defined cases: null texts and texts without words have an empty set and no links; with fewer words than ``words`` the whole
@@ -45,10 +47,13 @@ ROWS = 6
 CHUNK_BYTES = 12_000_000
 # Members that a task compares with one centre, and sets of a part of a bucket.
 GROUP_SETS = 256
-PART_SETS = 1024
+PART_SETS = 512
+PART_SHINGLES = 1_000_000
 # Rows of (identifier, set) that may be broadcast, 24 bytes each, to find the texts of pairs.
 BROADCAST_ROWS = 1_000_000
 STRIP = 4096
+COLUMNS = 4096
+CELL = ["gathered", "one", "two"]
 
 SET_ROWS = "doc_id bigint, n bigint, key binary, signature binary, buckets array<bigint>"
 
@@ -97,16 +102,53 @@ def candidate_links(texts: DataFrame, sets: DataFrame, words: int, percent: int,
 
     components = connected_components(star_links).selectExpr("node AS key", "component")
     placed = met.drop("centre").join(components, "key", "left").withColumn("component", F.expr("coalesce(component, key)"))
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("one"), F.max("component").alias("other"))
-    parts = sizes.where("one < other").selectExpr("bucket", f"size div {PART_SETS} + 1 AS parts")
-    dealt = placed.join(parts, "bucket").withColumn("part", F.expr("pmod(xxhash64(key), parts)")).join(sets.select("key", "signature"), "key")
-    cells = dealt.withColumn("facing", F.explode(F.expr("sequence(0L, parts - 1)"))).selectExpr(
-        "bucket", "least(part, facing) AS one", "greatest(part, facing) AS two", "part", "key", "n", "component", "signature"
+    cells = _cells(written_table(placed), "bucket", None).join(sets.select("key", "signature"), "key")
+    cells = cells.select(*CELL, "part", "key", "n", "component", "signature")
+    cells = cells.repartition(*CELL).sortWithinPartitions(*CELL)
+    likely = written_table(cells.mapInArrow(_likely(percent, bins), "a binary, b binary").distinct())
+
+    clusters = connected_components(likely).selectExpr("node AS key", "component AS cluster")
+    gathered = clusters.join(components, "key", "left").join(sets.select("key", "n"), "key")
+    gathered = written_table(gathered.withColumn("component", F.expr("coalesce(component, key)")))
+    found = written_table(_texts_of(texts, sets, gathered.select("key"), words).dropDuplicates(["key"]))
+    cells = _cells(gathered, "cluster", PART_SHINGLES).join(found, "key").select(*CELL, "part", "key", "component", "text")
+    cells = cells.repartition(*CELL).sortWithinPartitions(*CELL)
+    return written_table(star_links.unionByName(cells.mapInArrow(_linked(words, percent), "a binary, b binary")))
+
+
+def _cells(rows: DataFrame, group: str, shingles: int | None) -> DataFrame:
+    """The rows ``key, n, component`` of every group, dealt into parts, once for each part that theirs meets.
+
+    Groups of one component go. The rows of the largest component meet those of the others only; ``part`` tells the
+    sides ``one`` and ``two`` of a cell apart.
+    """
+    of_components = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    largest = "max_by({}, struct(size, component))"
+    totals = of_components.groupBy(group).agg(
+        F.expr(largest.format("component")).alias("main"),
+        F.expr(largest.format("struct(size, shingles)")).alias("of_main"),
+        F.expr("struct(sum(size) AS size, sum(shingles) AS shingles)").alias("of_all"),
     )
-    cells = cells.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    rest = cells.mapInArrow(_likely(percent, bins), "a binary, b binary").distinct().join(stars, ["a", "b"], "left_anti")
-    rest_links = _confirmed(texts, sets, written_table(rest), words, percent)
-    return written_table(star_links.unionByName(rest_links))
+
+    def parts(size: str, amount: str) -> str:
+        by_amount = f", ({amount}) div {shingles}" if shingles else ", 0L"
+        return f"greatest(({size}) div {PART_SETS}{by_amount}) + 1"
+
+    totals = totals.where("of_main.size < of_all.size").selectExpr(
+        group,
+        "main",
+        f"{parts('of_main.size', 'of_main.shingles')} AS main_parts",
+        f"{parts('of_all.size - of_main.size', 'of_all.shingles - of_main.shingles')} AS rest_parts",
+    )
+    dealt = rows.join(totals, group).selectExpr(
+        f"{group} AS gathered",
+        "key",
+        "n",
+        "component",
+        "if(component = main, pmod(xxhash64(key), main_parts), main_parts + pmod(xxhash64(key), rest_parts)) AS part",
+        "explode(sequence(if(component = main, main_parts, 0L), main_parts + rest_parts - 1)) AS facing",
+    )
+    return dealt.selectExpr("gathered", "least(part, facing) AS one", "greatest(part, facing) AS two", "part", "key", "n", "component")
 
 
 def _confirmed(texts: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -300,50 +342,112 @@ def _similar(words: int, percent: int):
 
 
 def likely_pairs(n: np.ndarray, component: np.ndarray, part: np.ndarray, bytes_of: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of places whose components differ and whose sizes and signatures allow a link.
+    """A forest over the pairs whose components differ and whose sizes and signatures allow a link.
 
-    If there are rows of two parts, only pairs between them: pairs within a part have a cell of their own.
+    If there are rows of two parts, only pairs between them count: pairs within a part have a cell of their own. Pairs
+    that the forest connects already are not looked at.
     """
-    bins = bytes_of.shape[1]
-    least = least_agreement(n, percent, bins)
+    least = least_agreement(n, percent, bytes_of.shape[1])
     both = part.min() != part.max()
+    tree = np.arange(len(n))
     found = []
     for i in range(len(n)):
         facing = slice(i + 1, None)
-        able = (component[facing] != component[i]) & (percent * np.maximum(n[facing], n[i]) <= 100 * np.minimum(n[facing], n[i]))
+        able = (component[facing] != component[i]) & (tree[facing] != tree[i])
+        able &= percent * np.maximum(n[facing], n[i]) <= 100 * np.minimum(n[facing], n[i])
         if both:
             able &= part[facing] != part[i]
         places = np.flatnonzero(able) + i + 1
         for start in range(0, len(places), STRIP):
             strip = places[start : start + STRIP]
             agreeing = (bytes_of[strip] == bytes_of[i]).sum(axis=1)
-            found += [(i, int(j)) for j in strip[agreeing >= np.minimum(least[strip], least[i])]]
+            found += _grown(tree, i, strip[agreeing >= np.minimum(least[strip], least[i])])
     return found
 
 
-def _likely(percent: int, bins: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell: tuple[int, int, int] | None = None
-        rows: list[tuple[int, bytes, int, bytes, bytes]] = []
+def _grown(tree: np.ndarray, i: int, partners: np.ndarray) -> list[tuple[int, int]]:
+    """Add the edges from ``i`` that connect two trees; ``tree`` numbers the tree of every place."""
+    added = []
+    for j in partners:
+        if tree[i] != tree[j]:
+            tree[tree == tree[j]] = tree[i]
+            added.append((i, int(j)))
+    return added
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the sets of both lists, by products of incidence matrices of the shared entries."""
+    entries = np.concatenate([np.zeros(0, np.uint64), *one, *two])
+    owner = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in [*one, *two]])
+    _, column, counts = np.unique(entries, return_inverse=True, return_counts=True)
+    often = counts > 1
+    keep = often[column]
+    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(one), len(two)))
+    for first in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        held = np.zeros((len(one) + len(two), COLUMNS), np.float32)
+        held[owner[a:b], column[a:b] - first] = 1
+        total += held[: len(one)] @ held[len(one) :].T
+    return total
+
+
+def linked_pairs(sets: list[np.ndarray], component: np.ndarray, part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest over the links between different components, with parts as in ``likely_pairs``."""
+    ones = np.flatnonzero(part == part.min())
+    others = np.flatnonzero(part == part.max())
+    sizes = np.array([len(x) for x in sets])
+    shared = overlaps([sets[i] for i in ones], [sets[j] for j in others])
+    links = 100 * shared >= percent * (sizes[ones][:, None] + sizes[others][None, :] - shared)
+    links &= component[ones][:, None] != component[others][None, :]
+    tree = np.arange(len(sets))
+    return [edge for row, i in enumerate(ones) for edge in _grown(tree, int(i), others[links[row]])]
+
+
+def _cellwise(compare):
+    """Apply ``compare`` to the rows of one cell at a time; it gives pairs of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: tuple[bytes, int, int] | None = None
+        rows: list[tuple] = []
 
         def compared() -> pa.RecordBatch:
-            part, keys, n, components, signatures = zip(*rows, strict=True)
-            numbers = {component: i for i, component in enumerate(dict.fromkeys(components))}
-            matrix = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(rows), bins)
-            component = np.array([numbers[c] for c in components])
-            pairs = likely_pairs(np.array(n, np.int64), component, np.array(part), matrix, percent)
-            ends = [sorted((keys[i], keys[j])) for i, j in pairs]
+            part, keys, *rest = zip(*rows, strict=True)
+            ends = [sorted((keys[i], keys[j])) for i, j in compare(np.array(part), *rest)]
             columns = [pa.array([end[k] for end in ends], pa.binary()) for k in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
         for batch in batches:
-            for bucket, one, two, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if (bucket, one, two) != cell:
+            for i in range(batch.num_rows):
+                gathered, one, two, *row = (column[i].as_py() for column in batch.columns)
+                if (gathered, one, two) != cell:
                     if rows:
                         yield compared()
-                    cell, rows = (bucket, one, two), []
+                    cell, rows = (gathered, one, two), []
                 rows.append(tuple(row))
         if rows:
             yield compared()
 
-    return compare
+    return run
+
+
+def _numbered(components: tuple[bytes, ...]) -> np.ndarray:
+    numbers = {component: i for i, component in enumerate(dict.fromkeys(components))}
+    return np.array([numbers[c] for c in components])
+
+
+def _likely(percent: int, bins: int):
+    def compare(part, n, components, signatures):
+        matrix = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(n), bins)
+        return likely_pairs(np.array(n, np.int64), _numbered(components), part, matrix, percent)
+
+    return _cellwise(compare)
+
+
+def _linked(words: int, percent: int):
+    def compare(part, components, texts):
+        return linked_pairs([shingle_set(text.lower(), words) for text in texts], _numbered(components), part, percent)
+
+    return _cellwise(compare)
