@@ -249,7 +249,8 @@ LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b
 
 
 def _component_sql(words: int, percent: int, more: str) -> str:
-    """Sets of shingles, all pairs that share one, links, and the smallest identifier reachable."""
+    """Sets of shingles, all pairs that share one, links, and the smallest identifier reachable; ``degrees`` counts links to
+    other sets."""
     return rf"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -266,11 +267,16 @@ links AS (
   SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * s.n >= {percent} * (x.n + y.n - s.n)),
 reached AS (SELECT doc_id, doc_id AS other FROM texts UNION SELECT doc_id, b FROM reached JOIN links ON other = a),
-components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id),
+keys AS (SELECT doc_id, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS key FROM shingles GROUP BY doc_id),
+degrees AS (
+  SELECT a AS doc_id, count(DISTINCT y.key) AS n_links
+  FROM links JOIN keys x ON x.doc_id = a JOIN keys y ON y.doc_id = b WHERE x.key <> y.key GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{more}
-FROM components LEFT JOIN sizes USING (doc_id)"""
+FROM components LEFT JOIN sizes USING (doc_id) LEFT JOIN degrees USING (doc_id)"""
 
 
+ORACLES["op3_ngram_join"] = _component_sql(3, 90, ", coalesce(n_links, 0) AS n_links")
 ORACLES["op11_minhash_dedup"] = _component_sql(4, 80, ", doc_id = component_id AS kept")
 
 

@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def connection():
     connection = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "embeddings", "conversations"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     return connection
 
