@@ -44,12 +44,10 @@ def assign_bins(light_curves: DataFrame, bin_width: float = BIN_WIDTH) -> DataFr
     return light_curves.selectExpr("*", f"{bin_id('time', bin_width)} AS bin_id").where("bin_id IS NOT NULL")
 
 
-def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Sequence[str] = NAME) -> DataFrame:
-    """One row per bin with every statistic and the ``method`` that applies to it.
-
-    ``sigma`` is the standard error of the weighted mean and ``typical_error`` the propagated one; both are
-    null unless the method is ``weighted``.
-    """
+def partial_bins(
+    light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Sequence[str] = NAME
+) -> tuple[DataFrame, DataFrame]:
+    """The mergeable sums that ``merged_statistics`` takes: detections per bin and error decade, upper limits per bin."""
     key = [*by, "band", "bin_id"]
     points = (
         assign_bins(light_curves, bin_width)
@@ -88,8 +86,16 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
             F.expr("count(flux) AS n_finite"),
             F.expr("min(struct(coalesce(flux, double('infinity')) AS flux, pos, e_flux)) AS lowest"),
         )
-        .selectExpr(*key, "n", "n_finite", "lowest.flux AS limit_flux", "lowest.e_flux AS limit_error")
+        .selectExpr(
+            *key, "n", "n_finite", "lowest.flux AS limit_flux", "lowest.pos AS limit_pos", "lowest.e_flux AS limit_error"
+        )
     )
+    return groups, limits
+
+
+def merged_statistics(groups: DataFrame, limits: DataFrame, by: Sequence[str] = NAME) -> DataFrame:
+    """``bin_statistics`` from the partial sums. A decade may have several rows of ``groups``; ``limits`` has one row per bin."""
+    key = [*by, "band", "bin_id"]
     bin_groups = Window.partitionBy(*key)
     centred = (
         groups.selectExpr("*", "flux_sum / n + try_divide(s_w_f, weight) AS mean")
@@ -105,7 +111,7 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
                AS scatter""",
         )
     )
-    parts = centred.unionByName(limits, allowMissingColumns=True)
+    parts = centred.unionByName(limits.drop("limit_pos"), allowMissingColumns=True)
     merged = parts.groupBy(*key).agg(
         F.expr("sum(n) AS n_obs"),
         F.expr("sum(n) = sum(n_finite) AS all_finite"),
@@ -147,16 +153,29 @@ def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Se
     )
 
 
+def bin_statistics(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Sequence[str] = NAME) -> DataFrame:
+    """One row per bin with every statistic and the ``method`` that applies to it.
+
+    ``sigma`` is the standard error of the weighted mean and ``typical_error`` the propagated one; both are
+    null unless the method is ``weighted``.
+    """
+    return merged_statistics(*partial_bins(light_curves, bin_width, by), by)
+
+
 def binned_light_curve(light_curves: DataFrame, bin_width: float = BIN_WIDTH, by: Sequence[str] = NAME) -> DataFrame:
     """Binned flux and error: the lowest upper limit, the plain mean, the only value, or the weighted mean."""
+    return binned_values(bin_statistics(light_curves, bin_width, by), bin_width, by)
+
+
+def binned_values(statistics: DataFrame, bin_width: float = BIN_WIDTH, by: Sequence[str] = NAME) -> DataFrame:
+    """The binned light curve that follows from ``statistics``, one row per bin."""
     flux = f"""CASE method WHEN '{UPPER_LIMIT}' THEN limit_flux WHEN '{PLAIN_MEAN}' THEN plain_mean
                            WHEN '{SINGLE}' THEN single_flux ELSE weighted_mean END"""
     e_flux = f"""CASE method WHEN '{UPPER_LIMIT}' THEN limit_error WHEN '{SINGLE}' THEN single_error
                              WHEN '{WEIGHTED}' THEN
                     CASE WHEN typical_error > sigma THEN (sigma + typical_error) / 2 ELSE sigma END END"""
     return (
-        bin_statistics(light_curves, bin_width, by)
-        .selectExpr(*by, "band", "bin_id", "n_obs", "method", f"{flux} AS flux", f"{e_flux} AS e_flux")
+        statistics.selectExpr(*by, "band", "bin_id", "n_obs", "method", f"{flux} AS flux", f"{e_flux} AS e_flux")
         .selectExpr(
             *by,
             "band",

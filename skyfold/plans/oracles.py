@@ -264,6 +264,9 @@ FROM lc""",
     "typical_error": lineitem_statistic("typical_error"),
     "binned_light_curve": f"""WITH {EVENTS}, {bins(3)}
 SELECT name, band, bin_id, time, e_time, round(flux, 6) AS flux, round(e_flux, 6) AS e_flux, upperlimit, n_obs
+FROM bins""",
+    "binned_growing": f"""WITH {EVENTS}, {bins(3)}
+SELECT name, band, bin_id, time, e_time, round(flux, 6) AS flux, round(e_flux, 6) AS e_flux, upperlimit, n_obs
 FROM bins""",
     "binned_light_curve_volume": f"""WITH {LINEITEMS}, {bins(30)}
 SELECT name, band, bin_id, time, e_time, round(flux, 4) AS flux, round(e_flux, 4) AS e_flux, upperlimit, n_obs

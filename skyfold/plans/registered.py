@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyfold import dims
 from skyfold.functions.coerce import finite_or_null
 from skyfold.functions.timebins import bin_centre
-from skyfold.operators import binning, unnest, validation
+from skyfold.operators import binning, growing_bins, unnest, validation
 from skyfold.operators import light_curves as lc
 from skyfold.operators import logs as log_ops
 from skyfold.operators.document_checks import document_verdicts
@@ -227,6 +227,19 @@ def binned_light_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def binned_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins of a catalogue that came in three batches, two of them compacted."""
+    path, points = scratch_dir(spark), fixtures.event_light_curves(spark, sf_dir)
+    for batch in range(3):
+        growing_bins.add_batch(points.where(F.col("pos") % 3 == batch), path, batch)
+        if batch == 1:
+            growing_bins.compact(spark, path)
+    return growing_bins.binned_so_far(spark, path).select(
+        "name", "band", "bin_id", "time", "e_time", rounded("flux"), rounded("e_flux"), "upperlimit", "n_obs"
+    )
+
+
 @register
 def binned_light_curve_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = fixtures.lineitem_light_curves(spark, sf_dir).transform(
