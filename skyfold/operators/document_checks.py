@@ -31,7 +31,7 @@ def document_statistics(candidates: DataFrame, bin_width: float = BIN_WIDTH, by:
     flux = f"coalesce(o.flux, {flux_from_magnitude('o.magnitude', zeropoint_or_default('o.zeropoint'))})"
     # One step of the chain a column: what later steps use more than once is computed once.
     steps = (
-        ("items", f"from_json(photometry, '{schemas.text_struct_array(declared)}')"),
+        ("items", f"from_json(photometry, '{schemas.parsed_list(declared)}')"),
         ("typed", f"transform(items, item -> struct({typed}))"),
         ("points", f"transform(typed, o -> struct({normalise_band('o.band')} AS band, o.time AS time, {flux} AS flux))"),
         ("timed", f"transform(filter(points, p -> p.flux IS NOT NULL), p -> struct(p.band, {bin_id('p.time', bin_width)} AS bin_id))"),

@@ -1,7 +1,8 @@
 """From file text to catalogue objects: envelope, coercion checks and rejects.
 
-Deviations forced by Spark's JSON reader: a required text that is JSON null counts as missing; integers have at most
-38 digits. Of repeated keys the last one counts.
+Deviations forced by Spark's JSON reader: a required text that is JSON null counts as missing; the value of a float quantity is
+read as text, so "true" and "false" are numbers there. Of repeated keys the last one counts. Integers of any size are accepted
+(unquoted ones up to the range of a double).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from skyfold import schemas
-from skyfold.functions.coerce import uncoercible
+from skyfold.functions.coerce import is_missing, uncoercible, uncoercible_text
 from skyfold.functions.sqltext import identifier, literals
 
 REJECTED_SCHEMA = "schema"
@@ -106,20 +107,20 @@ def _first_key(condition: str, problem: str) -> str:
 
 def _malformed_list(text: str, declared: dict[str, str], malformed_item: str) -> str:
     """True for text that is no list of objects or has a malformed item; the text is parsed once."""
-    items = f"from_json({text}, '{schemas.text_struct_array(declared)}')"
+    items = f"from_json({text}, '{schemas.parsed_list(declared)}')"
     return f"coalesce(exists({items}, item -> coalesce({malformed_item}, false)), true)"
 
 
 def _malformed_item(declared: dict[str, str], required: str) -> str:
     checks = [uncoercible(f"item.{identifier(name)}", kind) for name, kind in declared.items()]
-    return " OR ".join([f"item.{required} IS NULL", *[check for check in checks if check is not None]])
+    return " OR ".join([is_missing(f"item.{required}", declared[required]), *[check for check in checks if check is not None]])
 
 
 def _malformed_datum() -> str:
-    correlation = f"from_json(item.correlation, '{schemas.text_struct(schemas.CORRELATION_FIELDS)}')"
+    correlation = f"from_json(item.correlation, '{schemas.parsed_struct(schemas.CORRELATION_FIELDS)}')"
     return (
         f"{_malformed_item(schemas.DATUM_FIELDS, 'source')} "
-        f"OR (name IN ({literals(schemas.FLOAT_QUANTITIES)}) AND {uncoercible('item.value', 'float')}) "
+        f"OR (name IN ({literals(schemas.FLOAT_QUANTITIES)}) AND {uncoercible_text('item.value')}) "
         f"OR (item.correlation IS NOT NULL AND (NOT startswith(item.correlation, '{{') "
         f"OR {correlation}.quantity IS NULL OR {correlation}.value IS NULL))"
     )

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 
 from skyfold import schemas
-from skyfold.functions.coerce import coerce, to_float
+from skyfold.functions.coerce import INTEGER_TEXT, coerce, text_to_float, to_float
 from skyfold.functions.sqltext import identifier, literals
 
 OBJECT = ("file_stem", "name")
@@ -21,8 +21,17 @@ LIGHT_CURVE_FIELDS = ("time", "e_time", "magnitude", "flux", "e_flux", "zeropoin
 
 
 def sources(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
-    items = _items(candidates, by, "sources", schemas.SOURCE_FIELDS)
-    return items.selectExpr(*by, "pos", *_typed(schemas.SOURCE_FIELDS, {"name": "source_name"}))
+    """One row per source. ``alias`` has at most 38 digits and is null beyond; ``alias_digits`` holds integers of any size."""
+    parsed = f"from_json(sources, '{schemas.parsed_list(schemas.SOURCE_FIELDS)}')"
+    texts = "from_json(sources, 'ARRAY<STRUCT<alias: STRING>>')"
+    digits = f"CASE WHEN text.alias RLIKE {INTEGER_TEXT} THEN regexp_replace(trim(text.alias), '^[+]', '') ELSE string(alias) END"
+    return (
+        candidates.selectExpr(*by, f"{parsed} AS item", f"{texts} AS text")
+        .selectExpr(*by, "posexplode(arrays_zip(item, text)) AS (pos, zipped)")
+        .selectExpr(*by, "pos", "zipped.item", "zipped.text")
+        .selectExpr(*by, "pos", "text", *_typed(schemas.SOURCE_FIELDS, {"name": "source_name"}))
+        .selectExpr("* EXCEPT (text)", f"{digits} AS alias_digits")
+    )
 
 
 def quantities(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
@@ -32,7 +41,7 @@ def quantities(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
         .selectExpr(
             *by,
             "quantity",
-            f"posexplode(from_json(text, '{schemas.text_struct_array(schemas.DATUM_FIELDS)}')) AS (pos, item)",
+            f"posexplode(from_json(text, '{schemas.parsed_list(schemas.DATUM_FIELDS)}')) AS (pos, item)",
         )
     )
     plain = {name: kind for name, kind in schemas.DATUM_FIELDS.items() if name not in ("value", "correlation")}
@@ -42,9 +51,9 @@ def quantities(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
         "quantity",
         "pos",
         "item.value AS value_str",
-        f"CASE WHEN quantity IN ({floats}) THEN {to_float('item.value')} END AS value_num",
+        f"CASE WHEN quantity IN ({floats}) THEN {text_to_float('item.value')} END AS value_num",
         *_typed(plain),
-        f"from_json(item.correlation, '{schemas.text_struct(schemas.CORRELATION_FIELDS)}') AS correlation",
+        f"from_json(item.correlation, '{schemas.parsed_struct(schemas.CORRELATION_FIELDS)}') AS correlation",
     ).selectExpr(
         *by,
         "quantity",
@@ -56,7 +65,7 @@ def quantities(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
         f"""CASE WHEN correlation IS NOT NULL THEN named_struct(
             'quantity', correlation.quantity,
             'value', correlation.value,
-            'value_num', {to_float("correlation.value")},
+            'value_num', {text_to_float("correlation.value")},
             'kind', correlation.kind,
             'derived', {coerce("correlation.derived", "bool")}) END AS correlation""",
     )
@@ -78,7 +87,7 @@ def spectra(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
     """One row per spectrum with its data matrix as nested arrays of text."""
     items = _items(candidates, by, "spectra", schemas.SPECTRA_FIELDS)
     plain = {name: kind for name, kind in schemas.SPECTRA_FIELDS.items() if kind != "json"}
-    suggestion = f"from_json(item.exclude, '{schemas.text_struct(schemas.SUGGESTION_FIELDS)}')"
+    suggestion = f"from_json(item.exclude, '{schemas.parsed_struct(schemas.SUGGESTION_FIELDS)}')"
     return items.selectExpr(
         *by,
         "pos",
@@ -94,7 +103,7 @@ def spectra(candidates: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
 def spectrum_points(spectra: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame:
     """The data matrices in numeric long form, one row per matrix row."""
     columns = [
-        f"{to_float(f'get(cells, {i})')} AS {name}" for i, name in enumerate(("wavelength", "flux", "e_flux"))
+        f"{text_to_float(f'get(cells, {i})')} AS {name}" for i, name in enumerate(("wavelength", "flux", "e_flux"))
     ]
     return spectra.selectExpr(*by, "pos", "posexplode(data) AS (point_pos, cells)").selectExpr(
         *by, "pos", "point_pos", *columns
@@ -102,7 +111,7 @@ def spectrum_points(spectra: DataFrame, by: Sequence[str] = OBJECT) -> DataFrame
 
 
 def _items(candidates: DataFrame, by: Sequence[str], name: str, fields: Iterable[str]) -> DataFrame:
-    parsed = f"from_json({name}, '{schemas.text_struct_array(fields)}')"
+    parsed = f"from_json({name}, '{schemas.parsed_list(fields)}')"
     return candidates.selectExpr(*by, f"posexplode({parsed}) AS (pos, item)")
 
 

@@ -1,11 +1,13 @@
 """Declared fields of a catalogue object.
 
-Every scalar is parsed from JSON as STRING, because catalogues write numbers both as JSON numbers and
-as strings, and is coerced afterwards according to the kind given here.
+Catalogues write numbers both as JSON numbers and as texts. Fields of a typed kind are parsed from JSON as VARIANT and coerced
+afterwards according to the kind given here; all others are parsed as STRING.
 """
 
 from __future__ import annotations
 
+from skyfold.functions.coerce import json_type
+
 # Field names and kinds of the catalogue format.
 SOURCE_FIELDS = {
     "alias": "int",
@@ -138,13 +140,10 @@ REQUIRED_TEXTS = ("schema", "name")
 LISTS = ("sources", *QUANTITIES, "photometry", "spectra")
 
 
-def text_struct(fields) -> str:
-    """DDL of a struct whose fields are all STRING."""
-    return "STRUCT<" + ", ".join(f"`{name}`: STRING" for name in fields) + ">"
-
-
-def text_struct_array(fields) -> str:
-    return f"ARRAY<{text_struct(fields)}>"
+def parsed_struct(fields: dict[str, str]) -> str:
+    """DDL of the struct as which JSON objects with these fields, of the given kinds, are parsed."""
+    return "STRUCT<" + ", ".join(f"`{name}`: {json_type(kind)}" for name, kind in fields.items()) + ">"
 
 
-OBJECT_TEXTS = text_struct((*REQUIRED_TEXTS, *LISTS))
+def parsed_list(fields: dict[str, str]) -> str:
+    return f"ARRAY<{parsed_struct(fields)}>"

@@ -69,6 +69,14 @@ REJECTED = {
         {"observation bad magnitude": valid("a", photometry=[observation(magnitude="bright")])},
         "invalid",
     ),
+    "source alias null": ({"source alias null": valid("a", sources=[{"alias": None}])}, "invalid"),
+    "source alias quoted decimal": ({"source alias quoted decimal": valid("a", sources=[{"alias": "5.0"}])}, "invalid"),
+    "source alias quoted truth": ({"source alias quoted truth": valid("a", sources=[{"alias": "true"}])}, "invalid"),
+    "source alias list": ({"source alias list": valid("a", sources=[{"alias": [5]}])}, "invalid"),
+    "source alias infinite": ('{"source alias infinite": {"schema": "v", "name": "a", "sources": [{"alias": 1e400}]}}', "invalid"),
+    "observation quoted truth": ({"observation quoted truth": valid("a", photometry=[observation(magnitude="true")])}, "invalid"),
+    "observation object": ({"observation object": valid("a", photometry=[observation(magnitude={"a": 1})])}, "invalid"),
+    "observation quoted list": ({"observation quoted list": valid("a", photometry=[observation(time='["1", "2"]')])}, "invalid"),
     "observation hex": ({"observation hex": valid("a", photometry=[observation(flux="0x1p3")])}, "invalid"),
     "observation suffix": ({"observation suffix": valid("a", photometry=[observation(flux="1.5d")])}, "invalid"),
     "observation short time": ({"observation short time": valid("a", photometry=[observation(time=["1"])])}, "invalid"),
@@ -93,7 +101,7 @@ def test_white_space_around_the_document(spark):
 
 def test_the_last_of_repeated_keys_counts(spark):
     text = """{"a": {"name": "x"}, "a": {"schema": "v1", "name": "first", "name": "last", "sources": [],
-        "sources": [{"alias": 5.0, "secondary": "no"}, {"alias": "7e0", "secondary": 0}], "redshift": [{"source": "1", "value": true}]}}"""
+        "sources": [{"alias": 5.0, "secondary": "no"}, {"alias": 7e0, "secondary": 0}], "redshift": [{"source": "1", "value": true}]}}"""
     objects = structured(spark, {"a": text})
     assert candidates(objects).first().name == "last"
     assert [(int(r.alias), r.secondary) for r in unnest.sources(objects).orderBy("pos").collect()] == [(5, True), (7, False)]
@@ -175,6 +183,76 @@ def test_source_round_trip(spark, records):
             assert row[field] == record.get(field)
 
 
+@settings(
+    max_examples=10,
+    deadline=None,
+    derandomize=True,
+    phases=[Phase.generate],
+    suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow, HealthCheck.data_too_large],
+)
+@given(st.lists(st.tuples(st.integers(-(10**300), 10**300), st.booleans()), max_size=20))
+def test_integers_of_any_size(spark, numbers):
+    """Quoted or not, an integer is accepted whatever its size; beyond 38 digits only its text holds it."""
+    records = [{"alias": str(number) if quoted else number} for number, quoted in numbers]
+    rows = unnest.sources(structured(spark, {"a": {"a": valid("a", sources=records)}})).orderBy("pos").collect()
+    assert [row.alias_digits for row in rows] == [str(number) for number, _ in numbers]
+    assert [row.alias for row in rows] == [number if abs(number) < 10**38 else None for number, _ in numbers]
+
+
+def plain_truth(value):
+    return None if value is None else bool(value)
+
+
+json_values = st.one_of(
+    st.none(), st.booleans(), st.integers(-3, 3), st.floats(-2, 2), st.sampled_from(["", "false", "true", "0", "no", " "]),
+    st.sampled_from([[], [0], {}, {"a": 0}, 0.0, -0.0, 10**40, 1e-300]),
+)
+
+
+@settings(
+    max_examples=10,
+    deadline=None,
+    derandomize=True,
+    phases=[Phase.generate],
+    suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow, HealthCheck.data_too_large],
+)
+@given(st.lists(json_values, max_size=20))
+def test_truth_is_that_of_plain_values(spark, values):
+    records = [{"alias": 1, "secondary": value} for value in values]
+    rows = unnest.sources(structured(spark, {"a": {"a": valid("a", sources=records)}})).orderBy("pos").collect()
+    assert [row.secondary for row in rows] == [plain_truth(value) for value in values]
+
+
+def number_of(value):
+    """What a plain conversion to a number gives, or None where it fails; "fails" is told apart by the caller."""
+    if isinstance(value, (list, dict)):
+        return None
+    try:
+        return float(value)
+    except ValueError:
+        return None
+
+
+def test_numbers_are_those_of_plain_values(spark):
+    values = [
+        5, 5.75, -5.75, True, False, "5", " 5 ", "5.75", "1e3", "true", "false", "", "x", "0x10", "5d", "+7", "-0", "1e400", ".5", "5.", "inf",
+        [1], {"a": 1}, 0.1, 12345678901234567890123, 1e22, 123456789.123456789, 2**63, -(2**63), 1e-320, "1e-320",
+    ]
+    documents = {f"f{i}": {f"f{i}": valid("a", photometry=[observation(airmass=v)])} for i, v in enumerate(values)}
+    found = {r.file_stem: r.airmass for r in unnest.observations(structured(spark, documents)).collect()}
+    expected = {f"f{i}": number_of(v) for i, v in enumerate(values) if number_of(v) is not None}
+    assert found == expected
+    documents = {f"i{i}": {f"i{i}": valid("a", photometry=[observation(realization=v)])} for i, v in enumerate(values)}
+    found = {r.file_stem: r.realization for r in unnest.observations(structured(spark, documents)).collect()}
+    expected = {}
+    for i, value in enumerate(values):
+        try:
+            expected[f"i{i}"] = int(value)
+        except (TypeError, ValueError, OverflowError):
+            continue
+    assert found == expected
+
+
 def test_candidates_and_photometry_presence(spark):
     documents = {
         "absent": valid("absent"),
@@ -192,7 +270,7 @@ def test_observation_coercion(spark):
     photometry = [
         observation(time=53000, zeropoint=2, upperlimit=True, band="g'"),
         observation(time=["53000", "53003"], magnitude=None, flux=2.5, e_flux=" 0.1 ", band="R"),
-        observation(magnitude="NaN", band="V", host="false", airmass="1e1", realization=7),
+        observation(magnitude="NaN", band="V", host=False, includeshost="false", airmass="1e1", realization=7),
         {"source": 1},
     ]
     objects = structured(spark, {"a": {"a": valid("a", photometry=photometry)}})
@@ -200,7 +278,7 @@ def test_observation_coercion(spark):
     assert [r.time for r in rows] == [53000.0, 53001.5, 53000.5, None]
     assert [r.upperlimit for r in rows] == [True, False, False, False]
     assert rows[1].e_flux == 0.1 and math.isnan(rows[0].e_flux) and math.isnan(rows[3].e_lower_time)
-    assert (rows[2].host, rows[2].airmass, rows[2].realization) == (False, 10.0, 7)
+    assert (rows[2].host, rows[2].includeshost, rows[2].airmass, rows[2].realization) == (False, True, 10.0, 7)
     assert rows[3].source == "1" and rows[3].band_raw is None and rows[3].zeropoint is None
     derived = derive_flux_and_magnitude(unnest.observations(objects)).orderBy("pos").collect()
     assert derived[0].flux == pytest.approx(2 * 10 ** (-0.4 * 18.1))
