@@ -2,7 +2,7 @@
 
 A profile is a list of the most frequent character n-grams in order of frequency. Training counts the n-grams of all
 labelled documents, summed first within a batch and partition, then per language over the cluster; a language keeps
-its ``PROFILE`` most frequent ones. A document is compared with every language by the out-of-place distance: for each
+its ``PROFILE`` most frequent ones, picked by each task first, so that no task holds all n-grams of a language. A document is compared with every language by the out-of-place distance: for each
 of its own most frequent n-grams the difference of its ranks in document and language, and the greatest possible
 difference where the language lacks it.
 
@@ -11,7 +11,9 @@ three characters, packed into 63 bits. The broadcast profiles have at most ``PRO
 ``MAX_LANGUAGES`` bounds the languages; more are an error, not a cut.
 
 Defined cases: text that is null or without any letter gets ``und`` and score 0; equal distances are resolved by the
-language's name; equal counts by the n-gram; without labelled documents every text is ``und``.
+language's name; equal counts by the n-gram; without labelled documents every text is ``und``. Whole texts are read however long
+they are; repeated rows are rows of their own and count each time; an empty table gives no rows; further columns are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -39,10 +41,16 @@ CHUNK_CHARACTERS = 1_000_000
 def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> DataFrame:
     """``lang, gram, rank`` from documents with a language; rank counts from 0."""
     texts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = texts.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return written_table(ranked_grams(texts.mapInArrow(_count, "lang string, gram bigint, n bigint"), size))
+
+
+def ranked_grams(counted: DataFrame, size: int) -> DataFrame:
+    """``lang, gram, rank`` of the ``size`` most frequent n-grams of each language."""
+    counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("rank", F.row_number().over(by_count) - 1).where(F.col("rank") < size)
-    return written_table(ranked.select("lang", "gram", "rank"))
+    # Spark limits the groups before the exchange only where the place itself is bounded.
+    ranked = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= size)
+    return ranked.selectExpr("lang", "gram", "place - 1 AS rank")
 
 
 def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
