@@ -16,7 +16,9 @@ Known forms are the kinds ``assign``, ``access`` and ``hex``; their spans always
 
 DataFrame and SQL functions only. Positions are code points, ends exclusive.
 
-Defined cases: null counts as empty; texts without a match have no spans; a candidate that overlaps a known form is left
+The work on a text grows with its length and, by a small factor, with its matches: places are sums of lengths in blocks.
+
+Defined cases: null counts as empty; whole texts are read however long they are; further columns are not read; texts without a match have no spans; a candidate that overlaps a known form is left
 to it; rows are independent but for the rates, so repeated rows get equal spans; an empty table gives no rows.
 """
 
@@ -58,6 +60,7 @@ ENCODINGS = (
 )
 
 SPAN = "struct<start: int, kind: int, end: int>"
+BLOCK = 64  # matches whose places are summed at once
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
@@ -76,7 +79,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known.selectExpr("doc_id", "sort_array(concat(assigned, access_keys, hex_runs)) AS base_spans", "runs").selectExpr(
             "doc_id",
             "base_spans",
-            "filter(runs, r -> r.alike AND NOT exists(base_spans, b -> b.start < r.end AND r.start < b.end)) AS runs",
+            _left_over() + " AS runs",
         )
     )
     accepted = _accepted_steps(scanned, rate)
@@ -93,36 +96,81 @@ def rendered(spans: str) -> str:
     return f"array_join(transform(sort_array({spans}), s -> concat({kinds}[s.kind], ':', s.start, ':', s.end)), ',')"
 
 
-def _spans(pattern: str, kind: int, keep: str, group: int = 0) -> str:
-    """SQL: the spans of a pattern's matches. The texts between the matches give their places."""
+def _spans(pattern: str, kind: int, keep: str, group: int = 0, with_value: bool = False) -> str:
+    """SQL: the spans of a pattern's matches, on demand with their text. The texts between the matches give their places."""
+    more, more_type = (", piece.value AS value", ", value: string") if with_value else ("", "")
     return let(
         f"regexp_extract_all(text, {_literal(pattern)}, 0)",
         "found",
-        f"CASE WHEN size(found) = 0 THEN CAST(array() AS array<{SPAN}>) ELSE "
+        f"CASE WHEN size(found) = 0 THEN CAST(array() AS array<{SPAN[:-1]}{more_type}>>) ELSE "
         + let(
             f"zip_with(split(text, {_literal(pattern)}, -1), zip_with(found, regexp_extract_all(text, {_literal(pattern)}, {group}), "
-            "(whole, value) -> struct(whole, value)), (gap, match) -> struct(gap, match.whole AS whole, match.value AS value))",
+            "(whole, value) -> struct(whole, value)), (gap, match) -> struct(length(gap) AS gap, length(match.whole) AS whole, "
+            "match.value AS value))",
             "pieces",
-            f"""aggregate(slice(pieces, 1, size(found)), struct(0 AS at, CAST(array() AS array<{SPAN}>) AS spans),
-                (done, piece) -> {let("done.at + length(piece.gap)", "start", _added(kind, keep))}, done -> done.spans)""",
+            let(
+                _running_sums("transform(pieces, piece -> piece.gap + coalesce(piece.whole, 0))"),
+                "ends",
+                # After the last match comes one more gap, which has no value and is cut off.
+                f"""filter(transform(slice(pieces, 1, size(found)), (piece, i) -> CASE WHEN {keep.replace("value", "piece.value")} THEN
+                    struct(ends[i] - piece.whole AS start, {kind} AS kind, ends[i] AS end{more}) END), s -> s IS NOT NULL)""",
+            ),
         )
         + " END",
     )
 
 
-def _added(kind: int, keep: str) -> str:
-    end = "start + length(piece.whole)"
-    held = keep.replace("value", "piece.value")
-    return (
-        f"struct({end} AS at, CASE WHEN {held} THEN concat(done.spans, array(struct(start, {kind} AS kind, {end} AS end))) "
-        f"ELSE done.spans END AS spans)"
+def _left_over() -> str:
+    """SQL: the runs that pass the battery and overlap no known form.
+
+    A run overlaps as many known forms as begin before its end, less those that end up to its start; both counts are running
+    sums over sorted places, as runs follow each other without overlap.
+    """
+    # At equal places the order of the second field decides: a form that begins at a run's end is not counted, one that ends at
+    # its start is.
+    begun = _counts(
+        "transform(base_spans, b -> struct(b.start AS at, 1 AS later, 1 AS known))", "transform(runs, r -> struct(r.end AS at, 0 AS later, 0 AS known))"
+    )
+    ended = _counts(
+        "transform(base_spans, b -> struct(b.end AS at, 0 AS later, 1 AS known))", "transform(runs, r -> struct(r.start AS at, 1 AS later, 0 AS known))"
+    )
+    overlapping = let(begun, "begun", let(ended, "ended", "filter(runs, (r, i) -> r.alike AND begun[i] = ended[i])"))
+    return f"CASE WHEN size(runs) = 0 OR size(base_spans) = 0 THEN filter(runs, r -> r.alike) ELSE {overlapping} END"
+
+
+def _counts(forms: str, runs: str) -> str:
+    """SQL: for each run, in order, the number of known forms up to its place."""
+    sums = _running_sums("transform(places, place -> place.known)")
+    counts = "filter(transform(places, (place, i) -> CASE WHEN place.known = 0 THEN sums[i] END), n -> n IS NOT NULL)"
+    return let(f"array_sort(concat({forms}, {runs}))", "places", let(sums, "sums", counts))
+
+
+def _running_sums(lengths: str) -> str:
+    """SQL: the sums of an array's items up to each place.
+
+    Blocks of ``BLOCK`` items: sums within a block are taken by slices, those of the blocks before are added. An aggregation
+    that appends to an array would copy it at every step.
+    """
+    return let(
+        lengths,
+        "items",
+        let(
+            f"transform(sequence(0, (size(items) - 1) div {BLOCK}), b -> aggregate(slice(items, b * {BLOCK} + 1, {BLOCK}), 0, (sum, n) -> sum + n))",
+            "blocks",
+            f"""flatten(transform(blocks, (total, b) -> {let(
+                "aggregate(slice(blocks, 1, b), 0, (sum, n) -> sum + n)",
+                "before",
+                f"transform(slice(items, b * {BLOCK} + 1, {BLOCK}), (n, i) -> before + "
+                f"aggregate(slice(items, b * {BLOCK} + 1, i + 1), 0, (sum, m) -> sum + m))",
+            )}))""",
+        ),
     )
 
 
 def _candidates() -> str:
     """SQL: runs of encoding characters with the outcome of the battery."""
-    spans = _spans(RUN, KINDS.index("random"), "true")
-    run = "rtrim('=', substring(text, r.start + 1, r.end - r.start))"
+    spans = _spans(RUN, KINDS.index("random"), "true", with_value=True)
+    run = "rtrim('=', r.value)"
     encoding = "CASE " + " ".join(f"WHEN v RLIKE '{pattern}' THEN '{alphabet}'" for pattern, alphabet in ENCODINGS) + " END"
     judged = let(run, "v", let(encoding, "a", let(_measures(), "m", _outcome())))
     return f"filter(transform({spans}, r -> {judged}), r -> r IS NOT NULL)"

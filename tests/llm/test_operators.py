@@ -14,10 +14,11 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from conftest import plan_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skyfold.llm import lm_score, mixing, ngram_join, quality_model, quality_rules, secret_scan, sentencepiece_codec, sharding
+from skyfold.llm import language_id, lm_score, mixing, ngram_join, quality_model, quality_rules, secret_scan, sentencepiece_codec, sharding
 from skyfold.llm.components import connected_components
 from skyfold.llm.hashing import shingle_set, word_hashes
 from skyfold.llm.queries import ORACLES, PIECE_MODEL, QUERIES
@@ -357,3 +358,35 @@ def test_random_strings_are_told_from_text(spark):
     found = {r.doc_id: [texts[r.doc_id][1][s.start : s.end] for s in r.random_spans] for r in rows}
     assert sum(planted[i] in found[i] for i in planted) >= 0.95 * len(planted)
     assert sum(len(spans) for i, spans in found.items() if i not in planted) <= 2
+
+
+def test_many_secrets_in_one_text(spark):
+    """Tens of thousands of matches: all spans right, in blocks of every filling, and random runs beside known forms."""
+    draw = random.Random(3)
+    letters = "ABCDEFGHJKLMNOPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+
+    def piece():
+        return draw.choice([
+            "".join(draw.choices("0123456789abcdef", k=draw.randint(10, 30))),
+            'token="' + "".join(draw.choices(letters, k=14)) + '"',
+            "\U0001f600" * 3,
+            "".join(draw.choices(letters, k=40)),
+        ])
+
+    sizes = [0, 1, 63, 64, 65, 128, 129, 12_000]
+    texts = [" ".join(piece() for _ in range(n)) for n in sizes]
+    rows = {r.doc_id: r for r in secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")).collect()}
+    for i, text in enumerate(texts):
+        known = known_spans(text)
+        assert [tuple(s) for s in rows[i].base_spans] == known
+        runs = {m.span() for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", text)}
+        free = {(a, b) for a, b in runs if not any(start < b and a < end for start, _, end in known)} if len(known) < 200 else runs
+        assert {(s.start, s.end) for s in rows[i].random_spans} <= free
+        assert not {s.start for s in rows[i].random_spans} & {start for start, _, _ in known}
+    assert len(rows[7].random_spans) > 2000
+
+
+def test_profiles_are_limited_before_the_exchange(spark):
+    frame = spark.createDataFrame([("en", "some words"), ("de", "ein paar Worte")], "lang STRING, text STRING")
+    counts = language_id.ranked_grams(frame.mapInArrow(language_id._count, "lang string, gram bigint, n bigint"), 5)
+    assert plan_of(counts).count("WindowGroupLimit") == 2
