@@ -11,14 +11,18 @@ from skyfold.operators.light_curves import derive_flux_and_magnitude, light_curv
 from skyfold.operators.structuring import candidates, rejects, structure_objects
 from skyfold.operators.validation import Check, Tables, bandset_flags, check_results, filter_valid
 from skyfold.sources.catalog import read_texts
+from skyfold.sources.object_table import write_objects
 from skyfold.sources.results import write_csv
 
 OBJECT = unnest.OBJECT
 
 
-def ingest(spark: SparkSession, path: str, tables_path: str) -> None:
-    """Read the files once into the table ``objects``; the long tables are then unnested from it."""
-    read_texts(spark, path).transform(structure_objects).write.mode("overwrite").parquet(f"{tables_path}/objects")
+def ingest(spark: SparkSession, path: str, tables_path: str, clustered: bool = False) -> None:
+    """Read the files once into the table ``objects``; the long tables are then unnested from it.
+
+    ``clustered`` exchanges the objects once, for cheaper lookups (see ``sources.object_table``).
+    """
+    write_objects(read_texts(spark, path).transform(structure_objects), f"{tables_path}/objects", clustered)
     for name, table in unnested(spark, tables_path).items():
         table.write.mode("overwrite").parquet(f"{tables_path}/{name}")
 

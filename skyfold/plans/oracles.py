@@ -330,6 +330,10 @@ FROM bs GROUP BY name HAVING bool_or(bs.is_valid)"""
     "catalog_files": f"WITH {OBJECTS} SELECT stem || '.json' AS file_name FROM objects",
     "catalog_load": CATALOG_OBSERVATIONS,
     "catalog_load_object": f"{CATALOG_OBSERVATIONS} WHERE name = '0.0'",
+    "catalog_table_object": f"{CATALOG_OBSERVATIONS} WHERE name = '0.0'",
+    "catalog_format_load": CATALOG_OBSERVATIONS,
+    "catalog_format_rejects": f"""WITH {OBJECTS}
+SELECT stem AS file_stem, 'schema' AS reason, 'no photometric column names' AS detail FROM checked WHERE reason IS NOT NULL""",
     "catalog_stream": f"""WITH {OBJECTS},
 ranked AS (SELECT row_number() OVER (ORDER BY stem) - 1 AS i FROM objects)
 SELECT i // 100 AS batch_id, count(*) AS n_objects FROM ranked GROUP BY i // 100""",

@@ -18,7 +18,7 @@ from skyfold.operators.plotdata import plot_series as series_of
 from skyfold.operators.structuring import candidates, rejects, structure_objects
 from skyfold.plans import fixtures
 from skyfold.session import scratch_dir
-from skyfold.sources import catalog, logs, results
+from skyfold.sources import catalog, formats, logs, object_table, results
 from skyfold.streaming.catalog_stream import ingest_object_batches, ingest_stream, validate_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,6 +428,35 @@ def catalog_load_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.transform(structure_objects).transform(unnest.observations).transform(_observation_columns)
 
 
+def _table_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the catalogue in another format, one table per object."""
+    path = scratch_dir(spark)
+    fixtures.write_object_files(fixtures.photometry_tables(_objects(spark, sf_dir)), path, formats.PhotometryTables.suffix)
+    return path
+
+
+@register
+def catalog_format_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The photometry of a catalogue in another format."""
+    objects = formats.read_catalog(spark, formats.PhotometryTables, _table_files(spark, sf_dir))
+    return candidates(objects).transform(unnest.observations).transform(_observation_columns)
+
+
+@register
+def catalog_format_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = formats.read_catalog(spark, formats.PhotometryTables, _table_files(spark, sf_dir))
+    return rejects(objects).select("file_stem", "reason", "detail")
+
+
+@register
+def catalog_table_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One object from the stored table."""
+    path = scratch_dir(spark)
+    object_table.write_objects(_objects(spark, sf_dir), path, clustered=True)
+    found = candidates(object_table.read_object(spark, path, "0.0"))
+    return found.transform(unnest.observations).transform(_observation_columns)
+
+
 @register
 def catalog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects per micro-batch of a streamed ingest."""

@@ -30,7 +30,7 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("catalog_stream", "log_", "csv_"))])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("catalog_stream", "catalog_format_", "log_", "csv_"))])
 def test_plan_stays_in_the_jvm(spark, name):
     plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert "Python" not in plan
