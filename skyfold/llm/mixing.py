@@ -7,12 +7,14 @@
 3. Per source, a task fits the budget on the histogram alone: whole passes first, then, but for the last
    ``PROGRAMME_WORDS`` words, of every size the same share of its documents, rounded down, then a bounded-knapsack dynamic
    programme over the remaining words, which hits the budget to the word wherever the sizes allow it.
-4. Documents are selected by a seeded order within source and size. A group is cut by its counts per hash bucket and
-   only the bucket at the cut is ranked, so a source or a size holding most of all rows meets in no single task.
-
-Defined cases: a null text and a text without words have size 0 and are not taken; a null source is a source of its
-own, ordered last; rows with the same identifier are told apart only by place, equal in result; an empty table gives
-no rows.
+4. Documents are selected by a seeded order within source and size, which follows identifier and text. A group is cut by its
+   counts per hash bucket, the bucket at the cut by its counts per document and place of reading, and only the rows at that
+   cut are ranked, so a source, a size, an identifier or a repeated row holding most of all rows meets in no single task.
+
+Defined cases: a null text and a text without words have size 0, count no words and go only with the whole passes of
+their source; a null source is a source of its
+own, ordered last; rows equal in identifier and text are interchangeable; an empty table gives no rows. Words are counted in
+whole texts, however long; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,18 +56,27 @@ def mix(
             source.alias("source"),
             F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("key"),
             F.coalesce(F.regexp_count("text", F.lit(f"{WORD_CLASS}+")), F.lit(0)).cast("bigint").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("lot"),
+            F.xxhash64(F.lit(seed), "doc_id", "text").alias("lot"),
+            F.spark_partition_id().alias("part"),
         ).withColumn("bucket", F.expr(f"int(pmod(lot, {BUCKETS}))"))
     )
     by_bucket = sizes.groupBy("key", "size", "bucket").agg(F.max("source").alias("source"), F.count(F.lit(1)).alias("n"))
     histogram = by_bucket.groupBy("key", "size").agg(F.max("source").alias("source"), F.sum("n").alias("n"))
     plan = written_table(_fitted(histogram, weights, share, most))
-    cuts = by_bucket.drop("source").join(plan, ["key", "size"]).withColumn("before", _counted_before())
-    ranked = Window.partitionBy("key", "size", "bucket").orderBy("lot", "doc_id")
-    chosen = sizes.join(cuts, ["key", "size", "bucket"]).withColumn("rank", F.row_number().over(ranked))
-    return chosen.selectExpr(
-        "doc_id", "source", "size", "source_size", "target", "passes + int(before + rank <= extra) AS times"
-    )
+    cuts = by_bucket.drop("source").join(plan, ["key", "size"]).withColumn("more", _share_of("extra", ["key", "size"], ["bucket"]))
+    placed = sizes.join(cuts.drop("extra"), ["key", "size", "bucket"])
+    result = ("doc_id", "source", "size", "source_size", "target")
+    whole = placed.where("more = 0 OR more = n").selectExpr(*result, "passes + int(more > 0) AS times")
+    return whole.unionByName(_torn(placed.where("more > 0 AND more < n")).selectExpr(*result, "passes + int(rank <= cell_more) AS times"))
+
+
+def _torn(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets at a cut, with ``cell_more`` of those equal in lot and part to be taken, by ``rank``."""
+    cell = ["key", "size", "lot", "part"]
+    counted = rows.groupBy(*cell).agg(F.max("more").alias("bucket_more"), F.count(F.lit(1)).alias("n"))
+    cells = counted.withColumn("cell_more", _share_of("bucket_more", ["key", "size"], ["lot", "part"]))
+    ranked = Window.partitionBy(*cell).orderBy("doc_id")
+    return rows.join(cells.select(*cell, "cell_more"), cell).withColumn("rank", F.row_number().over(ranked))
 
 
 def targets(histogram: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
@@ -155,6 +166,8 @@ def _programme(items: list[tuple[int, int, int]], budget: int) -> list[tuple[int
     return used
 
 
-def _counted_before() -> Column:
-    order = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("n").over(order), F.lit(0))
+def _share_of(total: str, by: list[str], order: list[str]) -> Column:
+    """How many of a row's ``n`` fall to it when the first ``total`` of its group are given out in order."""
+    earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return F.least(F.col("n"), F.greatest(F.col(total) - before, F.lit(0)))
