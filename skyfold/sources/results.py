@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 CSV_FLAGS = {"BRI": "BRI", "gri": "gri", "gri_primed": "g'r'i'"}
 
 
-def csv_rows(flags: DataFrame, name: str = "name") -> DataFrame:
-    """Name and band set flags as exported, the flags spelled ``True`` and ``False``."""
+def csv_rows(flags: DataFrame, name: str = "name", kept: Sequence[str] = ()) -> DataFrame:
+    """Name and band set flags as exported, the flags spelled ``True`` and ``False``, and the columns ``kept``."""
     return flags.select(
         F.col(name).alias("name"),
         *[F.initcap(F.col(bandset).cast("string")).alias(header) for bandset, header in CSV_FLAGS.items()],
+        *kept,
     )
 
 
