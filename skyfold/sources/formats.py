@@ -5,27 +5,33 @@ registered (``spark.dataSource.register``), ``spark.read.format(name).load(folde
 document in the same JSON envelope as the files of ``sources.catalog``, or the reason why a file has none;
 ``read_catalog`` structures these rows, so that coercion and rejects are those of every other catalogue.
 
-The folder is listed once, by the driver, which keeps a path and a size per file, as Spark's own file sources do. Files are
-packed into partitions by bytes, and a task holds one file at a time. Files of sub-folders are left out, names with ``_`` or
-``.`` in front are read. A folder without such files gives no rows; one that does not exist is an error.
+``read_catalog`` has the folder listed by tasks (``sources.listing``), which write the names down in as many lists as there are
+partitions to fill by bytes; the driver plans a partition for each list and keeps no path. Read by format name alone, without such
+lists, a folder is listed by the driver, which keeps a path and a size per file, as Spark's own file sources do. A
+task holds one file at a time. Files of sub-folders are left out, names with ``_`` or ``.`` in front are read. A folder without such
+files gives no rows; one that does not exist is an error.
 """
 
 from __future__ import annotations
 
 import csv
 import json
-import re
 from abc import abstractmethod
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyarrow.fs import FileSelector, FileSystem, FileType
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skyfold.operators.structuring import REJECTED_INVALID, REJECTED_SCHEMA, structure_objects
 from skyfold.schemas import PHOTOMETRY_FIELDS
+from skyfold.session import scratch_dir, written_table
+from skyfold.sources.catalog import task_path
+from skyfold.sources.listing import list_names, located, spread, with_status
 
 # A partition is full at so many bytes, where opening a file counts as reading some.
 PARTITION_BYTES = 64 << 20
@@ -41,7 +47,8 @@ class UnknownLayout(ValueError):
 class CatalogFormat(DataSource):
     """Base of formats. ``name``, ``suffix`` and ``objects`` are the format's own.
 
-    Options: ``partitionBytes`` and ``openCostBytes`` decide how files are packed.
+    Options: ``partitionBytes`` and ``openCostBytes`` decide how files are packed; ``lists`` names a folder of Parquet files
+    which hold the names to read (``file_name``), one for each partition, in place of listing and packing.
     """
 
     suffix: str
@@ -65,6 +72,7 @@ class CatalogFormat(DataSource):
             self.objects,
             int(self.options.get("partitionBytes", PARTITION_BYTES)),
             int(self.options.get("openCostBytes", OPEN_COST_BYTES)),
+            self.options.get("lists"),
         )
 
 
@@ -73,6 +81,13 @@ class Files(InputPartition):
     paths: list[str]
 
 
+@dataclass
+class ListedFiles(InputPartition):
+    """The files whose names the Parquet file ``names`` holds."""
+
+    names: str
+
+
 @dataclass
 class FolderReader(DataSourceReader):
     path: str
@@ -80,16 +95,21 @@ class FolderReader(DataSourceReader):
     objects: Callable[[str, bytes], Objects]
     partition_bytes: int
     open_cost_bytes: int
+    lists: str | None = None
 
-    def partitions(self) -> list[Files]:
+    def partitions(self) -> list[InputPartition]:
+        if self.lists is not None:
+            system, folder = located(self.lists)
+            written = system.get_file_info(FileSelector(folder))
+            return [ListedFiles(f.path) for f in written if f.base_name.endswith(".parquet")] or [Files([])]
         system, folder = located(self.path)
         listed = system.get_file_info(FileSelector(folder))
         files = [(f.path, f.size) for f in listed if f.type == FileType.File and f.base_name.endswith(self.suffix)]
         return [Files(paths) for paths in packed(files, self.partition_bytes, self.open_cost_bytes)] or [Files([])]
 
-    def read(self, partition: Files) -> Iterator[tuple[str, str | None, str | None, str | None]]:
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str | None, str | None, str | None]]:
         system, _ = located(self.path)
-        for path in partition.paths:
+        for path in self.paths(partition):
             file_stem = path.rsplit("/", 1)[-1].removesuffix(self.suffix)
             with system.open_input_stream(path, compression=None) as stream:
                 content = stream.read()
@@ -101,6 +121,16 @@ class FolderReader(DataSourceReader):
             except ValueError as error:
                 yield file_stem, None, REJECTED_INVALID, str(error)
 
+    def paths(self, partition: InputPartition) -> Iterator[str]:
+        if isinstance(partition, Files):
+            yield from partition.paths
+            return
+        _, folder = located(self.path)
+        system, _ = located(self.lists)
+        with system.open_input_file(partition.names) as file:
+            for batch in pq.ParquetFile(file).iter_batches(columns=["file_name"]):
+                yield from (f"{folder}/{name}" for name in batch["file_name"].to_pylist())
+
 
 def packed(files: list[tuple[str, int]], partition_bytes: int, open_cost_bytes: int) -> list[list[str]]:
     """Paths by partition, large files first; a file beyond the size of a partition has one to itself."""
@@ -115,14 +145,12 @@ def packed(files: list[tuple[str, int]], partition_bytes: int, open_cost_bytes:
     return partitions
 
 
-def located(path: str) -> tuple[FileSystem, str]:
-    return FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-
-
 def read_catalog(spark: SparkSession, source: type[CatalogFormat], path: str, **options: Any) -> DataFrame:
     """Structured objects and rejects of a folder in another format."""
     spark.dataSource.register(source)
-    documents = spark.read.format(source.name()).options(**options).load(path)
+    folder = task_path(spark, path)
+    lists = _name_lists(spark, folder, source.suffix, **options)
+    documents = spark.read.format(source.name()).options(**options, lists=lists).load(folder)
     named = documents.withColumnsRenamed({"reason": "file_reason", "detail": "file_detail"})
     return structure_objects(named).selectExpr(
         "* EXCEPT (reason, detail, file_reason, file_detail)",
@@ -131,6 +159,17 @@ def read_catalog(spark: SparkSession, source: type[CatalogFormat], path: str, **
     )
 
 
+def _name_lists(
+    spark: SparkSession, folder: str, suffix: str, partitionBytes: int = PARTITION_BYTES, openCostBytes: int = OPEN_COST_BYTES, **_: Any
+) -> str:
+    """A folder with the names of the files, dealt to one list for each partition."""
+    sized = written_table(with_status(spread(list_names(spark, folder, suffix)), folder).select("file_name", "n_bytes"))
+    n_bytes = sized.agg(F.sum(F.col("n_bytes") + int(openCostBytes))).first()[0] or 0
+    path = scratch_dir(spark)
+    sized.select("file_name").repartition(max(1, -(-n_bytes // int(partitionBytes))), "file_name").write.parquet(path)
+    return task_path(spark, path)
+
+
 class PhotometryTables(CatalogFormat):
     """One object per file: lines ``# key: value`` about the object, then its photometry as a table with column names.
 

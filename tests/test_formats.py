@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import json
+import pickle
 
 import pytest
 
 from skyfold.operators import unnest
 from skyfold.operators.structuring import candidates, rejects
-from skyfold.sources.formats import CatalogFormat, PhotometryTables, UnknownLayout, packed, read_catalog
+from skyfold.sources.formats import (
+    CatalogFormat,
+    FolderReader,
+    PhotometryTables,
+    UnknownLayout,
+    _name_lists,
+    packed,
+    read_catalog,
+)
 
 TABLE = """# name: SN 1
 # schema: v1
@@ -112,3 +121,16 @@ def test_partitions_are_filled_by_bytes():
     partitions = packed(files, 100, 10)
     assert partitions[0] == ["big"] and [len(p) for p in partitions[1:]] == [5, 5, 5, 5]
     assert sorted(path for p in partitions for path in p) == sorted(path for path, _ in files)
+
+
+def test_the_driver_plans_lists_of_names(spark, tmp_path, packed_objects):
+    fields = json.dumps({"name": "n", "schema": "v1", "sources": [{"alias": 1, "name": "s"}]})
+    path = written(tmp_path / "many", {f"_p{i}.objects": f"o{i}\t{fields}\n" for i in range(60)})
+    lists = _name_lists(spark, path, ".objects", openCostBytes=1000, partitionBytes=20_000)
+    reader = FolderReader(path, ".objects", packed_objects.objects, 20_000, 1000, lists)
+    partitions = reader.partitions()
+    assert 1 < len(partitions) <= 4 and all(len(pickle.dumps(p)) < 1000 for p in partitions)
+    assert sorted(path for p in partitions for path in reader.paths(p)) == sorted(f"{path}/_p{i}.objects" for i in range(60))
+    objects = read_catalog(spark, packed_objects, path, openCostBytes=1000, partitionBytes=20_000)
+    assert sorted(r.file_stem for r in objects.collect()) == sorted(f"o{i}" for i in range(60))
+    assert objects.rdd.getNumPartitions() == len(partitions)
