@@ -40,3 +40,7 @@ def test_plan_stays_in_the_jvm(spark, name):
 def test_scan_reads_needed_columns_only(spark):
     plan = plan_of(QUERIES["min_observations_verdicts"](spark, SF_DIR))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,value:double>" in plan
+
+
+def test_binning_parses_the_catalogue_once(spark):
+    assert "from_json" not in plan_of(QUERIES["catalog_binned"](spark, SF_DIR))
