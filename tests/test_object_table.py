@@ -46,3 +46,16 @@ def test_lookup_reads_few_row_groups(spark, objects, tmp_path, clustered):
 def test_empty_table(spark, objects, tmp_path):
     write_objects(objects.limit(0), str(tmp_path / "none"), True)
     assert read_object(spark, str(tmp_path / "none"), "SN03000").collect() == []
+
+
+def test_objects_are_structured_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    stems = spark.range(500).selectExpr("string(id) AS file_stem").repartition(4)
+    write_objects(stems.mapInArrow(counted, stems.schema), str(tmp_path / "objects"), clustered=True)
+    assert spark.read.parquet(str(tmp_path / "objects")).count() == 500 and read.value == 500
