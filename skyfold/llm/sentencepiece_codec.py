@@ -3,7 +3,8 @@
 The model file, a protocol buffer, is parsed here: pieces with scores and kinds, model type, normaliser settings. From
 these a tokenizer is rebuilt: the precompiled normalisation, the metaspace marker for spaces and the dummy prefix, the
 unigram scores or, for a byte-pair model, the merges that the pieces' scores imply, and byte fallback. Batches are
-encoded by the library's threads in slices of bounded text. Every document's identifiers are verified against the
+encoded in slices of bounded text, by the task's own thread: Spark has a task for each core, and the library's threads, one for each
+core in every task, wait for each other (decoding takes three times the CPU seconds). Every document's identifiers are verified against the
 reference encoder; only where they differ the reference's identifiers stand in, and ``parity`` is false.
 
 Models are given by path and read on the driver; workers get the bytes (a model is at most ``MAX_MODEL_BYTES``).
@@ -16,6 +17,7 @@ independent, so repeated rows and extra columns do not matter; an empty table gi
 from __future__ import annotations
 
 import itertools
+import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -134,6 +136,7 @@ class Codec:
     """The rebuilt tokenizer and the reference encoder of one model."""
 
     def __init__(self, data: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         model = parse_model(data)
         self.tokenizer = build_tokenizer(model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
