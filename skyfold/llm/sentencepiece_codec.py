@@ -149,15 +149,17 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def verified(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Identifiers, and whether the reference found the same ones; if not, its own stand in."""
+    def verified(self, texts: list[str]) -> tuple[list[list[int]], list[bool], np.ndarray]:
+        """Identifiers, and whether the reference found the same ones; if not, its own stand in. Then those of all texts on end."""
         found = self.encode(texts)
         expected = self.reference.encode(texts, out_type="numpy", num_threads=1)
         sizes = [len(x) for x in found]
-        if sizes == [len(x) for x in expected] and np.array_equal(flat(found), np.concatenate([*expected, NO_IDS])):
-            return found, [True] * len(texts)
+        joined = flat(found)
+        if sizes == [len(x) for x in expected] and np.array_equal(joined, np.concatenate([*expected, NO_IDS])):
+            return found, [True] * len(texts), joined
         same = [a == b.tolist() for a, b in zip(found, expected, strict=True)]
-        return [a if equal else b.tolist() for a, b, equal in zip(found, expected, same, strict=True)], same
+        ids = [a if equal else b.tolist() for a, b, equal in zip(found, expected, same, strict=True)]
+        return ids, same, flat(ids)
 
 
 def flat(ids: list[list[int]]) -> np.ndarray:
@@ -168,7 +170,7 @@ def encode_batch(data: bytes, texts: list[str | None]) -> tuple[list[list[int]],
     """Identifiers of each text from the rebuilt tokenizer, and whether the reference found the same ones; if not, its
     own stand in."""
     results = [codec(data).verified(part) for part in _slices(texts)]
-    return [x for ids, _ in results for x in ids], [x for _, parity in results for x in parity]
+    return [x for ids, _, _ in results for x in ids], [x for _, parity, _ in results for x in parity]
 
 
 def decode_batch(data: bytes, ids: list[list[int]]) -> list[str]:
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             start = 0
             texts = batch.column(1).to_pylist()
             for part in _slices(texts):
-                ids, parity = codec(data).verified(part)
+                ids, parity, joined = codec(data).verified(part)
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 whole = [a == b for a, b in zip(decode_batch(data, ids), part, strict=True)]
@@ -192,7 +194,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     [
                         batch.column(0).slice(start, len(part)),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(offsets, flat(ids)),
+                        pa.ListArray.from_arrays(offsets, joined),
                         pa.array(parity, pa.bool_()),
                         pa.array(whole, pa.bool_()),
                     ],
