@@ -49,8 +49,8 @@ def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col:
             "doc_id",
             "size",
             "text_crc32",
-            # Twice the middle of the row; decimals, as bytes times shards may exceed a bigint.
-            f"int((decimal(2 * (size_before + size_to) - size) * {shards}) div (2 * total)) AS shard",
+            # Twice the middle of the row; decimals of a bigint's digits (a plain decimal has ten), as bytes times shards may exceed one.
+            f"int((CAST(2 * (size_before + size_to) - size AS DECIMAL(20, 0)) * {shards}) div (2 * total)) AS shard",
             "rows_before + row - 1 AS place",
         )
     )

@@ -12,7 +12,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from skyfold.llm import lm_score, ngram_join, secret_scan, sentencepiece_codec
+from skyfold.llm import lm_score, ngram_join, secret_scan, sentencepiece_codec, sharding
 
 
 @pytest.mark.parametrize("most_frequent", [400_000, 5, 0])
@@ -177,3 +177,11 @@ def test_language_stage_keeps_texts_without_labels(spark, lang):
     rows[labelled] = (*rows[labelled][:2], lang)
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
     assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, None).collect()) == [1, 5, 6, 8]
+
+
+def test_shards_of_more_than_ten_digits(spark):
+    n, megabytes = 660, 8
+    docs = spark.range(n, numPartitions=8).selectExpr("id AS doc_id", f"repeat('x', {megabytes} * 1000000) AS text")
+    rows = sharding.byte_shards(docs, 5).collect()
+    assert 2 * sum(r.size for r in rows) > 10**10
+    assert [(r.shard, r.slot) for r in sorted(rows)] == [divmod(i, n // 5) for i in range(n)]
