@@ -51,6 +51,8 @@ ROW_BYTES = 16  # that a row counts besides its text
 SEGMENT_TOKENS = 2_000_000
 MIN_SEGMENTS = 64
 LOW = np.uint64((1 << 40) - 1)
+# Rows of megabytes are written, and read, one by one: the size of a row group would not be looked at before a hundred rows.
+LARGE_ROWS = {"parquet.block.row.count.limit": 1}
 
 BLOCKS = "segment int, kind string, grams binary, counts binary"
 COUNTS = "segment int, grams binary, counts binary, types bigint, tokens bigint, by_level array<bigint>"
@@ -124,7 +126,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> La
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score``; logarithms to base 10."""
     texts = identified(docs, id_col, text_col).selectExpr("doc_id", "CAST(coalesce(text, '') AS BINARY) AS text")
-    packed = written_table(texts.mapInArrow(_packed, PACKED))  # written: numbers of chunks must not change
+    packed = written_table(texts.mapInArrow(_packed, PACKED), **LARGE_ROWS)  # written: numbers of chunks must not change
     words = packed.mapInArrow(_asked("word", model.segments, model.frequent), ASKED).groupBy("segment")
     pairs = packed.mapInArrow(_asked("pair", model.segments, model.frequent), ASKED).groupBy("segment")
     answers = words.cogroup(model.counted.groupBy("segment")).applyInArrow(_word_answers, ANSWERED)

@@ -42,8 +42,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/skyfold-{application}/{uuid.uuid4().hex}"
 
 
-def written_table(frame: DataFrame) -> DataFrame:
+def written_table(frame: DataFrame, **options: int) -> DataFrame:
     """The rows of ``frame``, written to a new scratch folder and read again: computed once, lineage cut."""
     path = scratch_dir(frame.sparkSession)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

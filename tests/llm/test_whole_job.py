@@ -10,6 +10,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from skyfold.llm import lm_score, ngram_join, secret_scan, sentencepiece_codec, sharding
@@ -185,3 +186,13 @@ def test_shards_of_more_than_ten_digits(spark):
     rows = sharding.byte_shards(docs, 5).collect()
     assert 2 * sum(r.size for r in rows) > 10**10
     assert [(r.shard, r.slot) for r in sorted(rows)] == [divmod(i, n // 5) for i in range(n)]
+
+
+def test_packed_texts_are_read_a_few_at_a_time(spark, monkeypatch):
+    tables, write = [], lm_score.written_table
+    monkeypatch.setattr(lm_score, "written_table", lambda *a, **k: tables.append(write(*a, **k)) or tables[-1])
+    docs = spark.range(12, numPartitions=1).selectExpr("id AS doc_id", f"repeat(concat('w', id, ' '), {lm_score.CHUNK_BYTES} div 4) AS text")
+    lm_score.score(docs, lm_score.train(docs.limit(1)))
+    files = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in tables[-1].inputFiles()]
+    in_groups = [file.row_group(i).num_rows for file in files for i in range(file.num_row_groups)]
+    assert sum(in_groups) == 12 and max(in_groups) <= 3
