@@ -429,9 +429,10 @@ def catalog_load_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table_files(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with the catalogue in another format, one table per object."""
+    """Folder with the catalogue in another format, one table per object. Tables and rejects are two branches, so objects are structured once before."""
     path = scratch_dir(spark)
-    fixtures.write_object_files(fixtures.photometry_tables(_objects(spark, sf_dir)), path, formats.PhotometryTables.suffix)
+    objects = written_table(_objects(spark, sf_dir).select("file_stem", "name", "photometry", "reason"))
+    fixtures.write_object_files(fixtures.photometry_tables(objects), path, formats.PhotometryTables.suffix)
     return path
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 import pickle
 
 import pytest
 
 from skyfold.operators import unnest
 from skyfold.operators.structuring import candidates, rejects
+from skyfold.plans import registered
 from skyfold.sources.formats import (
     CatalogFormat,
     FolderReader,
@@ -134,3 +136,33 @@ def test_the_driver_plans_lists_of_names(spark, tmp_path, packed_objects):
     objects = read_catalog(spark, packed_objects, path, openCostBytes=1000, partitionBytes=20_000)
     assert sorted(r.file_stem for r in objects.collect()) == sorted(f"o{i}" for i in range(60))
     assert objects.rdd.getNumPartitions() == len(partitions)
+
+
+def test_partitions_of_small_files_are_few(spark, tmp_path):
+    path = written(tmp_path / "many", {f"p{i}.csv": TABLE for i in range(600)})
+    reader = FolderReader(path, ".csv", PhotometryTables.objects, 0, 0, _name_lists(spark, path, ".csv"))
+    partitions = reader.partitions()
+    assert len(partitions) == 1 and len(list(reader.paths(partitions[0]))) == 600
+
+
+def test_tables_are_made_of_objects_structured_once(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 40, "error", float(i), '{"k": 1}') for i in range(120)]
+    events = spark.createDataFrame(rows, "event_id LONG, user_id LONG, event_type STRING, value DOUBLE, props STRING")
+    events.selectExpr("*", "timestamp_seconds(event_id) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    plain, asked = registered._objects, str(tmp_path / "asked")
+
+    def noted(batches):
+        for batch in batches:
+            with open(asked, "a") as file:
+                file.write("".join(f"{stem}\n" for stem in batch["file_stem"].to_pylist()))
+            yield batch
+
+    def objects(*given):
+        found = plain(*given)
+        return found.mapInArrow(noted, found.schema)
+
+    monkeypatch.setattr(registered, "_objects", objects)
+    path = registered._table_files(spark, str(tmp_path)).removeprefix("file:")
+    with open(asked) as file:
+        assert sorted(file.read().split()) == sorted(f"{user}.0" for user in range(40))
+    assert sorted(os.listdir(path)) == sorted(f"{user}.0.csv" for user in range(40))
